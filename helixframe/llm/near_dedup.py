@@ -16,9 +16,9 @@ equal coordinates is concentrated around the Jaccard similarity.
    on the full sets of their whole texts.
 5. Components by label propagation over confirmed links.
 6. Buckets that still hold several components are the rest that the star
-   leaves open: their members are dealt into tiles, every pair of tiles is
-   compared as a matrix of sketches, and pairs of different components that
-   pass the floor are confirmed like the others.  No cap on bucket or partners.
+   leaves open: their members are dealt into tiles, every two tiles of a bucket
+   are compared as matrices, first of sketches and then of full sets, and only
+   links that join components are returned.  No cap on bucket or partners.
 
 Hot groups: buckets are keyed by 64-bit hashes, stars are joins against a
 written table of leaders that adaptive execution may split, and tiles bound
@@ -46,7 +46,7 @@ from helixframe.llm.text import DOCUMENT_COLUMNS, WordHashes, mix64, shingle_has
 BANDS, ROWS = 48, 6
 SIZE = BANDS * ROWS
 FLOOR = 0.66
-TILE = 512
+TILE = 256
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -173,35 +173,91 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _tile_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for members_a, members_b, same in zip(batch["left"], batch["right"], batch["same"]):
-            ids_a, lab_a = (np.array([m[k] for m in members_a]) for k in ("doc_id", "label"))
-            ids_b, lab_b = (np.array([m[k] for m in members_b]) for k in ("doc_id", "label"))
-            bytes_a = np.frombuffer(b"".join(m["bytes"] for m in members_a), np.uint8).reshape(-1, SIZE)
-            bytes_b = np.frombuffer(b"".join(m["bytes"] for m in members_b), np.uint8).reshape(-1, SIZE)
-            for k in range(len(ids_a)):
-                hit = ((bytes_b == bytes_a[k]).mean(axis=1) >= FLOOR) & (lab_b != lab_a[k])
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of distinct-item arrays, as
+    products of incidence matrices over slices of the items."""
+    both = left + right
+    items, at = np.unique(np.concatenate(both), return_inverse=True)
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = 8192
+    for low in range(0, len(items), width):
+        a, b = np.searchsorted(at, (low, low + width))
+        grid = np.zeros((len(both), width), np.float32)
+        grid[row[a:b], at[a:b] - low] = 1
+        out += grid[: len(left)] @ grid[len(left) :].T
+    return out
+
+
+def _tile_links(threshold: int):
+    """Links between different components across two tiles, as few as join
+    them: the full sets are compared, and a link that joins nothing new is not
+    returned, so a tile gives fewer rows than it has members."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for left, right, same in zip(batch["left"], batch["right"], batch["same"]):
+                get = lambda side, k: np.array([m[k] for m in side])
+                rough = [np.frombuffer(b"".join(m["bytes"] for m in side), np.uint8).reshape(-1, SIZE) for side in (left, right)]
+                label_a, label_b = get(left, "label"), get(right, "label")
+                near = np.stack([(rough[1] == x).mean(axis=1) >= FLOOR for x in rough[0]]) & (label_a[:, None] != label_b[None, :])
                 if same:
-                    hit[: k + 1] = False
-                if hit.any():
-                    other = ids_b[hit]
-                    yield pd.DataFrame({"a": np.minimum(ids_a[k], other), "b": np.maximum(ids_a[k], other)})
+                    near = np.triu(near, 1)
+                rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                if not len(rows):
+                    continue
+                sets_a, sets_b = ([np.frombuffer(side[i]["items"], np.uint64) for i in at] for side, at in ((left, rows), (right, columns)))
+                both = shared_counts(sets_a, sets_b)
+                size_a, size_b = (np.array([len(x) for x in sets], float) for sets in (sets_a, sets_b))
+                linked = near[np.ix_(rows, columns)] & (100 * both >= threshold * (size_a[:, None] + size_b[None, :] - both))
+                ids_a, ids_b = get(left, "doc_id")[rows], get(right, "doc_id")[columns]
+                parent: dict[int, int] = {}
+
+                def root(x: int) -> int:
+                    while parent.setdefault(x, x) != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                out = []
+                for i, j in np.argwhere(linked):
+                    x, y = root(label_a[rows[i]]), root(label_b[columns[j]])
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        out.append((min(ids_a[i], ids_b[j]), max(ids_a[i], ids_b[j])))
+                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = WordHashes()
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "items": [shingle_hashes(table.array(words(t)), width).tobytes() for t in batch["text"]]})
+
+    return run
 
 
-def open_pairs(bands: DataFrame, labels: DataFrame, sketches: DataFrame, tile: int = TILE) -> DataFrame:
-    """Pairs of different components inside buckets of three or more documents
-    that the star left open, found tile against tile."""
-    marked = bands.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+def open_links(bands: DataFrame, labels: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, threshold: int, tile: int = TILE) -> DataFrame:
+    """Links between different components inside buckets of three or more
+    documents that the star left open, found tile against tile."""
+    marked = write_table(bands.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
     state = marked.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
     still = write_table(state.where("members > 2 and low <> high").select("key", F.ceil(F.col("members") / tile).alias("tiles")), "open-buckets")
-    in_open = marked.join(still, "key").join(sketches.select("doc_id", "bytes"), "doc_id")
-    dealt = in_open.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
-    held = write_table(dealt.groupBy("key", "tiles", "tile").agg(F.sort_array(F.collect_list(F.struct("doc_id", "label", "bytes"))).alias("members")), "tiles")
+    in_open = write_table(marked.join(still, "key"), "open-members")
+    ids = in_open.select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    sets = write_table(texts.mapInPandas(_sets(width), "doc_id long, items binary").join(sketches.select("doc_id", "bytes"), "doc_id").groupBy("doc_id").agg(F.first("items").alias("items"), F.first("bytes").alias("bytes")), "open-sets")
+    dealt = in_open.join(sets, "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
+    held = write_table(dealt.groupBy("key", "tiles", "tile").agg(F.collect_list(F.struct("doc_id", "label", "bytes", "items")).alias("members")), "tiles")
     one = held.select("key", F.col("tile").alias("i"), F.col("members").alias("left"))
     two = held.select("key", F.col("tile").alias("j"), F.col("members").alias("right"))
     met = one.join(two, "key").where("i <= j").select("left", "right", (F.col("i") == F.col("j")).alias("same"))
-    return met.mapInPandas(_tile_pairs, "a long, b long").distinct()
+    return met.mapInPandas(_tile_links(threshold), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -219,12 +275,9 @@ def near_components(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     found = write_table(near_enough(stars, firsts, threshold), "candidates")
     links = write_table(confirm(found, docs, width, threshold), "links")
     labels = components(links)
-    more = write_table(open_pairs(in_shared.select("doc_id", "key"), labels, firsts), "open-candidates")
-    more = write_table(near_enough(more, firsts, threshold).join(found, ["a", "b"], "left_anti"), "open-near")
-    if more.limit(1).count():
-        extra = confirm(more, docs, width, threshold)
-        links = write_table(links.union(extra), "all-links")
-        labels = components(links, "labels-again")
+    extra = write_table(open_links(in_shared.select("doc_id", "key"), labels, firsts, docs, width, threshold), "open-links")
+    if extra.limit(1).count():
+        labels = components(links.union(extra), "labels-again")
     heads_of = members.join(labels.withColumnRenamed("node", "head"), "head", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "head")).alias("component_id"))
     out = table.select("doc_id", "n_shingles").join(write_table(heads_of, "near-members"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
