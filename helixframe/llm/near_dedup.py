@@ -55,25 +55,27 @@ _BAND_SEED = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
-    """``SIZE`` coordinates of a non-empty array of distinct 64-bit hashes."""
+    """``SIZE`` coordinates of a non-empty array of distinct 64-bit hashes.
+    Small sets take several rounds at a time; a coordinate's round stands above
+    its hash, so the minimum is that of the first round that reached it."""
     out = np.full(SIZE, _EMPTY)
-    left = SIZE
-    for i in range(2 * SIZE):
-        h = mix64(items ^ _SEEDS[i])
-        low = h & _LOW
-        if i < SIZE:
-            order = np.argsort(low, kind="stable")[::-1]
-            bins = ((h >> _32) % np.uint64(SIZE))[order]
-            found = np.full(SIZE, _EMPTY)
-            found[bins] = low[order]
-        else:
-            found = np.full(SIZE, _EMPTY)
-            found[i - SIZE] = low.min()
-        new = (out == _EMPTY) & (found != _EMPTY)
-        out[new] = found[new] | np.uint64(i) << _32
-        left -= int(new.sum())
-        if not left:
-            break
+    i, many = 0, max(1, 6 * SIZE // len(items))
+    while i < SIZE:
+        rounds = np.arange(i, min(SIZE, i + many), dtype=np.uint64)
+        h = mix64(items ^ _SEEDS[rounds][:, None])
+        value = h & _LOW | (rounds << _32)[:, None]
+        bins = ((h >> _32) * np.uint64(SIZE) >> _32).astype(np.int64).ravel()
+        value = value.ravel()
+        if i:
+            open_ = empty[bins]
+            bins, value = bins[open_], value[open_]
+        np.minimum.at(out, bins, value)
+        empty = out == _EMPTY
+        if not empty.any():
+            return out
+        i += len(rounds)
+    for k in np.flatnonzero(empty):
+        out[k] = (mix64(items ^ _SEEDS[SIZE + k]) & _LOW).min() | np.uint64(SIZE + k) << _32
     return out
 
 
