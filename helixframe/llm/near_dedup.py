@@ -37,7 +37,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.llm.store import read, write_table
@@ -150,10 +149,13 @@ def _confirm(width: int, threshold: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the similarity."""
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "near-texts")
+    return write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "near-texts")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Pairs whose full shingle sets reach the similarity."""
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(_confirm(width, threshold), "a long, b long")
@@ -244,22 +246,49 @@ def _sets(width: int):
     return run
 
 
-def open_links(bands: DataFrame, labels: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, threshold: int, tile: int = TILE) -> DataFrame:
+def _rough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members of two tiles whose text was not read yet and that some member
+    of another component resembles."""
+    for batch in batches:
+        for left, right in zip(batch["left"], batch["right"]):
+            sides = [left, right]
+            rough = [np.frombuffer(b"".join(m["bytes"] for m in side), np.uint8).reshape(-1, SIZE) for side in sides]
+            labels = [np.array([m["label"] for m in side]) for side in sides]
+            ids = set()
+            for k in (0, 1):
+                for i, m in enumerate(sides[k]):
+                    if not m["known"] and (((rough[1 - k] == rough[k][i]).mean(axis=1) >= FLOOR) & (labels[1 - k] != labels[k][i])).any():
+                        ids.add(m["doc_id"])
+            yield pd.DataFrame({"doc_id": pd.Series(sorted(ids), dtype="int64")})
+
+
+def tile_pairs(members: DataFrame, fields: list[str]) -> DataFrame:
+    """``members(key, tiles, doc_id, fields)`` dealt into their key's tiles and
+    every two tiles of a key side by side: left, right, same."""
+    dealt = members.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
+    held = write_table(dealt.groupBy("key", "tile").agg(F.collect_list(F.struct("doc_id", *fields)).alias("members")), "tiles")
+    one = held.select("key", F.col("tile").alias("i"), F.col("members").alias("left"))
+    two = held.select("key", F.col("tile").alias("j"), F.col("members").alias("right"))
+    return one.join(two, "key").where("i <= j").select("left", "right", (F.col("i") == F.col("j")).alias("same"))
+
+
+def open_links(bands: DataFrame, labels: DataFrame, sketches: DataFrame, docs: DataFrame, texts: DataFrame, width: int, threshold: int, tile: int = TILE) -> DataFrame:
     """Links between different components inside buckets of three or more
-    documents that the star left open, found tile against tile."""
+    documents that the star left open, found tile against tile.  ``texts`` has
+    the texts of all documents that resembled a leader; a first pass over the
+    sketches finds the few others that resemble somebody, a second one compares
+    full sets."""
     marked = write_table(bands.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
     state = marked.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
     still = write_table(state.where("members > 2 and low <> high").select("key", F.ceil(F.col("members") / tile).alias("tiles")), "open-buckets")
-    in_open = write_table(marked.join(still, "key"), "open-members")
-    ids = in_open.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = write_table(texts.mapInPandas(_sets(width), "doc_id long, items binary").join(sketches.select("doc_id", "bytes"), "doc_id").groupBy("doc_id").agg(F.first("items").alias("items"), F.first("bytes").alias("bytes")), "open-sets")
-    dealt = in_open.join(sets, "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
-    held = write_table(dealt.groupBy("key", "tiles", "tile").agg(F.collect_list(F.struct("doc_id", "label", "bytes", "items")).alias("members")), "tiles")
-    one = held.select("key", F.col("tile").alias("i"), F.col("members").alias("left"))
-    two = held.select("key", F.col("tile").alias("j"), F.col("members").alias("right"))
-    met = one.join(two, "key").where("i <= j").select("left", "right", (F.col("i") == F.col("j")).alias("same"))
-    return met.mapInPandas(_tile_links(threshold), "a long, b long").distinct()
+    known = texts.select("doc_id").distinct().withColumn("known", F.lit(True))
+    in_open = marked.join(still, "key").join(sketches.select("doc_id", "bytes"), "doc_id").join(known, "doc_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    in_open = write_table(in_open, "open-members")
+    rest = write_table(tile_pairs(in_open, ["label", "bytes", "known"]).mapInPandas(_rough, "doc_id long").distinct(), "open-unread")
+    more = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(rest, "doc_id", "left_semi")
+    here = texts.join(in_open.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = write_table(here.union(more).mapInPandas(_sets(width), "doc_id long, items binary").dropDuplicates(["doc_id"]), "open-sets")
+    return tile_pairs(in_open.join(sets, "doc_id"), ["label", "bytes", "items"]).mapInPandas(_tile_links(threshold), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -275,9 +304,10 @@ def near_components(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     in_shared = write_table(bands.join(shared, "key").select("doc_id", "key", "a"), "bucketed")
     stars = in_shared.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     found = write_table(near_enough(stars, firsts, threshold), "candidates")
-    links = write_table(confirm(found, docs, width, threshold), "links")
+    texts = texts_of(found, docs)
+    links = write_table(confirm(found, texts, width, threshold), "links")
     labels = components(links)
-    extra = write_table(open_links(in_shared.select("doc_id", "key"), labels, firsts, docs, width, threshold), "open-links")
+    extra = write_table(open_links(in_shared.select("doc_id", "key"), labels, firsts, docs, texts, width, threshold), "open-links")
     if extra.limit(1).count():
         labels = components(links.union(extra), "labels-again")
     heads_of = members.join(labels.withColumnRenamed("node", "head"), "head", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "head")).alias("component_id"))
