@@ -20,11 +20,11 @@ not read.  A last sequence whose token count is a power of two is not padded.
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -36,46 +36,70 @@ LENGTH = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 
-#: Fixed values of this vocabulary: its splitting pattern.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed values of this vocabulary: its splitting pattern, here for lower-case
+#: text of the characters in ``LATIN`` only.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t\n\x0b\x0c\ra-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
+#: ASCII and composed Latin letters: in normal form, one to one in lower case.
+LATIN = re.compile(r"[\x00-\x7F¡-¬®-ÿ–-„…€]*").fullmatch
+WORD_END = "</w>"
 
 
 class CachedTokenizer:
     """Ids of the word vocabulary.  Its pre-tokeniser splits into pieces that
-    are encoded one by one, so a piece's ids are kept and looked up; texts with
-    a special token's string, or a character that lower-cases to several or is
-    not in normal form, go to the tokenizer whole."""
+    are encoded one by one, so a piece's ids are kept and looked up; unknown
+    pieces of a text are encoded together, parted by spaces.  Texts with a
+    special token's string or with characters beyond ``LATIN`` go to the
+    tokenizer whole."""
 
     def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.find = regex.compile(PIECES).findall
-        self.cache: dict[str, np.ndarray] = {}
+        self.find = re.compile(PIECES).findall
+        self.last = np.zeros(self.plain.get_vocab_size(), bool)
+        self.last[[i for token, i in self.plain.get_vocab().items() if token.endswith(WORD_END)]] = True
+        self.cache: dict[str, bytes] = {}
         self.limit = limit
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def learn(self, pieces: list[str]) -> None:
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+        new = [p for p in dict.fromkeys(pieces) if p not in self.cache]
+        ids = self.whole(" ".join(new))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        data = ids.tobytes()
+        if len(ends) == len(new):
+            begin = 0
+            for piece, end in zip(new, (4 * ends).tolist()):
+                self.cache[piece] = data[begin:end]
+                begin = end
+        else:
+            for piece in new:
+                self.cache[piece] = self.whole(piece).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        if not (text.isascii() or LATIN(text)) or "<|" in text:
+        if "<|" in text or not (text.isascii() or LATIN(text)):
             return self.whole(text)
         pieces = self.find(text.lower())
-        cache = self.cache
         try:
-            parts = [cache[p] for p in pieces]
+            parts = list(map(self.cache.__getitem__, pieces))
         except KeyError:
-            if len(cache) > self.limit:
-                cache.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in cache]
-            for p, e in zip(new, self.plain.encode_batch(new, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, dtype="<u4").tobytes()
-            parts = [cache[p] for p in pieces]
+            self.learn(pieces)
+            parts = list(map(self.cache.__getitem__, pieces))
         return np.frombuffer(b"".join(parts), dtype="<u4")
 
 
-#: ASCII and composed Latin letters: in normal form, one to one in lower case.
-LATIN = regex.compile(r"[\x00-\x7F¡-¬®-ÿ–-„…€]*").fullmatch
+_loaded: dict[str, CachedTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> CachedTokenizer:
+    """One tokenizer and cache per worker process."""
+    if path not in _loaded:
+        _loaded[path] = CachedTokenizer(path)
+    return _loaded[path]
 
 
 def vocabulary_path(package: str = "public_tokenizers", name: str = VOCABULARY) -> str:
@@ -84,16 +108,17 @@ def vocabulary_path(package: str = "public_tokenizers", name: str = VOCABULARY)
 
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = CachedTokenizer(path)
-        task, start, row = TaskContext.get().partitionId(), 0, 0
+        tokenizer = tokenizer_of(path)
+        task, start = TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            ids = [tokenizer.ids(t).tobytes() + end if t else end for t in batch["text"]]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            begin = start + np.cumsum(n) - n
-            start += int(n.sum())
-            for k in range(0, len(ids), 500):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[k : k + 500], "task": task, "begin": begin[k : k + 500], "n": n[k : k + 500], "ids": ids[k : k + 500]})
+            for k in range(0, len(batch), 500):
+                part = batch.iloc[k : k + 500]
+                ids = [tokenizer.ids(t).tobytes() + end if t else end for t in part["text"]]
+                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                begin = start + np.cumsum(n) - n
+                start += int(n.sum())
+                yield pd.DataFrame({"doc_id": part["doc_id"], "task": task, "begin": begin, "n": n, "ids": ids})
 
     return run
 
