@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 from helixframe.llm.store import read, write_table
 
 LENGTH = 4096
+#: The offsets of so many tasks, 24 bytes each, are sent to all executors; those
+#: of more tasks are joined by shuffle.
+MOST_BROADCAST = 500_000
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 
@@ -133,8 +136,10 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id:
     """One row per piece: doc_id, start, length, ids (binary), doc_tokens,
     sequence_id, offset, padded_length (of its sequence)."""
     rows = tokenised(docs, path, end_id)
-    totals = rows.groupBy("task").agg(F.sum("n").alias("total"))  # one row per task
+    totals = write_table(rows.groupBy("task").agg(F.sum("n").alias("total")), "task-totals")  # one row per task
     bases = totals.select("task", (F.sum("total").over(W.orderBy("task")) - F.col("total")).alias("base"), F.sum("total").over(W.partitionBy()).alias("all_tokens"))
+    if totals.count() <= MOST_BROADCAST:
+        bases = F.broadcast(bases)
     placed = rows.join(bases, "task").withColumn("first", F.col("base") + F.col("begin"))
     windows = F.sequence(F.floor(F.col("first") / length), F.floor((F.col("first") + F.col("n") - 1) / length))
     cut = placed.withColumn("sequence_id", F.explode(windows))
