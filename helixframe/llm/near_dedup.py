@@ -284,16 +284,16 @@ def open_links(bands: DataFrame, labels: DataFrame, sketches: DataFrame, docs: D
     known = texts.select("doc_id").distinct().withColumn("known", F.lit(True))
     in_open = marked.join(still, "key").join(sketches.select("doc_id", "bytes"), "doc_id").join(known, "doc_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     in_open = write_table(in_open, "open-members")
-    rest = write_table(tile_pairs(in_open, ["label", "bytes", "known"]).mapInPandas(_rough, "doc_id long").distinct(), "open-unread")
+    rest = write_table(tile_pairs(in_open, ["label", "bytes", "known"]).mapInPandas(_rough, "doc_id long").distinct(), "open-unread", 16)
     more = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(rest, "doc_id", "left_semi")
     here = texts.join(in_open.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = write_table(here.union(more).mapInPandas(_sets(width), "doc_id long, items binary").dropDuplicates(["doc_id"]), "open-sets")
+    sets = write_table(here.union(more).mapInPandas(_sets(width), "doc_id long, items binary").dropDuplicates(["doc_id"]), "open-sets", 1000)
     return tile_pairs(in_open.join(sets, "doc_id"), ["label", "bytes", "items"]).mapInPandas(_tile_links(threshold), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    table = write_table(sketch_table(docs, width), "sketches")
+    table = write_table(sketch_table(docs, width), "sketches", 1000)
     sets = table.where("n_shingles > 0 and doc_id is not null")
     heads = write_table(sets.groupBy("mark", "n_shingles").agg(F.min("doc_id").alias("head")), "set-heads")
     members = sets.select("doc_id", "mark", "n_shingles").join(heads, ["mark", "n_shingles"]).select("doc_id", "head")
@@ -305,9 +305,9 @@ def near_components(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     stars = in_shared.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     found = write_table(near_enough(stars, firsts, threshold), "candidates")
     texts = texts_of(found, docs)
-    links = write_table(confirm(found, texts, width, threshold), "links")
+    links = write_table(confirm(found, texts, width, threshold), "links", 250)
     labels = components(links)
-    extra = write_table(open_links(in_shared.select("doc_id", "key"), labels, firsts, docs, texts, width, threshold), "open-links")
+    extra = write_table(open_links(in_shared.select("doc_id", "key"), labels, firsts, docs, texts, width, threshold), "open-links", 4)
     if extra.limit(1).count():
         labels = components(links.union(extra), "labels-again")
     heads_of = members.join(labels.withColumnRenamed("node", "head"), "head", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "head")).alias("component_id"))

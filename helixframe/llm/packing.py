@@ -129,7 +129,7 @@ def _tokenise(path: str, end_id: int):
 def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Written table doc_id, task, begin, n, ids (little-endian 32-bit)."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return write_table(plain.mapInPandas(_tokenise(path or vocabulary_path(), end_id), "doc_id long, task int, begin long, n long, ids binary"), "tokens")
+    return write_table(plain.mapInPandas(_tokenise(path or vocabulary_path(), end_id), "doc_id long, task int, begin long, n long, ids binary"), "tokens", 1000)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -13,6 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, set once where the session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,11 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return it reread."""
+def write_table(df: DataFrame, name: str, rows_per_batch: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return it reread.
+
+    ``rows_per_batch`` bounds, for this write only, the rows that go to a
+    Python worker at once; wide rows need few.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixframe-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if rows_per_batch:
+            spark.conf.set(_BATCH, str(min(rows_per_batch, int(before))))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
