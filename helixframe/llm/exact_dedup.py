@@ -13,7 +13,8 @@ are verified by both at every level; the best row has the most code points in
 its original text, then the smallest doc_id.
 
 Defined results: null text counts as empty, all such rows form one group;
-repeated rows count as rows of their own; null doc_id sorts last; columns other
+repeated rows count as rows of their own, and rows that repeat the
+survivor's doc_id are kept with it; null doc_id sorts last; columns other
 than doc_id and text are not read; an empty table gives no rows.
 """
 
@@ -57,7 +58,7 @@ def exact_groups(docs: DataFrame, lanes: int = LANES, fan_in: int = FAN_IN) -> D
     """One row per document with its group's survivor."""
     rows = write_table(digests(docs), "digests")
     groups = write_table(merge_tree(rows, lanes, fan_in), "digest-groups")
-    return rows.join(groups, ["digest", "plain_len"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.join(groups, ["digest", "plain_len"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +67,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of equal texts stays."""
-    kept = exact_groups(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*DOCUMENT_COLUMNS)
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*DOCUMENT_COLUMNS)
 
 
 OP7_SQL = r"""

@@ -90,16 +90,27 @@ def schedule(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_passes: int
     return placed.select("doc_id", "source", "size", "source_size", "target", F.array(*[one_pass(k) for k in range(max_passes)]).alias("passes"))
 
 
+MIX_COLUMNS = ("mix_row", "mix_size", "mix_pass", "mix_finish", "mix_taken")
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
     """The mixed corpus in the order of virtual finish times: the columns of
-    ``docs`` plus pass_no, finish, taken.  Rows that take no word are left out;
-    a straddling document's text is cut after its ``taken`` words."""
-    plan = schedule(docs, weights, max_passes).select("doc_id", "size", F.explode("passes").alias("p")).where("p.taken > 0").select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), "p.*")
-    joined = docs.join(plan, F.col("doc_id") == F.col("m_id"))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int")), " ")
-    text = F.when(F.col("taken") < F.col("m_size"), head).otherwise(F.col("text"))
-    mixed = joined.withColumn("text", text).drop("m_id", "m_size")
-    return mixed.repartitionByRange(F.col("finish"), F.col("doc_id")).sortWithinPartitions("finish", "doc_id")
+    ``docs`` plus mix_pass, mix_finish, mix_taken (columns of those names are
+    replaced).  Rows that take no word are left out; a straddling document's
+    text is cut after its words.  Where doc_id does not tell all rows apart,
+    rows get a written number of their own first."""
+    own = docs.drop(*MIX_COLUMNS)
+    alike = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if alike.limit(1).count():
+        own = write_table(own.withColumn("mix_row", F.monotonically_increasing_id()), "mix-rows")
+    else:
+        own = own.withColumn("mix_row", F.col("doc_id"))
+    plan = schedule(own.select(F.col("mix_row").alias("doc_id"), "source", "text"), weights, max_passes)
+    taken = plan.select("doc_id", "size", F.explode("passes").alias("p")).where("p.taken > 0")
+    taken = taken.select(F.col("doc_id").alias("mix_row"), F.col("size").alias("mix_size"), F.col("p.pass_no").alias("mix_pass"), F.col("p.finish").alias("mix_finish"), F.col("p.taken").alias("mix_taken"))
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("mix_taken").cast("int")), " ")
+    mixed = own.join(taken, "mix_row").withColumn("text", F.when(F.col("mix_taken") < F.col("mix_size"), head).otherwise(F.col("text")))
+    return mixed.drop("mix_row", "mix_size").repartitionByRange(F.col("mix_finish"), F.col("doc_id")).sortWithinPartitions("mix_finish", "doc_id")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,5 +322,5 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: five-word shingles, similarity 0.8; the document with
     the smallest doc_id of each component stays."""
-    kept = near_components(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*DOCUMENT_COLUMNS)
+    kept = near_components(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*DOCUMENT_COLUMNS)

@@ -77,7 +77,7 @@ def features(text: str | None) -> list[float]:
         symbol / count,
         sum(len(w) > 25 for w in tokens) / count,
         min(count / max(1, len(lines)), 200) / 200,
-        max(kinds.values(), default=0) / count,
+        max(0, max(kinds.values(), default=0) - 1) / count,
     ]
 
 
