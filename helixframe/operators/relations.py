@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.dims import CODON_SQL, penalties
-from helixframe.plans.portable import PLANS
+from helixframe.plans.reports import ALL_PLANS, GENERALISED, SIGNATURE_BUCKETS
 
 
 def cell_keys(variants: DataFrame) -> DataFrame:
@@ -14,15 +14,31 @@ def cell_keys(variants: DataFrame) -> DataFrame:
     return variants.groupBy("sample_id", "gene").agg(F.array_join(F.sort_array(F.collect_list("token")), "|").alias("exact_key"))
 
 
+def token_words(variants: DataFrame) -> DataFrame:
+    """(sample_id, word): runs of two or more word characters in the generalised tokens."""
+    pieces = variants.sparkSession.sql(GENERALISED, variants=variants)
+    return pieces.select("sample_id", F.explode(F.regexp_extract_all("piece", F.lit(r"(?U)\w{2,}"), F.lit(0))).alias("word"))
+
+
+def signature_buckets(variants: DataFrame) -> DataFrame:
+    """(signature, bucket): a stable hash bucket of every signature."""
+    head = F.conv(F.substring(F.md5("signature"), 1, 8), 16, 10).cast("long")
+    return variants.select("signature").distinct().withColumn("bucket", head % SIGNATURE_BUCKETS)
+
+
 def apply(name: str, variants: DataFrame, samples: DataFrame) -> DataFrame:
     """The plan ``name`` of the catalogue over (variants, samples)."""
-    return run_text(variants.sparkSession, PLANS[name], variants, samples)
+    return run_text(variants.sparkSession, ALL_PLANS[name], variants, samples)
 
 
 def run_text(spark: SparkSession, text: str, variants: DataFrame, samples: DataFrame) -> DataFrame:
     tables = {"variants": variants, "samples": samples}
     if "{cellkeys}" in text:
         tables["cellkeys"] = cell_keys(variants)
+    if "{words}" in text:
+        tables["words"] = token_words(variants)
+    if "{sigbuckets}" in text:
+        tables["sigbuckets"] = signature_buckets(variants)
     if "{penalties}" in text:
         tables["penalties"] = penalties(spark)
     text = text.replace("{codons}", CODON_SQL.strip())

@@ -12,7 +12,8 @@ from helixframe.operators import ensemble, groups, latent, models
 from helixframe.operators.relations import apply, run_text
 from helixframe.plans.configs import dense_matrix
 from helixframe.plans.oracle import oracle
-from helixframe.plans.portable import _PREDS, PLANS
+from helixframe.plans.portable import _PREDS
+from helixframe.plans.reports import ALL_PLANS
 from helixframe.sources.tables import star_samples, star_variants
 from helixframe.streaming.scoring import event_windows
 
@@ -157,7 +158,7 @@ EVENT_SQL = "SELECT date_trunc('hour', ts) AS window_start, event_type, CAST(cou
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {name: plan(name) for name in PLANS}
+    found: dict[str, Query] = {name: plan(name) for name in ALL_PLANS}
     found |= {f.__name__: f for f in (blend_search, greedy_select, logit_bias_fit, crossfit_blend, stack_logistic, svd_projection, nmf_projection, gene_modules, twin_groups_jaccard, stratified_folds, group_folds, frame_fingerprint, pair_rule_matches, event_burden)}
     found |= {f"{name}_oof": model_oof(name) for name in models.DEFAULTS}
     found["dense_matrix_f1"] = lambda spark, sf_dir: dense_matrix("f1", *base(spark, sf_dir))
@@ -165,4 +166,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(text) for name, text in PLANS.items()} | {"pair_rule_matches": PAIR_SQL, "event_burden": EVENT_SQL}
+    return {name: oracle(text) for name, text in ALL_PLANS.items()} | {"pair_rule_matches": PAIR_SQL, "event_burden": EVENT_SQL}

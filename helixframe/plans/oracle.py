@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from helixframe.functions.dims import CODON_SQL, penalty_rows
+from helixframe.plans.reports import GENERALISED, SIGNATURE_BUCKETS
 
 RAW = r"""
   SELECT l_suppkey * 1000 + l_orderkey % 40 AS sample_id, r_name AS label, p_brand AS gene,
@@ -59,16 +60,23 @@ cellkeys AS (SELECT sample_id, gene, string_agg(token, '|' ORDER BY token) AS ex
 
 PENALTIES = "penalties AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', CAST({p!r} AS DOUBLE))" for a, b, p in penalty_rows()) + ") AS t(ref, alt, penalty))"
 
+WORDS = r"words AS (SELECT sample_id, unnest(regexp_extract_all(piece, '\w\w+')) AS word FROM (" + GENERALISED.replace("{variants}", "variants") + ") w)"
+BUCKETS = f"sigbuckets AS (SELECT DISTINCT signature, CAST('0x' || left(md5(signature), 8) AS BIGINT) % {SIGNATURE_BUCKETS} AS bucket FROM variants)"
+
 
 def oracle(text: str) -> str:
     """Portable text with its base relations for the comparison engine."""
     bases = [VARIANTS]
     if "{penalties}" in text:
         bases.append(PENALTIES)
+    if "{words}" in text:
+        bases.append(WORDS)
+    if "{sigbuckets}" in text:
+        bases.append(BUCKETS)
     if "{codons}" in text:
         text = text.replace("{codons}", CODON_SQL.strip())
     text = text.strip()
-    for name in ("variants", "samples", "cellkeys", "penalties"):
+    for name in ("variants", "samples", "cellkeys", "penalties", "words", "sigbuckets"):
         text = text.replace("{" + name + "}", name)
     body = text[4:].strip() if text[:4].upper() == "WITH" else None
     return "WITH " + ",".join(bases) + ((",\n" + body) if body else "\n" + text)

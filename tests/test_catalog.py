@@ -6,7 +6,7 @@ import pytest
 
 from helixframe.plans.configs import CONFIGS, dense_blocks
 from helixframe.plans.oracle import oracle
-from helixframe.plans.portable import PLANS
+from helixframe.plans.reports import ALL_PLANS
 
 DATA = Path("/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
@@ -25,12 +25,12 @@ def relations(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", PLANS)
+@pytest.mark.parametrize("name", ALL_PLANS)
 def test_plan(relations, name):
     from helixframe.operators.relations import apply
 
     con, variants, samples = relations
-    one, two = apply(name, variants, samples).toPandas(), con.sql(oracle(PLANS[name])).df()
+    one, two = apply(name, variants, samples).toPandas(), con.sql(oracle(ALL_PLANS[name])).df()
     columns = sorted(one.columns)
     assert columns == sorted(two.columns)
     one, two = (x[columns].sort_values(columns).reset_index(drop=True) for x in (one, two))
