@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.operators import ensemble, groups, latent, models
+from helixframe.operators import ensemble, groups, latent, models, reports
 from helixframe.operators.relations import apply, run_text
 from helixframe.plans.configs import dense_matrix
 from helixframe.plans.oracle import oracle
@@ -149,6 +149,59 @@ SELECT doc_id AS sample_id, matched_label, CASE WHEN length(matched_label) = 4 T
 FROM h JOIN one USING (profile) WHERE doc_id % 2 = 1"""
 
 
+def pair_rule_premises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.pair_premises(_halves(spark, sf_dir)[0], SOURCE_PAIRS)
+
+
+PREMISES_SQL = """WITH g AS (SELECT count(*) AS n, min(source) AS low, max(source) AS high FROM documents WHERE doc_id % 2 = 0 GROUP BY coalesce(text, '')),
+kinds AS (SELECT low, CASE WHEN n = 1 AND length(low) = 4 THEN 'orphan' WHEN n > 1 AND low = high THEN 'same_label' WHEN n = 2 AND length(low) = 4 AND high = 'src' || CAST(xor(CAST(substr(low, 4) AS INT), 1) AS VARCHAR) THEN 'pair_label' END AS premise FROM g)
+SELECT premise, CASE WHEN premise = 'orphan' THEN low ELSE '' END AS label, CAST(count(*) AS BIGINT) AS n FROM kinds WHERE premise IS NOT NULL GROUP BY ALL"""
+
+
+def oof_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the first member's table, damaged by rule: every 97th sample is
+    missing, folds are dealt over six, every 50th prediction is the true label."""
+    preds, classes = _labelled_members(spark, sf_dir)
+    top = reports.argmax_label(F.col("proba"), classes)
+    oof = preds.where("member = 1 and sample_id % 97 <> 0").select("sample_id", (F.col("sample_id") % 6).alias("fold"), "y_true", F.when(F.col("sample_id") % 50 == 0, F.col("y_true")).otherwise(top).alias("y_pred"), "proba")
+    return reports.oof_faults(oof, base(spark, sf_dir)[1], classes)
+
+
+FAULTS = f"""WITH {_PREDS}, o AS (SELECT sample_id, sample_id % 6 AS fold, y_pred AS top, CASE WHEN sample_id % 50 = 0 THEN y_true ELSE y_pred END AS y_pred FROM best WHERE member = 1 AND sample_id % 97 <> 0)
+SELECT {", ".join(f"CAST({how} AS BIGINT) AS {name}" for name, how in {"rows": "count(*)", "repeated_ids": "count(sample_id) - count(DISTINCT sample_id)", "bad_fold": "sum(CASE WHEN fold > 4 THEN 1 ELSE 0 END)", "unknown_label": "0", "bad_width": "0", "bad_value": "0", "bad_sum": "0", "not_argmax": "sum(CASE WHEN y_pred <> top THEN 1 ELSE 0 END)", "missing_ids": "(SELECT count(*) FROM {samples} WHERE sample_id % 97 = 0)", "unexpected_ids": "0"}.items())} FROM o"""
+
+
+def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    preds, classes = _labelled_members(spark, sf_dir)
+    _, truth, stack = ensemble.collect_members(preds, classes)
+    found = reports.fit_temperatures(stack, truth, by="log_loss")
+    return spark.createDataFrame([(k + 1, t) for k, t in enumerate(found)], "member int, temperature double")
+
+
+def per_class_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    preds, classes = _labelled_members(spark, sf_dir)
+    _, truth, stack = ensemble.collect_members(preds, classes)
+    w = reports.PerClassBlender(passes=1).fit(stack, truth).weights_
+    return spark.createDataFrame([(classes[c], m + 1, float(w[c, m])) for c in range(w.shape[0]) for m in range(w.shape[1])], "cls string, member int, weight double")
+
+
+def latent_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variants = star_variants(spark, sf_dir)
+    x, names = latent.matrix(variants)
+    train = x.where("sample_id % 5 <> 0")
+    basis = latent.svd_components(train, names, min(8, len(names) - 1))
+    burden = variants.groupBy("sample_id").agg(F.count_distinct("gene").alias("burden"))
+    return reports.latent_report(latent.project(train, names, basis), latent.project(x.where("sample_id % 5 = 0"), names, basis), burden)
+
+
+def module_seed_ari(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the gene modules of two seeds."""
+    x, names = latent.matrix(star_variants(spark, sf_dir))
+    train = x.where("sample_id % 5 <> 0")
+    parts = [latent.gene_modules(train, names, seed=s).select(F.col("gene").alias("item"), F.col("module").alias("part")) for s in (42, 7)]
+    return reports.rand_index(*parts)
+
+
 def event_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = event_windows(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return found.select("window_start", "event_type", F.col("n").cast("long").alias("n"), F.round("total", 4).alias("total"))
@@ -159,11 +212,11 @@ EVENT_SQL = "SELECT date_trunc('hour', ts) AS window_start, event_type, CAST(cou
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {name: plan(name) for name in ALL_PLANS}
-    found |= {f.__name__: f for f in (blend_search, greedy_select, logit_bias_fit, crossfit_blend, stack_logistic, svd_projection, nmf_projection, gene_modules, twin_groups_jaccard, stratified_folds, group_folds, frame_fingerprint, pair_rule_matches, event_burden)}
+    found |= {f.__name__: f for f in (blend_search, greedy_select, logit_bias_fit, crossfit_blend, stack_logistic, svd_projection, nmf_projection, gene_modules, twin_groups_jaccard, stratified_folds, group_folds, frame_fingerprint, pair_rule_matches, pair_rule_premises, oof_faults, temperature_fit, per_class_fit, latent_inspect, module_seed_ari, event_burden)}
     found |= {f"{name}_oof": model_oof(name) for name in models.DEFAULTS}
     found["dense_matrix_f1"] = lambda spark, sf_dir: dense_matrix("f1", *base(spark, sf_dir))
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(text) for name, text in ALL_PLANS.items()} | {"pair_rule_matches": PAIR_SQL, "event_burden": EVENT_SQL}
+    return {name: oracle(text) for name, text in ALL_PLANS.items()} | {"pair_rule_matches": PAIR_SQL, "pair_rule_premises": PREMISES_SQL, "oof_faults": oracle(FAULTS), "event_burden": EVENT_SQL}
