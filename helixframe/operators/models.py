@@ -1,7 +1,8 @@
 """Classifiers behind one registry, and out-of-fold prediction.
 
-Boosted trees are one-vs-rest Spark trees and the network is Spark's multilayer
-perceptron; extremely randomised trees and set encoders have no counterpart.
+Boosted trees are one-vs-rest Spark trees, the network is Spark's multilayer
+perceptron and extremely randomised trees are grown by this package; set encoders
+have no counterpart.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.extra_trees import ExtraTrees
+
 DEFAULTS = {
     "rf": {"numTrees": 40, "maxDepth": 8, "seed": 42},
     "logistic": {"maxIter": 50, "regParam": 0.01, "family": "multinomial"},
     "gbt": {"maxIter": 5, "maxDepth": 3, "seed": 42},
     "mlp": {"maxIter": 40, "seed": 42},
+    "extra_trees": {"trees": 30, "depth": 6, "seed": 42},
 }
 
 
@@ -26,6 +30,8 @@ def create(name: str, width: int, classes: int, weighted: bool = True, **params)
     if name not in DEFAULTS:
         raise ValueError(f"unknown model {name}; there are {sorted(DEFAULTS)}")
     p = DEFAULTS[name] | params
+    if name == "extra_trees":
+        return ExtraTrees(**p)
     common = {"featuresCol": "features", "labelCol": "y"}
     weight = {"weightCol": "weight"} if weighted else {}
     if name == "rf":
@@ -53,12 +59,17 @@ def out_of_fold(ready: DataFrame, name: str, **params) -> DataFrame:
     width = ready.first()["features"].size
     out = None
     for (fold,) in sorted(ready.select("fold").distinct().collect()):
-        model = create(name, width, classes, **params).fit(ready.where(F.col("fold") != fold))
-        scored = model.transform(ready.where(F.col("fold") == fold))
+        train, test = ready.where(F.col("fold") != fold), ready.where(F.col("fold") == fold)
+        if name == "extra_trees":
+            plain = lambda part: part.withColumn("features", vector_to_array("features"))
+            forest = ExtraTrees(**(DEFAULTS[name] | params)).fit(plain(train), classes, width)
+            scored = forest.transform(plain(test))
+        else:
+            scored = create(name, width, classes, **params).fit(train).transform(test)
         if name == "gbt":
             raw = F.transform(vector_to_array("rawPrediction"), lambda v: 1 / (1 + F.exp(-2 * v)))
             scored = scored.withColumn("s", raw).withColumn("proba", F.transform("s", lambda v: v / F.aggregate("s", F.lit(1e-12), lambda a, b: a + b)))
-        else:
+        elif name != "extra_trees":
             scored = scored.withColumn("proba", vector_to_array("probability"))
         part = scored.select("sample_id", "fold", F.col("label").alias("y_true"), "proba")
         out = part if out is None else out.union(part)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.dims import CODON_SQL, penalties
-from helixframe.plans.reports import ALL_PLANS, GENERALISED, SIGNATURE_BUCKETS
+from helixframe.plans.reports import ALL_PLANS, GENERALISED, PART_PLACE, SIGNATURE_BUCKETS
 
 
 def cell_keys(variants: DataFrame) -> DataFrame:
@@ -15,9 +15,10 @@ def cell_keys(variants: DataFrame) -> DataFrame:
 
 
 def token_words(variants: DataFrame) -> DataFrame:
-    """(sample_id, word): runs of two or more word characters in the generalised tokens."""
+    """(sample_id, gene, seq, place, spot, word): runs of two or more word
+    characters in the generalised tokens, and where they stand."""
     pieces = variants.sparkSession.sql(GENERALISED, variants=variants)
-    return pieces.select("sample_id", F.explode(F.regexp_extract_all("piece", F.lit(r"(?U)\w{2,}"), F.lit(0))).alias("word"))
+    return pieces.select("sample_id", "gene", "seq", F.expr(PART_PLACE).alias("place"), F.posexplode(F.regexp_extract_all("piece", F.lit(r"(?U)\w{2,}"), F.lit(0))).alias("spot", "word"))
 
 
 def signature_buckets(variants: DataFrame) -> DataFrame:

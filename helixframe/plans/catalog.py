@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import ensemble, groups, latent, models, reports
 from helixframe.operators.relations import apply, run_text
 from helixframe.plans.configs import dense_matrix
+from helixframe.plans.matrices import MATRIX_PLANS, long_matrix
 from helixframe.plans.oracle import oracle
 from helixframe.plans.portable import _PREDS
 from helixframe.plans.reports import ALL_PLANS
@@ -35,6 +36,19 @@ def plan(name: str) -> Query:
     return lambda spark, sf_dir: apply(name, *base(spark, sf_dir))
 
 
+def written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The base relations with the tokens written once, for plans that read them
+    many times."""
+    shared(spark)
+    variants, _ = base(spark, sf_dir)
+    variants = variants.checkpoint()
+    return variants, star_samples(spark, sf_dir, variants)
+
+
+def text_query(text: str) -> Query:
+    return lambda spark, sf_dir: run_text(spark, text, *written(spark, sf_dir))
+
+
 def _labelled_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """Probabilities of three synthetic members as arrays in class order."""
     rows = run_text(spark, f"WITH {_PREDS} SELECT sample_id, member, y_true, cls, ci, p FROM preds", *base(spark, sf_dir))
@@ -214,9 +228,11 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {name: plan(name) for name in ALL_PLANS}
     found |= {f.__name__: f for f in (blend_search, greedy_select, logit_bias_fit, crossfit_blend, stack_logistic, svd_projection, nmf_projection, gene_modules, twin_groups_jaccard, stratified_folds, group_folds, frame_fingerprint, pair_rule_matches, pair_rule_premises, oof_faults, temperature_fit, per_class_fit, latent_inspect, module_seed_ari, event_burden)}
     found |= {f"{name}_oof": model_oof(name) for name in models.DEFAULTS}
+    found |= {name: text_query(text) for name, text in MATRIX_PLANS.items()}
+    found["matrix_f11"] = lambda spark, sf_dir: long_matrix("f11", *written(spark, sf_dir), components=8, modules=5)
     found["dense_matrix_f1"] = lambda spark, sf_dir: dense_matrix("f1", *base(spark, sf_dir))
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(text) for name, text in ALL_PLANS.items()} | {"pair_rule_matches": PAIR_SQL, "pair_rule_premises": PREMISES_SQL, "oof_faults": oracle(FAULTS), "event_burden": EVENT_SQL}
+    return {name: oracle(text) for name, text in (ALL_PLANS | MATRIX_PLANS).items()} | {"pair_rule_matches": PAIR_SQL, "pair_rule_premises": PREMISES_SQL, "oof_faults": oracle(FAULTS), "event_burden": EVENT_SQL}

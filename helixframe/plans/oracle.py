@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from helixframe.functions.dims import CODON_SQL, penalty_rows
-from helixframe.plans.reports import GENERALISED, SIGNATURE_BUCKETS
+from helixframe.plans.reports import GENERALISED, PART_PLACE, SIGNATURE_BUCKETS
 
 RAW = r"""
   SELECT l_suppkey * 1000 + l_orderkey % 40 AS sample_id, r_name AS label, p_brand AS gene,
@@ -60,7 +60,10 @@ cellkeys AS (SELECT sample_id, gene, string_agg(token, '|' ORDER BY token) AS ex
 
 PENALTIES = "penalties AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', CAST({p!r} AS DOUBLE))" for a, b, p in penalty_rows()) + ") AS t(ref, alt, penalty))"
 
-WORDS = r"words AS (SELECT sample_id, unnest(regexp_extract_all(piece, '\w\w+')) AS word FROM (" + GENERALISED.replace("{variants}", "variants") + ") w)"
+WORDS = (
+    r"words AS (SELECT sample_id, gene, seq, place, unnest(range(len(m))) AS spot, unnest(m) AS word FROM (SELECT *, " + PART_PLACE + r" AS place, regexp_extract_all(piece, '\w\w+') AS m FROM ("
+    + GENERALISED.replace("{variants}", "variants") + ") w) z)"
+)
 BUCKETS = f"sigbuckets AS (SELECT DISTINCT signature, CAST('0x' || left(md5(signature), 8) AS BIGINT) % {SIGNATURE_BUCKETS} AS bucket FROM variants)"
 
 

@@ -7,7 +7,7 @@ relations, the words of generalised tokens and the hash buckets of signatures.
 
 from __future__ import annotations
 
-from helixframe.plans.portable import _BURDEN, _BURDEN_TABLE, _FREQ_KEYS, _GENERALISED, _MUT, _PREDS, BURDEN_BINS, CELLS, PLANS, TRAIN, d, i, per_sample
+from helixframe.plans.portable import _BURDEN, _BURDEN_TABLE, _FREQ_KEYS, _GENERAL, _GENERALISED, _MUT, _PREDS, BURDEN_BINS, CELLS, PLANS, TRAIN, d, i, per_sample
 
 POSITION_BIN, POSITION_BINS, SIGNATURE_BUCKETS = 25, 512, 4096
 SMOOTHING, GAMMA = 0.05, 2
@@ -75,7 +75,18 @@ _FOLD_F1 = f"""{_PREDS}, {_FOLDS}, hits AS (
   FROM best b JOIN (SELECT fold FROM folds UNION ALL SELECT -1) f ON f.fold = -1 OR b.sample_id % 5 = f.fold CROSS JOIN classes c GROUP BY b.member, f.fold, c.cls
 ), fold_f1 AS (SELECT member, fold, avg(CASE WHEN seen > 0 THEN 2e0 * tp / seen END) AS f1 FROM hits GROUP BY member, fold)"""
 
+#: Place of a generalised part among those of its token.
+PART_PLACE = "CASE part " + " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(_GENERAL)) + " END"
+
+#: Pairs of words that follow each other in a sample's document, in the order of
+#: genes, tokens and parts; kept where at least two train samples have them.
+WORD_PAIRS = f"""WITH w AS (SELECT sample_id, word, lead(word) OVER (PARTITION BY sample_id ORDER BY gene, seq, place, spot) AS follows FROM {{words}}),
+c AS (SELECT sample_id, word, follows, count(*) AS n FROM w WHERE follows IS NOT NULL GROUP BY sample_id, word, follows),
+df AS (SELECT word, follows FROM c WHERE {TRAIN} GROUP BY word, follows HAVING count(*) >= 2)
+SELECT concat(c.word, ' ', c.follows) AS term, {i("documents", "count(DISTINCT sample_id)")}, {i("tokens", "sum(n)")} FROM c JOIN df ON c.word = df.word AND c.follows = df.follows GROUP BY concat(c.word, ' ', c.follows)"""
+
 REPORTS: dict[str, str] = {
+    "word_pairs": WORD_PAIRS,
     "token_ids": TOKEN_IDS,
     "doc_parsed": PARSED_WORDS,
     "ratio10": f"SELECT a.*, b.hypermutated_flag, b.burden_quantile_bin FROM ({per_sample({k: _BURDEN[k] for k in _RATIOS})}) a JOIN ({BURDEN_BINS}) b ON a.sample_id = b.sample_id",

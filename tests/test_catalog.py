@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from helixframe.plans.configs import CONFIGS, dense_blocks
+from helixframe.plans.matrices import BURDEN, MATRIX_PLANS, ROBUST, config_text
 from helixframe.plans.oracle import oracle
 from helixframe.plans.reports import ALL_PLANS
 
@@ -25,12 +26,13 @@ def relations(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ALL_PLANS)
+@pytest.mark.parametrize("name", ALL_PLANS | MATRIX_PLANS)
 def test_plan(relations, name):
-    from helixframe.operators.relations import apply
+    from helixframe.operators.relations import run_text
 
     con, variants, samples = relations
-    one, two = apply(name, variants, samples).toPandas(), con.sql(oracle(ALL_PLANS[name])).df()
+    text = (ALL_PLANS | MATRIX_PLANS)[name]
+    one, two = run_text(variants.sparkSession, text, variants, samples).toPandas(), con.sql(oracle(text)).df()
     columns = sorted(one.columns)
     assert columns == sorted(two.columns)
     one, two = (x[columns].sort_values(columns).reset_index(drop=True) for x in (one, two))
@@ -43,3 +45,12 @@ def test_configs():
     assert len(CONFIGS) == 36
     assert CONFIGS["f4rws"] == (("domain", "rollup16", "enc3"), "balanced+group_sqrt")
     assert dense_blocks("f1") == ["domain_burden", "domain_kinds", "domain_sbs"]
+
+
+@needs_data
+def test_matrix_columns(relations):
+    """Every configuration gives text, and the robust roll-up its columns."""
+    assert all(config_text(name) for name in CONFIGS)
+    con, _, _ = relations
+    found = {f for (f,) in con.sql(f"select distinct feature from ({oracle(config_text('f4r'))}) x where feature like 'rollup16%'").fetchall()}
+    assert found <= {f"rollup16__{c}" for c in (*ROBUST, *BURDEN)} and len(found) > 10
