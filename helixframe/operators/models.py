@@ -52,6 +52,16 @@ def assemble(features: DataFrame, columns: list[str]) -> DataFrame:
     return made.join(counts, "y").withColumn("weight", F.lit(n) / (F.lit(k) * F.col("c"))).select("sample_id", "label", "fold", "features", "y", "weight")
 
 
+def with_proba(scored: DataFrame, name: str) -> DataFrame:
+    """The array column ``proba`` from a model's own output columns."""
+    if name == "extra_trees":
+        return scored
+    if name != "gbt":
+        return scored.withColumn("proba", vector_to_array("probability"))
+    raw = F.transform(vector_to_array("rawPrediction"), lambda v: 1 / (1 + F.exp(-2 * v)))
+    return scored.withColumn("s", raw).withColumn("proba", F.transform("s", lambda v: v / F.aggregate("s", F.lit(1e-12), lambda a, b: a + b)))
+
+
 def out_of_fold(ready: DataFrame, name: str, **params) -> DataFrame:
     """sample_id, fold, y_true, proba: each fold predicted by a model of the
     other folds."""
@@ -66,11 +76,6 @@ def out_of_fold(ready: DataFrame, name: str, **params) -> DataFrame:
             scored = forest.transform(plain(test))
         else:
             scored = create(name, width, classes, **params).fit(train).transform(test)
-        if name == "gbt":
-            raw = F.transform(vector_to_array("rawPrediction"), lambda v: 1 / (1 + F.exp(-2 * v)))
-            scored = scored.withColumn("s", raw).withColumn("proba", F.transform("s", lambda v: v / F.aggregate("s", F.lit(1e-12), lambda a, b: a + b)))
-        elif name != "extra_trees":
-            scored = scored.withColumn("proba", vector_to_array("probability"))
-        part = scored.select("sample_id", "fold", F.col("label").alias("y_true"), "proba")
+        part = with_proba(scored, name).select("sample_id", "fold", F.col("label").alias("y_true"), "proba")
         out = part if out is None else out.union(part)
     return out

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import latent
 from helixframe.operators.relations import run_text
 from helixframe.plans.configs import BLOCKS, CONFIGS
-from helixframe.plans.portable import _TFIDF, PLANS, TRAIN, chi2, d, evidence
+from helixframe.plans.portable import _PANEL, _TFIDF, PLANS, TRAIN, chi2, d, evidence
 from helixframe.plans.reports import ALL_PLANS
 
 TOP_GENES, TOP_WORDS = 500, 1000
@@ -128,9 +128,13 @@ def _latent_block(block: str, variants: DataFrame, components: int, modules: int
     return placed.select("sample_id", F.posexplode("latent").alias("k", "value")).select("sample_id", F.concat(F.lit(f"{block}__"), F.col("k").cast("string")).alias("feature"), "value")
 
 
-def long_matrix(name: str, variants: DataFrame, samples: DataFrame, components: int = 64, modules: int = 24) -> DataFrame:
-    """sample_id, feature, value of every block of the configuration."""
-    out = run_text(variants.sparkSession, config_text(name), variants, samples)
+def long_matrix(name: str, variants: DataFrame, samples: DataFrame, components: int = 64, modules: int = 24, panel: tuple[str, ...] | None = None) -> DataFrame:
+    """sample_id, feature, value of every block of the configuration; ``panel``
+    names the driver genes in place of those of the star schema."""
+    text = config_text(name)
+    if panel:
+        text = text.replace(_PANEL, "(" + ", ".join("'" + g.replace("'", "''") + "'" for g in panel) + ")")
+    out = run_text(variants.sparkSession, text, variants, samples)
     for block in config_blocks(name):
         if block in LATENT:
             out = out.union(_latent_block(block, variants, components, modules).where("value <> 0").select("sample_id", "feature", F.round("value", 6).alias("value")))
