@@ -34,6 +34,8 @@ from helixframe.llm.text import crc_of_id, mix64
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 3000
+#: Up to so many languages, their counts are sent to every task.
+MOST_BROADCAST = 10_000
 EDGE = "\x02"
 UNDETERMINED = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -186,6 +188,10 @@ class WordScores:
 def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Identifier | None:
     labelled = docs.where("lang is not null and text is not null").where(crc_of_id(F.col("doc_id")) % 4 != 2).select("doc_id", "lang", "text")
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("lang", "c_lang")
+    known = counts.limit(MOST_BROADCAST + 1).collect()
+    if len(known) <= MOST_BROADCAST:
+        # so that no text is shuffled by its language to be sampled
+        counts = F.broadcast(docs.sparkSession.createDataFrame(known, counts.schema))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40)) / float(1 << 40)
     chosen = labelled.join(counts, F.col("lang") == F.col("c_lang")).where(draw * F.col("rows") < per_language).withColumn("fifth", F.pmod(F.xxhash64("doc_id", F.lit("fifth")), F.lit(5)))
     got = chosen.where("fifth > 0").select("lang", "text").mapInPandas(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
