@@ -30,6 +30,7 @@ from helixframe.llm.store import read
 from helixframe.llm.text import DOCUMENT_COLUMNS, crc_of_id
 
 MAX_LABELLED = 20_000
+MOST_BROADCAST = 100_000
 PAIRS = 60_000
 RIDGE = 1e-3
 THRESHOLD = 0.3
@@ -137,6 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": list(matrix(batch["text"]))})
 
+    # identifiers and marks of at most MOST_BROADCAST rows, so that no text is shuffled
+    chosen = F.broadcast(chosen) if max_labelled <= MOST_BROADCAST else chosen
     got = docs.select("doc_id", "text").join(chosen, "doc_id").mapInPandas(rows, "doc_id long, quality int, x array<double>").toPandas()
     if not len(got):
         return None
