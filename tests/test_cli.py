@@ -69,3 +69,14 @@ def test_features_and_folds(spark, files, tmp_path):
     assert spark.read.parquet(str(tmp_path / "b")).count() == 60
     cli.main(["folds", "--cv", "sgkf", "--folds", "3", "--input", str(files / "train.csv"), "--output", str(tmp_path / "f")], spark)
     assert {r["fold"] for r in spark.read.parquet(str(tmp_path / "f")).collect()} == {0, 1, 2}
+
+
+def test_ladder_and_search_go_on(spark, files, tmp_path, capsys):
+    common = ["--folds", "2", "--input", str(files / "train.csv"), "--output", str(tmp_path)]
+    cli.main(["ladder", "--configs", "f1", "--models", "logistic", *common], spark)
+    cli.main(["ladder", "--configs", "f1", "--models", "logistic", *common], spark)
+    assert len((tmp_path / "runs.jsonl").read_text().splitlines()) == 1
+    cli.main(["tune", "logistic", "--config", "f1", "--trials", "1", *common], spark)
+    cli.main(["tune", "logistic", "--config", "f1", "--trials", "2", *common], spark)
+    trials = [json.loads(x) for x in (tmp_path / "logistic_f1.jsonl").read_text().splitlines()]
+    assert [t["number"] for t in trials] == [0, 1] and trials[0]["params"] == {"regParam": 0.01} and all(t["state"] == "complete" for t in trials)
