@@ -144,8 +144,7 @@ def blend(spark: SparkSession, args: argparse.Namespace) -> None:
     for k, (table, _) in enumerate(read):
         part = table.select(F.col("ID").alias("sample_id"), F.lit(k + 1).alias("member"), "y_true", "proba")
         union = part if union is None else union.union(part)
-    _, truth, stack = ensemble.collect_members(union, classes)
-    found = ensemble.MacroF1Blender().fit(stack, truth)
+    found = ensemble.MacroF1Blender().fit(ensemble.searched(*ensemble.pack(union, classes), len(classes)))
     print(json.dumps({"weights": dict(zip(args.files, map(float, found.weights_)))}))
     mixed = ensemble.apply_weights(union, {k + 1: float(w) for k, w in enumerate(found.weights_)}).join(union.where("member = 1").select("sample_id", "y_true"), "sample_id")
     P.write_csv_file(P.prediction_frame(mixed.withColumnRenamed("sample_id", "ID"), classes), args.output, overwrite=args.overwrite)

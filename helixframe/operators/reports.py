@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.operators.ensemble import macro_f1
+from helixframe.operators.ensemble import Rows, as_rows, climb, macro_f1
 
 CORRELATION_LIMIT, SHIFT_LIMIT = 0.90, 1.80
 
@@ -141,13 +142,25 @@ def sharpened(proba: np.ndarray, temperature: float) -> np.ndarray:
     return q / q.sum(axis=-1, keepdims=True)
 
 
-def fit_temperatures(stack: np.ndarray, truth: np.ndarray, grid: Sequence[float] = (0.5, 0.7, 0.85, 1.0, 1.25, 1.5, 2.0, 3.0), by: str = "macro_f1") -> list[float]:
+def _tempered(member: int, t: float, stack: np.ndarray) -> np.ndarray:
+    return sharpened(stack[member], t)
+
+
+def _log_loss(member: int, t: float, stack: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    return -np.log(sharpened(stack[member], t)[np.arange(len(truth)), truth])
+
+
+def fit_temperatures(stack: np.ndarray | Rows, truth: np.ndarray | None = None, grid: Sequence[float] = (0.5, 0.7, 0.85, 1.0, 1.25, 1.5, 2.0, 3.0), by: str = "macro_f1") -> list[float]:
     """Each member's best temperature on its own, the first of the grid on ties.
     A power keeps the order of classes, so macro F1 ties but for rounding;
     ``by="log_loss"`` tells temperatures apart."""
-    own, c = np.arange(len(truth)), stack.shape[2]
-    loss = {"macro_f1": lambda q: -macro_f1(truth, q.argmax(axis=1), c), "log_loss": lambda q: -np.log(q[own, truth]).mean()}[by]
-    return [float(min(grid, key=lambda t: loss(sharpened(p, t)))) for p in stack]
+    rows = as_rows(stack, truth)
+    tries = [(k, t) for k in range(rows.members) for t in grid]
+    if by == "macro_f1":
+        loss = [-s for s in rows.scores([partial(_tempered, k, t) for k, t in tries])]
+    else:
+        loss = rows.mean([partial({"log_loss": _log_loss}[by], k, t) for k, t in tries])
+    return [float(grid[int(np.argmin(loss[k * len(grid) : (k + 1) * len(grid)]))]) for k in range(rows.members)]
 
 
 class PerClassBlender:
@@ -160,21 +173,27 @@ class PerClassBlender:
     def mix(stack: np.ndarray, weights: np.ndarray) -> np.ndarray:
         return np.einsum("mnc,cm->nc", stack, weights)
 
-    def fit(self, stack: np.ndarray, truth: np.ndarray) -> PerClassBlender:
-        m, _, c = stack.shape
+    def fit(self, stack: np.ndarray | Rows, truth: np.ndarray | None = None) -> PerClassBlender:
+        rows = as_rows(stack, truth)
+        m, c = rows.members, rows.classes
+        moves = [(k, j, s) for k in range(c) for j in range(m) for s in self.steps]
+
+        def change(w: np.ndarray, move: tuple[int, int, float]) -> np.ndarray | None:
+            k, j, step = move
+            row = w[k].copy()
+            row[j] = max(0.0, row[j] + step)
+            if row.sum() <= 0:
+                return None
+            trial = w.copy()
+            trial[k] = row / row.sum()
+            return trial
+
         w = np.full((c, m), 1 / m)
-        best = macro_f1(truth, self.mix(stack, w).argmax(axis=1), c)
+        mix = lambda weights, stack: np.einsum("mnc,cm->nc", stack, weights)
+        best = rows.score(partial(mix, w))
         for _ in range(self.passes):
             before = best
-            for k, j, step in ((k, j, s) for k in range(c) for j in range(m) for s in self.steps):
-                row = w[k].copy()
-                row[j] = max(0.0, row[j] + step)
-                if row.sum() <= 0:
-                    continue
-                trial = w.copy()
-                trial[k] = row / row.sum()
-                if (s := macro_f1(truth, self.mix(stack, trial).argmax(axis=1), c)) > best + 1e-12:
-                    w, best = trial, s
+            w, best = climb(rows, w, best, moves, change, mix)
             if best == before:
                 break
         self.weights_, self.score_ = w, best

@@ -57,32 +57,38 @@ def _labelled_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list
     return arrays, classes
 
 
+def _rows(spark: SparkSession, preds: DataFrame, classes: list[str]) -> ensemble.Rows:
+    shared(spark)
+    return ensemble.searched(*ensemble.pack(preds, classes), len(classes))
+
+
 def blend_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, classes = _labelled_members(spark, sf_dir)
-    _, truth, stack = ensemble.collect_members(preds, classes)
-    found = ensemble.MacroF1Blender(steps=(0.25, 0.1), passes=2).fit(stack, truth)
+    rows = _rows(spark, preds, classes)
+    found = ensemble.MacroF1Blender(steps=(0.25, 0.1), passes=2).fit(rows)
     return ensemble.apply_weights(preds, {i + 1: float(w) for i, w in enumerate(found.weights_)})
 
 
 def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, classes = _labelled_members(spark, sf_dir)
-    _, truth, stack = ensemble.collect_members(preds, classes)
-    found = ensemble.GreedySelector(rounds=10).fit(stack, truth)
+    rows = _rows(spark, preds, classes)
+    found = ensemble.GreedySelector(rounds=10).fit(rows)
     return spark.createDataFrame([(i + 1, float(w)) for i, w in enumerate(found.weights_)], "member int, weight double")
 
 
 def logit_bias_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, classes = _labelled_members(spark, sf_dir)
-    _, truth, stack = ensemble.collect_members(preds, classes)
-    found = ensemble.LogitBias(steps=(0.5, 0.1), passes=2).fit(stack[0], truth)
+    rows = _rows(spark, preds, classes)
+    found = ensemble.LogitBias(steps=(0.5, 0.1), passes=2).fit(rows)
     return ensemble.apply_bias(preds.where("member = 1").select("sample_id", "proba"), found.bias_)
 
 
 def crossfit_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, classes = _labelled_members(spark, sf_dir)
-    ids, truth, stack = ensemble.collect_members(preds, classes)
-    mixed = ensemble.crossfit(stack, truth, ids % 5)
-    return spark.createDataFrame([(int(i), [float(v) for v in p]) for i, p in zip(ids, mixed)], "sample_id long, proba array<double>")
+    shared(spark)
+    packed, members = ensemble.pack(preds, classes, F.col("sample_id") % 5)
+    learned = ensemble.crossfit(ensemble.searched(packed, members, len(classes)))
+    return ensemble.apply_crossfit(packed, learned, members, len(classes))
 
 
 def _ready(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,15 +193,15 @@ SELECT {", ".join(f"CAST({how} AS BIGINT) AS {name}" for name, how in {"rows": "
 
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, classes = _labelled_members(spark, sf_dir)
-    _, truth, stack = ensemble.collect_members(preds, classes)
-    found = reports.fit_temperatures(stack, truth, by="log_loss")
+    rows = _rows(spark, preds, classes)
+    found = reports.fit_temperatures(rows, by="log_loss")
     return spark.createDataFrame([(k + 1, t) for k, t in enumerate(found)], "member int, temperature double")
 
 
 def per_class_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, classes = _labelled_members(spark, sf_dir)
-    _, truth, stack = ensemble.collect_members(preds, classes)
-    w = reports.PerClassBlender(passes=1).fit(stack, truth).weights_
+    rows = _rows(spark, preds, classes)
+    w = reports.PerClassBlender(passes=1).fit(rows).weights_
     return spark.createDataFrame([(classes[c], m + 1, float(w[c, m])) for c in range(w.shape[0]) for m in range(w.shape[1])], "cls string, member int, weight double")
 
 

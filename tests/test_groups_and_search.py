@@ -73,3 +73,45 @@ def test_streaming(spark, tmp_path):
     query = token_burden(cells).writeStream.outputMode("complete").format("memory").queryName("burden").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {tuple(r) for r in spark.table("burden").collect()} == {(1, 2, 1, 1), (2, 1, 0, 0)}
+
+
+def test_searches_use_every_row(spark, monkeypatch):
+    """Beyond the driver's bound no sample is lost, and all searches give what
+    they give on the whole matrix."""
+    from helixframe.operators import reports
+
+    rng = np.random.default_rng(5)
+    truth = rng.integers(0, 3, 300)
+    stack = np.stack([np.eye(3)[truth] * 0.5 + rng.random((300, 3)), np.eye(3)[truth] * 0.3 + rng.random((300, 3))])
+    preds = spark.createDataFrame([(s, m, "abc"[truth[s]], stack[m, s].tolist()) for s in range(300) for m in range(2)], "sample_id long, member int, y_true string, proba array<double>")
+    packed, members = ensemble.pack(preds, list("abc"), preds["sample_id"] % 3)
+    held = ensemble.searched(packed, members, 3)
+    monkeypatch.setattr(ensemble, "MOST_ROWS", 50)
+    spread = ensemble.searched(packed, members, 3)
+    assert isinstance(held, ensemble.Held) and isinstance(spread, ensemble.Spread)
+    fits = (
+        lambda r: ensemble.MacroF1Blender((0.25, 0.1), 2).fit(r).weights_, lambda r: ensemble.GreedySelector(3).fit(r).weights_, lambda r: ensemble.LogitBias((0.5,), 2).fit(r).bias_,
+        lambda r: reports.fit_temperatures(r, by="log_loss"), lambda r: reports.PerClassBlender(passes=1).fit(r).weights_,
+    )
+    for fit in fits:
+        assert np.allclose(fit(held), fit(spread))
+    learned = ensemble.crossfit(held)
+    out = {r["sample_id"]: r["proba"] for r in ensemble.apply_crossfit(packed, learned, members, 3).collect()}
+    assert sorted(out) == list(range(300)) and sorted(learned) == [0, 1, 2]
+    shares = stack / stack.sum(axis=2, keepdims=True)
+    z = np.tensordot(learned[7 % 3][0], shares[:, 7], 1) * np.exp(learned[7 % 3][1])
+    assert np.allclose(out[7], z / z.sum())
+
+
+def test_crossfit_blend_keeps_every_sample(spark, monkeypatch):
+    from pathlib import Path
+
+    from helixframe.plans import catalog
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no driver tables")
+    monkeypatch.setattr(ensemble, "MOST_ROWS", 100)
+    few = {0: (np.full(3, 1 / 3), np.zeros(5))}
+    monkeypatch.setattr(ensemble, "crossfit", lambda rows: {f: few[0] for f in range(5)})
+    preds, _ = catalog._labelled_members(spark, "/root/testdata/sf0.001")
+    assert catalog.crossfit_blend(spark, "/root/testdata/sf0.001").count() == preds.select("sample_id").distinct().count() > 100
