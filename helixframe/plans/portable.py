@@ -265,7 +265,9 @@ _F1 = """tp AS (
 ),
 f1 AS (SELECT member, cls, tp + fn AS support, CASE WHEN 2 * tp + fp + fn > 0 THEN 2e0 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, tp + fp + fn AS seen FROM tp)"""
 
-_PROFILE = "prof AS (SELECT s.sample_id, s.label, coalesce(string_agg_key, '') AS profile FROM {samples} s LEFT JOIN (SELECT sample_id, min(exact_key) AS string_agg_key FROM {cellkeys} WHERE gene IN " + _PANEL + " GROUP BY sample_id) k ON s.sample_id = k.sample_id)"
+#: A profile is the digest of all of a sample's cells, each with its gene.
+_PROFILE = """cells_of AS (SELECT sample_id, md5(CAST(array_sort(array_agg(concat(gene, ' ', exact_key))) AS STRING)) AS digest FROM {cellkeys} GROUP BY sample_id),
+prof AS (SELECT s.sample_id, s.label, coalesce(digest, '') AS profile FROM {samples} s LEFT JOIN cells_of k ON s.sample_id = k.sample_id)"""
 _GROUPS = f"{_PROFILE}, lab AS (SELECT *, count(*) OVER (PARTITION BY profile) AS gs, count(*) OVER (PARTITION BY label, profile) AS ncg, count(*) OVER (PARTITION BY label) AS nc FROM prof), tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT label) AS DOUBLE) AS k FROM prof)"
 
 

@@ -76,3 +76,20 @@ def test_submission(spark):
         build_submission(sample, full.limit(1))
     with pytest.raises(ValueError):
         build_submission(sample, full.union(full))
+
+
+def test_profiles_hold_every_cell(spark):
+    """Samples alike in the panel's smallest cell but not in another gene or in
+    the cell's gene are apart; those without mutations are one group."""
+    from helixframe.functions import tokens as T
+
+    cells = [(1, "Brand#11", "A1V"), (1, "Brand#41", "R2H"), (2, "Brand#11", "A1V"), (3, "Brand#12", "A1V"), (4, "Brand#51", "K3fs"), (6, "Brand#41", "R2H"), (6, "Brand#11", "A1V")]
+    variants = T.annotated(spark.createDataFrame([(s, "x", g, 1, t) for s, g, t in cells], "sample_id long, label string, gene string, seq int, token string")).cache()
+    samples = spark.createDataFrame([(s, "x") for s in range(1, 8)], "sample_id long, label string")
+    r = got("profile_groups", (variants, samples))
+    assert {s: (x["group_size"], x["group_key"], x["singleton"]) for s, x in r.items()} == {1: (2, 1, 0), 6: (2, 1, 0), 2: (1, 2, 1), 3: (1, 3, 1), 4: (1, 4, 1), 5: (2, 5, 0), 7: (2, 5, 0)}
+    assert got("weights_group", (variants, samples))[1]["weight"] == round(0.5 / 5 * 7, 6)
+    from helixframe.operators import groups
+
+    keys = {x["sample_id"]: x["group_key"] for x in groups.group_keys(groups.profiles(variants, samples)).collect()}
+    assert keys == {s: x["group_key"] for s, x in r.items()}
