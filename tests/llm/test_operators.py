@@ -203,6 +203,33 @@ with words enough to be one.<p>Second &lt;b&gt; one. It is short.<div class="ad"
 <section class="comments"><p>Nice article, thanks for writing all of it. I read it twice.</p></section><footer>&copy; us</footer><script>var x = "<p>no</p>";</script></body></html>"""
 
 
+LONG = "This is a plain sentence of the article, and it goes on for a while without any link. " * 2
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>t</title><meta charset=utf-8><body><article><h1>Head line</h1><p>{LONG}</p></article></body></html>",
+        f"<head><title>t</title><style>p{{}}</style><article><h1>Head line</h1><p>{LONG}</p></article>",
+        f"<body class='no-sidebar sticky-header'><article><h1>Head line</h1><p>{LONG}</p></article></body>",
+        f"<body><div class='main with-sidebar'><h1>Head line</h1><p>{LONG}</p><div class='sidebar'><p>{LONG}</p></div></div></body>",
+        f"<body><div class='sidebar-layout'><aside>x</aside><article><h1>Head line</h1><p>{LONG}</p></article></div></body>",
+        f"<body><div class='page-banner'><div role=main><h1>Head line</h1><p>{LONG}</p></div></div></body>",
+        f"<body><article><div class='article-header'><h1>Head line</h1></div><p>{LONG}</p></article></body>",
+        f"<body><header class='entry-header'><h1>Head line</h1></header><div class=content><p>{LONG}</p></div></body>",
+        f"<body><article><h1>Head line</h1><svg/><p>{LONG}</p></article></body>",
+        f"<body><article><h1>Head line</h1><p>{LONG}</p></article><div class=comments><article class=comment><p>{LONG}</p></article></div></body>",
+    ],
+)
+def test_html_keeps_whole_article(page):
+    assert html_text.main_text(page, html_text.trained()) == f"Head line\n\n{LONG.strip()}"
+
+
+def test_html_keeps_inline_fallbacks():
+    page = f"<body><article><p>{LONG}Here <math><mi>x</mi> is 3</math>, <object>a figure</object> <canvas>a plot</canvas> <svg><style>a{{}}</style><text>a label</text></svg> <noscript>and more</noscript>.</p></article>"
+    assert html_text.main_text(page, html_text.trained()) == f"{LONG}Here x is 3, a figure a plot a label and more."
+
+
 def test_html():
     tree = html_text.trained()
     assert html_text.main_text(PAGE, tree) == "Head & tail\n\nFirst paragraph of the page, with words enough to be one.\n\nSecond <b> one. It is short."
