@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.dims import CODON_SQL, penalties
+from helixframe.plans.portable import MANUAL_PAIRS, PAIRS_A_GENE, STAR_PAIRS, TOP_PAIRS, comut_candidates
 from helixframe.plans.reports import ALL_PLANS, GENERALISED, PART_PLACE, SIGNATURE_BUCKETS
 
 
@@ -27,6 +31,29 @@ def signature_buckets(variants: DataFrame) -> DataFrame:
     return variants.select("signature").distinct().withColumn("bucket", head % SIGNATURE_BUCKETS)
 
 
+Pair = tuple[str, str]
+
+
+def choose_pairs(ordered: Iterable[Pair], manual: Sequence[Pair] = MANUAL_PAIRS + STAR_PAIRS, topk: int = TOP_PAIRS, per_gene: int = PAIRS_A_GENE) -> list[Pair]:
+    """The manual pairs, then up to ``topk`` of the ordered ones with at most
+    ``per_gene`` of a gene; manual ones count for neither bound."""
+    forced, picked, used = {tuple(sorted(p)) for p in manual}, [], Counter()
+    for pair in ordered:
+        if len(picked) >= topk:
+            break
+        if pair not in forced and max(used[g] for g in pair) < per_gene:
+            picked.append(pair)
+            used.update(pair)
+    return sorted(forced) + picked
+
+
+def comutation_pairs(variants: DataFrame, samples: DataFrame, candidates: str | None = None) -> DataFrame:
+    """(gene_a, gene_b): the chosen pairs, read in order until there are enough."""
+    spark = variants.sparkSession
+    ordered = spark.sql(candidates or comut_candidates(), variants=variants, samples=samples).orderBy("place").select("gene_a", "gene_b")
+    return spark.createDataFrame(choose_pairs((r["gene_a"], r["gene_b"]) for r in ordered.toLocalIterator()), "gene_a string, gene_b string")
+
+
 def apply(name: str, variants: DataFrame, samples: DataFrame) -> DataFrame:
     """The plan ``name`` of the catalogue over (variants, samples)."""
     return run_text(variants.sparkSession, ALL_PLANS[name], variants, samples)
@@ -42,5 +69,7 @@ def run_text(spark: SparkSession, text: str, variants: DataFrame, samples: DataF
         tables["sigbuckets"] = signature_buckets(variants)
     if "{penalties}" in text:
         tables["penalties"] = penalties(spark)
+    if "{comutpairs}" in text:
+        tables["comutpairs"] = comutation_pairs(variants, samples)
     text = text.replace("{codons}", CODON_SQL.strip())
     return spark.sql(text, **{k: v for k, v in tables.items() if "{" + k + "}" in text})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from helixframe.functions.dims import CODON_SQL, penalty_rows
+from helixframe.plans.portable import MANUAL_PAIRS, PAIRS_A_GENE, STAR_PAIRS, TOP_PAIRS, comut_candidates
 from helixframe.plans.reports import GENERALISED, PART_PLACE, SIGNATURE_BUCKETS
 
 RAW = r"""
@@ -67,9 +68,27 @@ WORDS = (
 BUCKETS = f"sigbuckets AS (SELECT DISTINCT signature, CAST('0x' || left(md5(signature), 8) AS BIGINT) % {SIGNATURE_BUCKETS} AS bucket FROM variants)"
 
 
-def oracle(text: str) -> str:
+def comut_pairs(candidates: str) -> str:
+    """The greedy choice as a recursion, one candidate a step; ``used`` lists the
+    genes of the picks between bars."""
+    often = lambda g: f"(length(used) - length(replace(used, '|' || {g} || '|', ''))) / length('|' || {g} || '|') >= {PAIRS_A_GENE}"
+    manual = ", ".join(f"('{a}', '{b}')" for a, b in MANUAL_PAIRS + STAR_PAIRS)
+    return f"""manualpairs AS (SELECT * FROM (VALUES {manual}) AS t(gene_a, gene_b)),
+paircand AS MATERIALIZED (SELECT gene_a, gene_b, row_number() OVER (ORDER BY place) AS place FROM ({candidates.format(variants='variants', samples='samples')}) c ANTI JOIN manualpairs USING (gene_a, gene_b)),
+greedy AS (
+  SELECT CAST(0 AS BIGINT) AS place, '' AS used, CAST(0 AS BIGINT) AS picks, '' AS gene_a, '' AS gene_b, false AS ok
+  UNION ALL
+  SELECT place, CASE WHEN ok THEN used || '|' || gene_a || '||' || gene_b || '|' ELSE used END, picks + CAST(ok AS BIGINT), gene_a, gene_b, ok
+  FROM (SELECT c.place, g.used, g.picks, c.gene_a, c.gene_b, NOT ({often('c.gene_a')} OR {often('c.gene_b')}) AS ok FROM greedy g JOIN paircand c ON c.place = g.place + 1 WHERE g.picks < {TOP_PAIRS}) s
+),
+comutpairs AS (SELECT gene_a, gene_b FROM greedy WHERE ok UNION ALL SELECT gene_a, gene_b FROM manualpairs)"""
+
+
+def oracle(text: str, candidates: str | None = None) -> str:
     """Portable text with its base relations for the comparison engine."""
     bases = [VARIANTS]
+    if "{comutpairs}" in text:
+        bases.append(comut_pairs(candidates or comut_candidates()))
     if "{penalties}" in text:
         bases.append(PENALTIES)
     if "{words}" in text:
@@ -79,7 +98,7 @@ def oracle(text: str) -> str:
     if "{codons}" in text:
         text = text.replace("{codons}", CODON_SQL.strip())
     text = text.strip()
-    for name in ("variants", "samples", "cellkeys", "penalties", "words", "sigbuckets"):
+    for name in ("variants", "samples", "cellkeys", "penalties", "words", "sigbuckets", "comutpairs"):
         text = text.replace("{" + name + "}", name)
     body = text[4:].strip() if text[:4].upper() == "WITH" else None
-    return "WITH " + ",".join(bases) + ((",\n" + body) if body else "\n" + text)
+    return ("WITH RECURSIVE " if "comutpairs" in text else "WITH ") + ",".join(bases) + ((",\n" + body) if body else "\n" + text)

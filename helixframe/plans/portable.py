@@ -1,7 +1,7 @@
 """Feature blocks and statistics as portable SQL over the variant relations.
 
-``{variants}``, ``{samples}``, ``{cellkeys}`` and ``{penalties}`` stand for
-DataFrames; Catalyst plans the rest.  Every aggregate is two-level, per (sample,
+``{variants}``, ``{samples}``, ``{cellkeys}``, ``{penalties}`` and
+``{comutpairs}`` stand for DataFrames; Catalyst plans the rest.  Every aggregate is two-level, per (sample,
 gene) and then per sample, so that partial sums are combined before a shuffle;
 fitted statistics are small grouped tables that are joined back by key.
 Integers are cast to bigint and doubles rounded to six places at the end.
@@ -190,17 +190,31 @@ pairs AS (
        JOIN tot ta ON ta.gene = r.gene_a JOIN tot tb ON tb.gene = r.gene_b WHERE rk = 1
 )"""
 COMUT_PAIRS = f"WITH {_PAIRS} SELECT gene_a, gene_b, label, {i('n_ab')}, {i('n_best')}, {d('purity')}, {d('hyper_fraction')}, {d('lift')}, {d('score', 'lift * sqrt(n_ab)')} FROM pairs WHERE n_ab >= 20 AND n_best >= 8"
-COMUT_FEATURES = f"""WITH {_PAIRS},
-top_pairs AS (SELECT *, row_number() OVER (ORDER BY round(lift * sqrt(n_ab), 9) DESC, gene_a, gene_b) AS rk FROM pairs WHERE n_ab >= 20 AND n_best >= 8 AND lift >= -0.05),
-chosen AS (SELECT gene_a, gene_b FROM top_pairs WHERE rk <= 10),
+#: Pairs that are always taken; then those that stand for them on
+#: the star schema, as its brands stand for the driver genes.
+MANUAL_PAIRS = (("ATRX", "IDH1"), ("IDH1", "TP53"), ("CTNNB1", "PTEN"), ("PIK3CA", "PTEN"), ("BRAF", "CDKN2A"))
+STAR_PAIRS = (("Brand#11", "Brand#12"), ("Brand#12", "Brand#13"), ("Brand#11", "Brand#14"), ("Brand#14", "Brand#15"), ("Brand#13", "Brand#15"))
+TOP_PAIRS, PAIRS_A_GENE = 20, 3
+
+
+def comut_candidates(support: int = 20, class_support: int = 8, purity: float = 0.25, lift: float = 0.15, hyper: float = 0.50) -> str:
+    """gene_a, gene_b, place: the pairs from which a greedy loop chooses
+    (``{comutpairs}``), best first."""
+    return f"""WITH {_PAIRS}
+SELECT gene_a, gene_b, {i("place", "row_number() OVER (ORDER BY round(lift * sqrt(n_ab), 9) DESC, gene_a, gene_b)")} FROM pairs
+WHERE n_ab >= {support} AND n_best >= {class_support} AND purity >= {purity} AND lift >= {lift} AND hyper_fraction <= {hyper}"""
+
+
+COMUT_FEATURES = f"""WITH {_MUT}, {_BURDEN_TABLE},
 nbar AS (SELECT avg(CAST(burden AS DOUBLE)) AS nb, CAST(count(*) AS DOUBLE) AS n FROM m WHERE {TRAIN}),
 ecdf AS (SELECT burden, sum(count(*)) OVER (ORDER BY burden) AS upto FROM m WHERE {TRAIN} GROUP BY burden),
 ranks AS (SELECT b.burden, coalesce(max(e.upto), 0) AS upto FROM (SELECT DISTINCT burden FROM m) b LEFT JOIN ecdf e ON e.burden <= b.burden GROUP BY b.burden),
-both_g AS (SELECT c.gene_a, c.gene_b, a.sample_id FROM chosen c JOIN g a ON a.gene = c.gene_a JOIN g b ON b.gene = c.gene_b AND b.sample_id = a.sample_id)
+both_g AS (SELECT c.gene_a, c.gene_b, a.sample_id FROM {{comutpairs}} c JOIN g a ON a.gene = c.gene_a JOIN g b ON b.gene = c.gene_b AND b.sample_id = a.sample_id)
 SELECT x.sample_id, concat(x.gene_a, '__', x.gene_b) AS pair, {i("and_flag", "1")}, {d("share", "nb / greatest(m.burden, 1)")}, {d("gate", "1 - upto / n")}
 FROM both_g x JOIN m ON x.sample_id = m.sample_id JOIN ranks r ON r.burden = m.burden CROSS JOIN nbar"""
 
-_SIGNATURES = f"""{_MUT}, {_BURDEN_TABLE},
+def _signatures(support: int, lift: float, hyper: float, topk: int) -> str:
+    return f"""{_MUT}, {_BURDEN_TABLE},
 hyper AS (SELECT percentile_cont(0.95) WITHIN GROUP (ORDER BY burden) AS threshold FROM m WHERE {TRAIN}),
 sizes AS (SELECT label, CAST(count(*) AS DOUBLE) AS size, CAST(sum(count(*)) OVER () AS DOUBLE) AS n FROM m WHERE {TRAIN} GROUP BY label),
 pc AS (SELECT g.gene, m.label, count(*) AS c, sum(CASE WHEN m.burden > h.threshold THEN 1 ELSE 0 END) AS hyp FROM g JOIN m ON g.sample_id = m.sample_id CROSS JOIN hyper h WHERE g.{TRAIN} GROUP BY g.gene, m.label),
@@ -208,10 +222,16 @@ pt AS (SELECT gene, sum(c) AS total FROM pc GROUP BY gene),
 sig AS (
   SELECT pc.gene, pc.label, pc.c, c / size - (total - c) / (n - size) AS lift, CAST(hyp AS DOUBLE) / c AS hyper_fraction, total, n FROM pc JOIN pt ON pc.gene = pt.gene JOIN sizes s ON pc.label = s.label
 ),
-topsig AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(lift * sqrt(c), 9) DESC, gene) AS rk FROM sig WHERE c >= 5 AND lift >= 0.01 AND hyper_fraction <= 1.0),
-member AS (SELECT label, gene, ln((n + 1) / (total + 1)) + 1 AS idf, count(*) OVER (PARTITION BY label) AS size FROM topsig WHERE rk <= 30)"""
-CLASS_SIGNATURES = f"WITH {_SIGNATURES} SELECT label, gene, {i('support', 'c')}, {d('lift')}, {d('hyper_fraction')}, {d('score', 'lift * sqrt(c)')}, {i('place', 'rk')} FROM topsig WHERE rk <= 30"
-MEMBERSHIP = f"""WITH {_SIGNATURES},
+topsig AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(lift * sqrt(c), 9) DESC, gene) AS rk FROM sig WHERE c >= {support} AND lift >= {lift} AND hyper_fraction <= {hyper}),
+member AS (SELECT label, gene, ln((n + 1) / (total + 1)) + 1 AS idf, count(*) OVER (PARTITION BY label) AS size FROM topsig WHERE rk <= {topk})"""
+
+
+def class_signatures(support: int = 5, lift: float = 0.05, hyper: float = 0.50, topk: int = 30) -> str:
+    return f"WITH {_signatures(support, lift, hyper, topk)} SELECT label, gene, {i('support', 'c')}, {d('lift')}, {d('hyper_fraction')}, {d('score', 'lift * sqrt(c)')}, {i('place', 'rk')} FROM topsig WHERE rk <= {topk}"
+
+
+def membership(support: int = 5, lift: float = 0.05, hyper: float = 0.50, topk: int = 30) -> str:
+    return f"""WITH {_signatures(support, lift, hyper, topk)},
 gene_count AS (SELECT CAST(count(DISTINCT gene) AS DOUBLE) AS genes FROM g),
 weights AS (SELECT gene, ln((max(n) + 1) / (max(total) + 1)) + 1 AS idf FROM sig GROUP BY gene),
 whole AS (SELECT g.sample_id, count(*) AS n, sum(coalesce(idf, 0)) AS wn FROM g LEFT JOIN weights w ON g.gene = w.gene GROUP BY g.sample_id),
@@ -367,8 +387,8 @@ PLANS: dict[str, str] = {
     "tfidf_topk_chi2": f"WITH {_TFIDF}, {chi2('tfidf', 'term', 'weight')} SELECT feature, {d('score')} FROM scores",
     "comut_pairs": COMUT_PAIRS,
     "comut_features": COMUT_FEATURES,
-    "class_signatures": CLASS_SIGNATURES,
-    "membership_values": MEMBERSHIP,
+    "class_signatures": class_signatures(),
+    "membership_values": membership(),
     "evidence_ovr": evidence("ovr"),
     "evidence_bnb": evidence("bnb"),
     "evidence_crossfit": evidence("ovr", crossfit=True),

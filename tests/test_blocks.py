@@ -93,3 +93,31 @@ def test_profiles_hold_every_cell(spark):
 
     keys = {x["sample_id"]: x["group_key"] for x in groups.group_keys(groups.profiles(variants, samples)).collect()}
     assert keys == {s: x["group_key"] for s, x in r.items()}
+
+
+def test_pair_choice():
+    """Three pairs a gene, twenty in all, manual ones always and beside them."""
+    from helixframe.operators.relations import choose_pairs
+
+    ordered = [("A", f"B{k:02}") for k in range(9)] + [("M", "N")] + [(f"C{k:02}", f"D{k:02}") for k in range(30)]
+    assert choose_pairs(ordered, manual=(("N", "M"), ("A", "Z"))) == [("A", "Z"), ("M", "N")] + ordered[:3] + ordered[10:27]
+
+
+def test_signature_thresholds(spark):
+    """A gene enters a class by a lift of .05 and at most half of its samples
+    among the most mutated."""
+    from helixframe.functions import tokens as T
+
+    # train samples are those that 5 does not divide: 40 of each class
+    ids = [s for s in range(1, 101) if s % 5]
+    label = {s: "a" if k < 40 else "b" for k, s in enumerate(ids)}
+    a, b = ids[:40], ids[40:]
+    cells = [(s, "strong") for s in a[:20]] + [(s, "weak") for s in (*a[:11], *b[:10])] + [(s, f"g{k}") for s in b[:3] for k in range(9)] + [(s, "hyper") for s in b[:6]] + [(s, f"h{k}") for s in b[:4] for k in range(9, 15)]
+    variants = T.annotated(spark.createDataFrame([(s, label[s], g, 1, "A1V") for s, g in cells], "sample_id long, label string, gene string, seq int, token string")).cache()
+    samples = spark.createDataFrame(list(label.items()), "sample_id long, label string")
+    from helixframe.operators.relations import run_text
+    from helixframe.plans.portable import class_signatures
+
+    found = {(r["label"], r["gene"]) for r in apply("class_signatures", variants, samples).collect()}
+    loose = {(r["label"], r["gene"]) for r in run_text(spark, class_signatures(lift=0.01, hyper=1.0), variants, samples).collect()}
+    assert found == {("a", "strong")} and loose == {("a", "strong"), ("a", "weak"), ("b", "hyper")}

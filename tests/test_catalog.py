@@ -54,3 +54,21 @@ def test_matrix_columns(relations):
     con, _, _ = relations
     found = {f for (f,) in con.sql(f"select distinct feature from ({oracle(config_text('f4r'))}) x where feature like 'rollup16%'").fetchall()}
     assert found <= {f"rollup16__{c}" for c in (*ROBUST, *BURDEN)} and len(found) > 10
+
+
+@needs_data
+def test_selections_with_low_thresholds(relations):
+    """The star schema's labels do not depend on genes, so few of its pairs and
+    signatures pass the fixed thresholds; low ones fill the plans."""
+    from helixframe.operators.relations import comutation_pairs, run_text
+    from helixframe.plans.portable import class_signatures, comut_candidates, membership
+
+    con, variants, samples = relations
+    spark = variants.sparkSession
+    low = comut_candidates(support=2, class_support=1, purity=0.0, lift=-1.0, hyper=1.0)
+    pairs = {tuple(r) for r in comutation_pairs(variants, samples, low).collect()}
+    assert pairs == set(con.sql(oracle("SELECT gene_a, gene_b FROM {comutpairs}", low)).fetchall()) and len(pairs) == 30
+    assert {tuple(r) for r in comutation_pairs(variants, samples).collect()} == set(con.sql(oracle("SELECT gene_a, gene_b FROM {comutpairs}")).fetchall())
+    for text in (class_signatures(lift=0.01, hyper=1.0), membership(lift=0.01, hyper=1.0)):
+        one = sorted(map(tuple, run_text(spark, text, variants, samples).collect()))
+        assert one == sorted(con.sql(oracle(text)).fetchall()) and one
