@@ -205,7 +205,7 @@ class GreedySelector:
     """Selection with replacement: each round adds the member that helps most;
     weights are the shares of picks."""
 
-    def __init__(self, rounds: int = 20, start: int = 1):
+    def __init__(self, rounds: int = 30, start: int = 1):
         self.rounds, self.start = rounds, start
 
     def fit(self, stack: np.ndarray | Rows, truth: np.ndarray | None = None) -> GreedySelector:

@@ -80,11 +80,14 @@ def weights(x: np.ndarray, h: np.ndarray, rounds: int) -> np.ndarray:
     return w
 
 
-def nmf_components(x: DataFrame, names: list[str], k: int, rounds: int = 8, seed: int = 42) -> np.ndarray:
+def nmf_components(x: DataFrame, names: list[str], k: int, rounds: int = 200, seed: int = 42, tolerance: float = 1e-4) -> np.ndarray:
     """Multiplicative updates: tasks give sums of W'X and W'W, the driver
-    updates the k x genes basis."""
+    updates the k x genes basis, up to ``rounds`` times, or until the error falls
+    by less than ``tolerance`` of the first in ten rounds."""
     at = {g: i for i, g in enumerate(names)}
     packed = _packed(x).checkpoint()
+    square = packed.select(F.sum(F.aggregate("values", F.lit(0.0), lambda s, v: s + v * v))).first()[0] or 0.0
+    errors: list[float] = []
     h = np.random.default_rng(seed).random((k, len(names))) + 0.1
 
     for _ in range(rounds):
@@ -102,7 +105,11 @@ def nmf_components(x: DataFrame, names: list[str], k: int, rounds: int = 8, seed
         got = packed.mapInPandas(sums, "part int, wx array<double>, ww array<double>").select("part", F.posexplode(F.concat("wx", "ww"))).groupBy("part", "pos").agg(F.sum("col").alias("v")).toPandas()
         total = np.zeros((k, len(names) + k))
         total[got["part"], got["pos"]] = got["v"]
-        h *= total[:, : len(names)] / (total[:, len(names) :] @ h + 1e-12)
+        wx, ww = total[:, : len(names)], total[:, len(names) :]
+        errors.append(float(np.sqrt(max(0.0, square - 2 * (wx * h).sum() + (ww * (h @ h.T)).sum()))))
+        if len(errors) > 10 and len(errors) % 10 == 1 and errors[-11] - errors[-1] < tolerance * errors[0]:
+            break
+        h *= wx / (ww @ h + 1e-12)
     return h
 
 

@@ -65,21 +65,21 @@ def _rows(spark: SparkSession, preds: DataFrame, classes: list[str]) -> ensemble
 def blend_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, classes = _labelled_members(spark, sf_dir)
     rows = _rows(spark, preds, classes)
-    found = ensemble.MacroF1Blender(steps=(0.25, 0.1), passes=2).fit(rows)
+    found = ensemble.MacroF1Blender().fit(rows)
     return ensemble.apply_weights(preds, {i + 1: float(w) for i, w in enumerate(found.weights_)})
 
 
 def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, classes = _labelled_members(spark, sf_dir)
     rows = _rows(spark, preds, classes)
-    found = ensemble.GreedySelector(rounds=10).fit(rows)
+    found = ensemble.GreedySelector().fit(rows)
     return spark.createDataFrame([(i + 1, float(w)) for i, w in enumerate(found.weights_)], "member int, weight double")
 
 
 def logit_bias_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, classes = _labelled_members(spark, sf_dir)
     rows = _rows(spark, preds, classes)
-    found = ensemble.LogitBias(steps=(0.5, 0.1), passes=2).fit(rows)
+    found = ensemble.LogitBias().fit(rows)
     return ensemble.apply_bias(preds.where("member = 1").select("sample_id", "proba"), found.bias_)
 
 
@@ -124,7 +124,7 @@ def svd_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nmf_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared(spark)
     x, names = latent.matrix(star_variants(spark, sf_dir))
-    h = latent.nmf_components(x.where("sample_id % 5 <> 0"), names, 6, rounds=5)
+    h = latent.nmf_components(x.where("sample_id % 5 <> 0"), names, min(64, len(names) - 1))
     return latent.project(x, names, h, nonnegative=True)
 
 
@@ -201,7 +201,7 @@ def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def per_class_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, classes = _labelled_members(spark, sf_dir)
     rows = _rows(spark, preds, classes)
-    w = reports.PerClassBlender(passes=1).fit(rows).weights_
+    w = reports.PerClassBlender().fit(rows).weights_
     return spark.createDataFrame([(classes[c], m + 1, float(w[c, m])) for c in range(w.shape[0]) for m in range(w.shape[1])], "cls string, member int, weight double")
 
 
@@ -235,7 +235,7 @@ def queries() -> dict[str, Query]:
     found |= {f.__name__: f for f in (blend_search, greedy_select, logit_bias_fit, crossfit_blend, stack_logistic, svd_projection, nmf_projection, gene_modules, twin_groups_jaccard, stratified_folds, group_folds, frame_fingerprint, pair_rule_matches, pair_rule_premises, oof_faults, temperature_fit, per_class_fit, latent_inspect, module_seed_ari, event_burden)}
     found |= {f"{name}_oof": model_oof(name) for name in models.DEFAULTS}
     found |= {name: text_query(text) for name, text in MATRIX_PLANS.items()}
-    found["matrix_f11"] = lambda spark, sf_dir: long_matrix("f11", *written(spark, sf_dir), components=8, modules=5)
+    found["matrix_f11"] = lambda spark, sf_dir: long_matrix("f11", *written(spark, sf_dir))
     found["dense_matrix_f1"] = lambda spark, sf_dir: dense_matrix("f1", *base(spark, sf_dir))
     return found
 

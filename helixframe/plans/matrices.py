@@ -117,7 +117,7 @@ def _latent_block(block: str, variants: DataFrame, components: int, modules: int
     x, names = latent.matrix(variants)
     train = x.where(TRAIN)
     if block == "gmod":
-        members = latent.gene_modules(train, names, k=min(modules, len(names))).select("gene", "module")
+        members = latent.gene_modules(train, names, k=min(modules, len(names)), components=components).select("gene", "module")
         found = variants.select("sample_id", "gene").distinct().join(members, "gene", "left")
         total = found.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
         share = found.where("module is not null").groupBy("sample_id", "module").agg(F.count(F.lit(1)).alias("c")).join(total, "sample_id")

@@ -115,3 +115,41 @@ def test_crossfit_blend_keeps_every_sample(spark, monkeypatch):
     monkeypatch.setattr(ensemble, "crossfit", lambda rows: {f: few[0] for f in range(5)})
     preds, _ = catalog._labelled_members(spark, "/root/testdata/sf0.001")
     assert catalog.crossfit_blend(spark, "/root/testdata/sf0.001").count() == preds.select("sample_id").distinct().count() > 100
+
+
+def test_registered_queries_use_production_values(monkeypatch):
+    from helixframe.operators import reports
+    from helixframe.plans import catalog
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, *a, **k):
+        raise Seen(vars(self))
+
+    monkeypatch.setattr(catalog, "_labelled_members", lambda *a: (None, list("abc")))
+    monkeypatch.setattr(catalog, "_rows", lambda *a: None)
+    for query, kind, values in (
+        ("blend_search", ensemble.MacroF1Blender, {"steps": (0.25, 0.1, 0.05, 0.02, 0.01), "passes": 5}),
+        ("greedy_select", ensemble.GreedySelector, {"rounds": 30, "start": 1}),
+        ("logit_bias_fit", ensemble.LogitBias, {"steps": (0.5, 0.2, 0.1, 0.05, 0.02), "bound": 2.0, "passes": 4}),
+        ("per_class_fit", reports.PerClassBlender, {"steps": (0.25, -0.25, 0.1, -0.1), "passes": 3}),
+    ):
+        monkeypatch.setattr(kind, "fit", fit)
+        with pytest.raises(Seen) as found:
+            catalog.queries()[query](None, "")
+        assert found.value.args[0] == values
+    monkeypatch.setattr(catalog, "written", lambda *a: (1, 2))
+    monkeypatch.setattr(catalog, "long_matrix", lambda *a, **k: (a, k))
+    assert catalog.queries()["matrix_f11"](None, "") == (("f11", 1, 2), {})
+
+
+def test_nmf_converges(spark):
+    """A product of nonnegative factors is found again; eight rounds are not enough."""
+    rng = np.random.default_rng(1)
+    exact = rng.random((60, 3)) @ (rng.random((3, 8)) * (rng.random((3, 8)) > 0.4))
+    names = [f"g{g}" for g in range(8)]
+    x = spark.createDataFrame([(s, names[g], float(exact[s, g])) for s in range(60) for g in range(8) if exact[s, g]], "sample_id long, gene string, value double")
+    error = lambda h: np.linalg.norm(exact - latent.weights(exact, h, 500) @ h) / np.linalg.norm(exact)
+    few, many = latent.nmf_components(x, names, 3, rounds=8), latent.nmf_components(x, names, 3)
+    assert error(many) < 0.75 * error(few)
