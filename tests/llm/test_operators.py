@@ -135,6 +135,24 @@ def test_mix(docs):
     assert sum(len(r["text"].split()) for r in out) == sum(t for t, _ in by.values())
 
 
+def test_mix_cut_against_global_order(docs):
+    """The cut of each source in closed form and a prefix sum over the global
+    order of finish times up to the budget differ in straddling documents only."""
+    passes = [(p["finish"], r["source"], p["taken"], r["size"]) for r in mixing.schedule(docs).collect() for p in r["passes"] if p["finish"] is not None and r["size"]]
+    left = budget = sum(taken for _, _, taken, _ in passes)
+    straddling = collections.Counter()
+    for finish, source, taken, size in sorted(passes, key=lambda p: p[0]):
+        cut = min(size, left)
+        left -= cut
+        if finish <= 1 - 1e-9:
+            assert taken == size == cut
+        elif taken != cut:
+            straddling[source] += taken - cut
+    assert left == 0 and budget > 0
+    by = collections.Counter(source for finish, source, taken, size in passes if 0 < taken < size)
+    assert max(by.values(), default=0) <= 1 and sum(straddling.values()) == 0
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
