@@ -303,6 +303,77 @@ def test_lm_base_and_model(docs):
         assert (r["n_tokens"], r["n_known"], round(r["base_score"], 6)) in want[r["doc_id"]] and r["train_tokens"] == n and r["held_out"] == out(r["doc_id"]) and r["score"] < 0
 
 
+def brute_deleted_interpolation(own, out, rounds=40):
+    """score of each row by plain counting and EM over single tokens."""
+    train = [[None, *ws] for i, ws in own if not out(i)]
+    one = collections.Counter(w for ws in train for w in ws[1:])
+    two = collections.Counter(p for ws in train for p in zip(["<s>", *ws[1:]], ws[1:]))
+    n, v, ends = sum(one.values()), len(one), one[None]
+    floor = 1 / (v + 1)
+    count = lambda u: ends if u == "<s>" else one[u]
+    place = lambda c: int(math.log2(c + 1))
+    weights = collections.defaultdict(lambda: [0.4, 0.4, 0.2])
+    cells = collections.Counter()
+    for ws in train:
+        for u, w in zip(["<s>", *ws[1:]], ws[1:]):
+            c = count(u) - 1
+            cells[place(c), (two[u, w] - 1) / c if c > 0 else 0.0, (one[w] - 1) / (n - 1)] += 1
+    for _ in range(rounds):
+        gained = collections.defaultdict(lambda: [0.05] * 3)
+        for (b, p2, p1), k in cells.items():
+            parts = [x * p for x, p in zip(weights[b], (p2, p1, floor))]
+            gained[b] = [g + k * x / sum(parts) for g, x in zip(gained[b], parts)]
+        weights.update({b: [x / sum(g) for x in g] for b, g in gained.items()})
+    scores = []
+    for i, ws in own:
+        total = 0.0
+        for u, w in zip(["<s>", *ws], ws):
+            c = count(u)
+            a, b, d = weights[place(c)]
+            p = a * (two[u, w] / c if c else 0) + b * one[w] / n + d * floor
+            total += math.log10(p if c else p / (1 - a))
+        scores.append((i, total))
+    return scores
+
+
+def test_lm_score_against_brute_force(spark):
+    """Counts over several blocks and ranges, the weights and the scores; the
+    operator learns its weights from estimates in quarter octaves, so scores
+    agree to one part in a hundred."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(vocabulary, rng.integers(0, 40), p=np.arange(60, 0, -1) / 1830))) for k in range(300)]
+    rows += [(300 + k, "a common line of words that comes again") for k in range(30)] + [(400, None), (400, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    own = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    want = collections.defaultdict(list)
+    for i, s in brute_deleted_interpolation(own, out):
+        want[i].append(s)
+    got = lm_scoring.score(table).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert min(abs(r["score"] - s) / abs(s) for s in want[r["doc_id"]]) < 0.01
+
+
+def test_lm_rows_are_bounded_by_ngrams(spark):
+    """A block's request rows never exceed its n-grams, whatever the ranges."""
+    table = spark.createDataFrame([(k, f"a b c{k}") for k in range(50)], "doc_id long, text string").coalesce(1)
+    blocks, _ = lm_scoring.counted(table)
+    for ranges in (1, 16, 10**5):
+        asked = blocks.mapInPandas(lm_scoring._ask(ranges), "range int, block long, low binary, high binary, counts binary").collect()
+        assert len(asked) <= min(ranges, 53 + 102)
+        assert sum(len(lm_scoring.keys_of(r["low"], r["high"])) for r in asked) == 53 + 102
+
+
+def test_numbers_round_trip():
+    rng = np.random.default_rng(0)
+    x = np.r_[0, 127, 128, 2**63, 2**64 - 1, rng.integers(0, 2**62, 500) >> rng.integers(0, 62, 500)].astype(np.uint64)
+    data, begin = lm_scoring.pack_numbers(x)
+    assert (lm_scoring.unpack_numbers(data.tobytes()) == x).all() and (lm_scoring.unpack_numbers(data[begin[3] : begin[5]].tobytes()) == x[3:5]).all()
+    assert len(lm_scoring.unpack_numbers(b"")) == 0
+
+
 def test_squeeze():
     x = np.array([0, 5, 2**63], np.uint64)
     assert (lm_scoring.unsqueeze(lm_scoring.squeeze(x), "u8") == x).all() and len(lm_scoring.unsqueeze(lm_scoring.squeeze(x[:0]), "u8")) == 0
