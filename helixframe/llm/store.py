@@ -1,27 +1,34 @@
 """Written intermediate tables in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir``; only where that setting is absent (unit
-tests in one process) a local folder is chosen.  A written table cuts lineage
-and survives the loss of any executor.
+The folder is ``spark.checkpoint.dir``.  Only where that setting is absent and
+Spark runs in one process (unit tests) a local folder is chosen; elsewhere its
+absence is an error.  A written table cuts lineage and survives the loss of any
+executor.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Held while a write runs under another batch size than the session's.
+_SETTING = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, set once where the session has none."""
+    """The shared folder, set once where a one-process session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="helixframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -35,15 +42,26 @@ def write_table(df: DataFrame, name: str, rows_per_batch: int | None = None) ->
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixframe-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    try:
-        if rows_per_batch:
-            spark.conf.set(_BATCH, str(min(rows_per_batch, int(before))))
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
+    with _SETTING:
+        before = spark.conf.get(_BATCH)
+        try:
+            if rows_per_batch:
+                spark.conf.set(_BATCH, str(min(rows_per_batch, int(before))))
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with ``row_key``, a long that tells its rows apart and stays the
+    same whenever they are read: from the place in the Parquet file a row was
+    read from, or else of a written copy."""
+    try:
+        return df.withColumn("row_key", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:
+        return write_table(df.withColumn("row_key", F.monotonically_increasing_id()), "rows")
