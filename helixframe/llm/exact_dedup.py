@@ -13,9 +13,8 @@ normalised texts agree, which is checked at every level; the best row has the
 most code points in its original text, then the smallest doc_id, then the
 smallest row key.
 
-Rows meet their group by digest.  Groups with more than one row in ``MOST_HOT``
-of all, of which there are fewer than ``MOST_HOT``, are broadcast, so that no
-shuffled key holds more than that share.
+Rows meet their group by digest; hot groups are broadcast behind a proven bound
+(``store.join_groups``).
 
 Defined results: null text counts as empty, all such rows form one group;
 repeated rows count as rows of their own, of which one stays; null doc_id sorts
@@ -34,13 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import numbered, read, write_table
+from helixframe.llm.store import join_groups, numbered, read, write_table
 from helixframe.llm.text import DOCUMENT_COLUMNS, SPACE
 
 LANES, FAN_IN = 64, 8
 #: Rows that a task sorts into one run; entries of a digest range at the end.
 PER_RUN, PER_RANGE = 200_000, 200_000
-MOST_HOT = 10_000
 
 #: Columns of an entry beside its digest, all 64-bit.
 ENTRY = ("plain_len", "less", "void", "doc_id", "row_key", "n")
@@ -158,9 +156,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     rows = write_table(digests(docs), "digests")
     total = rows.count()
     groups = write_table(merge_tree(rows, total), "digest-groups", 4)
-    hot = F.col("group_size") * MOST_HOT > total
-    few = F.broadcast(groups.where(hot))
-    met = rows.join(few, _KEY).unionByName(rows.join(few.select(*_KEY), _KEY, "left_anti").join(groups.where(~hot), _KEY))
+    met = join_groups(rows, groups, _KEY, "group_size", total)
     return met.select("row_key", "doc_id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -65,3 +65,18 @@ def numbered(df: DataFrame) -> DataFrame:
         return df.withColumn("row_key", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
     except AnalysisException:
         return write_table(df.withColumn("row_key", F.monotonically_increasing_id()), "rows")
+
+
+#: A group with more than one in so many of all rows is hot; there are fewer than
+#: so many of them, which is what bounds their broadcast.
+MOST_HOT = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` inner-joined to ``groups``, one narrow row per value of ``keys``
+    with the number of its rows in column ``size``, of ``total`` rows in all.  Hot
+    groups are broadcast, so that no shuffled key holds more than its share."""
+    hot = F.col(size) * MOST_HOT > total
+    few = F.broadcast(groups.where(hot))
+    rest = rows.join(few.select(*keys), keys, "left_anti")
+    return rows.join(few, keys).unionByName(rest.join(groups.where(~hot), keys))
