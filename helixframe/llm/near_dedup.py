@@ -6,23 +6,32 @@ smallest value of the first round that reaches it; rounds t..2t-1 put all
 shingles into one bin each, so every coordinate is filled, and the share of
 equal coordinates is concentrated around the Jaccard similarity.
 
-1. Equal shingle sets collapse to their smallest doc_id (map-side combined).
+1. Equal shingle sets collapse to their smallest row (map-side combined).
 2. Banding: ``BANDS`` keys of ``ROWS`` coordinates.  A pair of similarity 0.8
    shares no band with probability (1 - 0.8^6)^48 < 5e-7.
-3. Every bucket is a star around its smallest identifier: candidates are linear
-   in the band rows however large a bucket is.
+3. Every bucket is a star around its smallest row: candidates are linear in the
+   band rows however large a bucket is.
 4. Candidates whose sketches agree in under ``FLOOR`` of the coordinates are
    more than six standard deviations from 0.8 and go; the others are confirmed
    on the full sets of their whole texts.
 5. Components by label propagation over confirmed links.
-6. Buckets that still hold several components are the rest that the star
-   leaves open: their members are dealt into tiles, every two tiles of a bucket
-   are compared as matrices, first of sketches and then of full sets, and only
-   links that join components are returned.  No cap on bucket or partners.
-
-Hot groups: buckets are keyed by 64-bit hashes, stars are joins against a
-written table of leaders that adaptive execution may split, and tiles bound
-what a task holds.
+6. Buckets that still hold several components are the rest that the star leaves
+   open.  Buckets of the same members are one.  Members are dealt into tiles by
+   size class, count and bytes; only tiles of the same or of neighbouring size
+   classes can hold a link, and every two such tiles are compared as matrices,
+   first of sketches and then of full sets.  Only links that join components are
+   returned.
+7. An open bucket of more than ``WIDE`` tiles, boilerplate say, is not compared
+   tile against tile.  Its members are dealt anew by prefixes of their full sets:
+   two sets of similarity t share one of the first (1 - t) n + 1 shingles of each
+   in any one order of all shingles.  The order is from rare to common by counts
+   over ``SLOTS`` hash slots, so shared boilerplate comes last and buckets of
+   prefix shingles are small.  This is exact; they are compared as in step 6.
+   No cap on bucket or partners anywhere.
+
+Hot groups: leaders, equal sets and labels with many rows are salted or broadcast
+behind a proven bound (``store.join_groups``); every pair of tiles is a key of its
+own, and a tile bounds what a task holds.
 
 Defined results: null and empty texts have an empty set, no link, and stay;
 a text shorter than a shingle is one shingle; rows that repeat a doc_id are one
@@ -39,13 +48,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import read, write_table
+from helixframe.llm.store import MOST_HOT, join_groups, numbered, read, write_table
 from helixframe.llm.text import DOCUMENT_COLUMNS, WordHashes, mix64, shingle_hashes, words
 
 BANDS, ROWS = 48, 6
 SIZE = BANDS * ROWS
-FLOOR = 0.66
-TILE = 256
+FLOOR = 0.65
+#: Members and bytes of sets of a tile; tiles of a bucket that are compared as
+#: they are; counters of the prefix order.
+TILE, TILE_BYTES = 256, 8_000_000
+WIDE = 8
+SLOTS = 1 << 18
+#: Links of one leader that are joined to one copy of its text.
+PER_COPY = 4096
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -92,23 +107,27 @@ def _sketches(width: int):
         with np.errstate(over="ignore"):
             for batch in batches:
                 out = []
-                for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                for node, text in zip(batch["node"], batch["text"]):
                     items = shingle_hashes(table.array(words(text)), width)
                     if len(items):
                         found = sketch(items)
                         place = np.arange(1, len(items) + 1, dtype=np.uint64)
                         mark = np.array([np.bitwise_xor.reduce(mix64(items)), (mix64(items ^ np.uint64(77)) * place).sum()])
-                        out.append((doc_id, len(items), mark.tobytes(), band_keys(found), (mix64(found) & np.uint64(255)).astype(np.uint8).tobytes()))
+                        out.append((node, len(items), mark.tobytes(), band_keys(found), (mix64(found) & np.uint64(255)).astype(np.uint8).tobytes()))
                     else:
-                        out.append((doc_id, 0, None, None, None))
-                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "mark", "bands", "bytes"])
+                        out.append((node, 0, None, None, None))
+                found = pd.DataFrame(out, columns=["node", "n_shingles", "mark", "bands", "bytes"])
+                yield found.assign(void=batch["void"].to_numpy(), doc_id=batch["doc_id"].to_numpy())
 
     return run
 
 
 def sketch_table(docs: DataFrame, width: int) -> DataFrame:
-    schema = "doc_id long, n_shingles long, mark binary, bands array<long>, bytes binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_sketches(width), schema)
+    """Of ``docs(node, doc_id, text)``: node, doc_id, n_shingles, mark, bands,
+    bytes."""
+    schema = "node long, void boolean, doc_id long, n_shingles long, mark binary, bands array<long>, bytes binary"
+    plain = docs.select("node", F.col("doc_id").isNull().alias("void"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text")
+    return plain.mapInPandas(_sketches(width), schema).withColumn("doc_id", F.when(~F.col("void"), F.col("doc_id"))).drop("void")
 
 
 def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,9 +138,12 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_enough(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs whose sizes and sketches allow the similarity."""
-    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bytes").alias(f"bytes_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    """Candidate pairs (leader a, member b) whose sizes and sketches allow the
+    similarity."""
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bytes").alias(f"bytes_{x}"))
+    leaders = write_table(side("a").join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("links")), "a"), "leader-sketches")
+    total = leaders.agg(F.sum("links")).first()[0] or 0
+    joined = join_groups(pairs, leaders, ["a"], "links", total).drop("links").join(side("b"), "b")
     sized = joined.where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     return sized.select("a", "b", "bytes_a", "bytes_b").mapInPandas(_agree, "a long, b long")
 
@@ -130,12 +152,12 @@ def _confirm(width: int, threshold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, seen = WordHashes(), {}
 
-        def items(doc_id, text):
-            if doc_id not in seen:
+        def items(node, text):
+            if node not in seen:
                 if len(seen) > 64:
                     seen.clear()
-                seen[doc_id] = shingle_hashes(table.array(words(text)), width)
-            return seen[doc_id]
+                seen[node] = shingle_hashes(table.array(words(text)), width)
+            return seen[node]
 
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -150,14 +172,21 @@ def _confirm(width: int, threshold: int):
 
 
 def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "near-texts")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return write_table(docs.select("node", "text").join(ids, "node", "left_semi"), "near-texts")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the similarity."""
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    """Pairs whose full shingle sets reach the similarity.  A leader's text is
+    copied once per ``PER_COPY`` of its links; the leaders that need copies are
+    those with more than one link in ``MOST_HOT``, so they are few."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    total = pairs.count()
+    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("links")).where((F.col("links") > PER_COPY) & (F.col("links") * MOST_HOT > total))
+    few = F.broadcast(write_table(stars.select("a", F.ceil(F.col("links") / PER_COPY).alias("copies")), "large-stars"))
+    salted = pairs.join(few, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).alias("copy"))
+    copied = side("a").join(few, "a", "left").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    joined = salted.join(side("b"), "b").join(copied, ["a", "copy"])
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(_confirm(width, threshold), "a long, b long")
 
 
@@ -202,7 +231,9 @@ def _tile_links(threshold: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for left, right, same in zip(batch["left"], batch["right"], batch["same"]):
+            for left, right in zip(batch["left"], batch["right"]):
+                same = right is None
+                right = left if same else right
                 get = lambda side, k: np.array([m[k] for m in side])
                 rough = [np.frombuffer(b"".join(m["bytes"] for m in side), np.uint8).reshape(-1, SIZE) for side in (left, right)]
                 label_a, label_b = get(left, "label"), get(right, "label")
@@ -216,7 +247,7 @@ def _tile_links(threshold: int):
                 both = shared_counts(sets_a, sets_b)
                 size_a, size_b = (np.array([len(x) for x in sets], float) for sets in (sets_a, sets_b))
                 linked = near[np.ix_(rows, columns)] & (100 * both >= threshold * (size_a[:, None] + size_b[None, :] - both))
-                ids_a, ids_b = get(left, "doc_id")[rows], get(right, "doc_id")[columns]
+                ids_a, ids_b = get(left, "node")[rows], get(right, "node")[columns]
                 parent: dict[int, int] = {}
 
                 def root(x: int) -> int:
@@ -241,7 +272,7 @@ def _sets(width: int):
         table = WordHashes()
         with np.errstate(over="ignore"):
             for batch in batches:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "items": [shingle_hashes(table.array(words(t)), width).tobytes() for t in batch["text"]]})
+                yield pd.DataFrame({"node": batch["node"], "items": [shingle_hashes(table.array(words(t)), width).tobytes() for t in batch["text"]]})
 
     return run
 
@@ -251,76 +282,187 @@ def _rough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     of another component resembles."""
     for batch in batches:
         for left, right in zip(batch["left"], batch["right"]):
-            sides = [left, right]
+            sides = [left, left if right is None else right]
             rough = [np.frombuffer(b"".join(m["bytes"] for m in side), np.uint8).reshape(-1, SIZE) for side in sides]
             labels = [np.array([m["label"] for m in side]) for side in sides]
             ids = set()
             for k in (0, 1):
                 for i, m in enumerate(sides[k]):
                     if not m["known"] and (((rough[1 - k] == rough[k][i]).mean(axis=1) >= FLOOR) & (labels[1 - k] != labels[k][i])).any():
-                        ids.add(m["doc_id"])
-            yield pd.DataFrame({"doc_id": pd.Series(sorted(ids), dtype="int64")})
+                        ids.add(m["node"])
+            yield pd.DataFrame({"node": pd.Series(sorted(ids), dtype="int64")})
+
+
+def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many of a task's sets have a shingle in each slot, counted per shingle."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_slot(np.frombuffer(b"".join(batch["items"]), np.uint64)), minlength=SLOTS)
+    used = np.flatnonzero(counts)
+    yield pd.DataFrame({"slot": used, "n": counts[used]})
+
+
+def _slot(items: np.ndarray) -> np.ndarray:
+    return (items & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def tile_pairs(members: DataFrame, fields: list[str]) -> DataFrame:
-    """``members(key, tiles, doc_id, fields)`` dealt into their key's tiles and
-    every two tiles of a key side by side: left, right, same."""
-    dealt = members.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
-    held = write_table(dealt.groupBy("key", "tile").agg(F.collect_list(F.struct("doc_id", *fields)).alias("members")), "tiles")
-    one = held.select("key", F.col("tile").alias("i"), F.col("members").alias("left"))
-    two = held.select("key", F.col("tile").alias("j"), F.col("members").alias("right"))
-    return one.join(two, "key").where("i <= j").select("left", "right", (F.col("i") == F.col("j")).alias("same"))
+def prefix(items: np.ndarray, counts: np.ndarray, threshold: int) -> np.ndarray:
+    """The first shingles from rare to common, of which two sets that reach the
+    threshold share one."""
+    size = len(items) - -(-threshold * len(items) // 100) + 1
+    return items[np.lexsort((items, counts[_slot(items)]))[:size]]
+
+
+def _prefixes(counts: np.ndarray, threshold: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [prefix(np.frombuffer(x, np.uint64), counts, threshold) for x in batch["items"]]
+            if found:
+                yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), [len(x) for x in found]), "key": np.concatenate(found).view(np.int64)})
+
+    return run
 
 
-def open_links(bands: DataFrame, labels: DataFrame, sketches: DataFrame, docs: DataFrame, texts: DataFrame, width: int, threshold: int, tile: int = TILE) -> DataFrame:
+def prefix_buckets(sets: DataFrame, threshold: int) -> DataFrame:
+    """(node, key) of the prefixes of all ``sets(node, items)``."""
+    seen = sets.mapInPandas(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[seen["slot"]] = seen["n"]
+    return sets.mapInPandas(_prefixes(counts, threshold), "node long, key long")
+
+
+def cells(members: DataFrame) -> DataFrame:
+    """Tiles of each size class of each key of ``members(key, cls, node, bulk)``."""
+    sums = members.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("bulk").alias("bulk"))
+    return sums.select("key", "cls", F.ceil(F.greatest(F.col("n") / TILE, F.col("bulk") / TILE_BYTES)).alias("tiles"))
+
+
+def tile_pairs(members: DataFrame, tiled: DataFrame, fields: list[str]) -> DataFrame:
+    """``members(key, cls, node, fields)`` dealt into the tiles of ``cells`` and
+    every two tiles of the same or neighbouring classes side by side: left, and
+    right or null where a tile is compared with itself."""
+    beside = tiled.join(tiled.select("key", (F.col("cls") + 1).alias("cls"), F.col("tiles").alias("below")), ["key", "cls"], "left")
+    beside = beside.join(tiled.select("key", (F.col("cls") - 1).alias("cls"), F.col("tiles").alias("above")), ["key", "cls"], "left").fillna(0, ["below", "above"])
+    dealt = members.join(beside, ["key", "cls"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    held = write_table(dealt.groupBy("key", "cls", "tile").agg(*[F.first(c).alias(c) for c in ("tiles", "below", "above")], F.collect_list(F.struct("node", *fields)).alias("members")), "tiles")
+    upto = lambda low, high: F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<long>"))
+    zero, tile = F.lit(0).cast("long"), F.col("tile")
+    place = lambda step: lambda j: F.struct((F.col("cls") + step).alias("cls"), j.alias("tile"))
+    own = F.struct("cls", "tile")
+    after = F.concat(F.transform(upto(tile + 1, F.col("tiles")), place(0)), F.transform(upto(zero, F.col("above")), place(1)))
+    before = F.concat(F.transform(upto(zero, tile), place(0)), F.transform(upto(zero, F.col("below")), place(-1)))
+    left = held.select("key", own.alias("x"), F.explode(after).alias("y"), F.col("members").alias("left"))
+    right = held.select("key", F.explode(before).alias("x"), own.alias("y"), F.col("members").alias("right"))
+    alone = held.select(F.col("members").alias("left"), F.lit(None).cast(held.schema["members"].dataType).alias("right")).where(F.size("left") > 1)
+    return left.join(right, ["key", "x", "y"]).select("left", "right").unionByName(alone)
+
+
+def several(members: DataFrame, least: int) -> DataFrame:
+    """The keys of ``members(key, node, label)`` with ``least`` rows or more and
+    more than one component, without those that have the members of another."""
+    hashed = F.xxhash64("node")
+    state = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(hashed).alias("mix"), F.sum(F.pmod(F.xxhash64("node", F.lit("sum")), F.lit(1 << 31))).alias("sum"),
+    )
+    return state.where(f"n >= {least} and low <> high").groupBy("n", "mix", "sum").agg(F.min("key").alias("key")).select("key", "n")
+
+
+def open_links(bands: DataFrame, labels: DataFrame, sketches: DataFrame, docs: DataFrame, texts: DataFrame, width: int, threshold: int, total: int, wide: int = WIDE) -> DataFrame:
     """Links between different components inside buckets of three or more
-    documents that the star left open, found tile against tile.  ``texts`` has
-    the texts of all documents that resembled a leader; a first pass over the
-    sketches finds the few others that resemble somebody, a second one compares
-    full sets."""
-    marked = write_table(bands.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
-    state = marked.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
-    still = write_table(state.where("members > 2 and low <> high").select("key", F.ceil(F.col("members") / tile).alias("tiles")), "open-buckets")
-    known = texts.select("doc_id").distinct().withColumn("known", F.lit(True))
-    in_open = marked.join(still, "key").join(sketches.select("doc_id", "bytes"), "doc_id").join(known, "doc_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    documents that the star left open.  ``texts`` has the texts of all documents
+    that resembled a leader; a first pass over the sketches finds the few others
+    that resemble somebody, a second one compares full sets."""
+    marked = write_table(bands.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    still = write_table(several(marked, 3), "open-buckets")
+    step = -np.log(min(threshold, 99.9) / 100) * (1 + 1e-9)
+    sized = sketches.select("node", "bytes", F.floor(F.log("n_shingles") / F.lit(float(step))).alias("cls"), (F.col("n_shingles") * 8).alias("bulk"))
+    known = texts.select("node").distinct().withColumn("known", F.lit(True))
+    in_open = join_groups(marked, still, ["key"], "n", total * BANDS).drop("n").join(sized, "node").join(known, "node", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     in_open = write_table(in_open, "open-members")
-    rest = write_table(tile_pairs(in_open, ["label", "bytes", "known"]).mapInPandas(_rough, "doc_id long").distinct(), "open-unread", 16)
-    more = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(rest, "doc_id", "left_semi")
-    here = texts.join(in_open.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = write_table(here.union(more).mapInPandas(_sets(width), "doc_id long, items binary").dropDuplicates(["doc_id"]), "open-sets", 1000)
-    return tile_pairs(in_open.join(sets, "doc_id"), ["label", "bytes", "items"]).mapInPandas(_tile_links(threshold), "a long, b long").distinct()
-
-
-def near_components(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    table = write_table(sketch_table(docs, width), "sketches", 1000)
-    sets = table.where("n_shingles > 0 and doc_id is not null")
-    heads = write_table(sets.groupBy("mark", "n_shingles").agg(F.min("doc_id").alias("head")), "set-heads")
-    members = sets.select("doc_id", "mark", "n_shingles").join(heads, ["mark", "n_shingles"]).select("doc_id", "head")
-    only = heads.select(F.col("head").alias("doc_id"))
-    firsts = write_table(sets.join(only, "doc_id", "left_semi").groupBy("doc_id", "n_shingles").agg(F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "set-firsts")
-    bands = firsts.select("doc_id", F.explode("bands").alias("key"))
-    shared = write_table(bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "leaders")
-    in_shared = write_table(bands.join(shared, "key").select("doc_id", "key", "a"), "bucketed")
-    stars = in_shared.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    tiled = write_table(cells(in_open), "open-cells")
+    large = write_table(tiled.groupBy("key").agg(F.sum("tiles").alias("tiles")).where(F.col("tiles") > wide).select("key"), "wide-buckets")
+    narrow = in_open.join(large, "key", "left_anti")
+    in_wide = write_table(in_open.join(large, "key", "left_semi").select("node", "label", "bytes", "cls", "bulk", "known").dropDuplicates(["node"]), "wide-members")
+    rest = tile_pairs(narrow, tiled, ["label", "bytes", "known"]).mapInPandas(_rough, "node long")
+    rest = write_table(rest.union(in_wide.where("not known").select("node")).distinct(), "open-unread", 16)
+    more = docs.select("node", "text").join(rest, "node", "left_semi")
+    here = texts.join(in_open.select("node").distinct(), "node", "left_semi")
+    sets = write_table(here.union(more).mapInPandas(_sets(width), "node long, items binary"), "open-sets", 1000)
+    fields = ["label", "bytes", "items"]
+    links = tile_pairs(narrow.join(sets, "node"), tiled, fields).mapInPandas(_tile_links(threshold), "a long, b long")
+    if in_wide.limit(1).count():
+        dealt = prefix_buckets(sets.join(in_wide.select("node"), "node", "left_semi"), threshold).join(in_wide.drop("known"), "node")
+        dealt = write_table(dealt.drop("bytes"), "prefixes")
+        shared = dealt.join(several(dealt, 2), "key", "left_semi")
+        shared = write_table(shared.join(in_wide.select("node", "bytes"), "node"), "prefix-members")
+        links = links.union(tile_pairs(shared.join(sets, "node"), write_table(cells(shared), "prefix-cells"), fields).mapInPandas(_tile_links(threshold), "a long, b long"))
+    return links.distinct()
+
+
+def noded(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with ``node``, and whether nodes stand for rows because doc_ids
+    do not tell the rows apart; else a row's node is its doc_id."""
+    alike = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if alike.limit(1).count():
+        return numbered(docs).withColumnRenamed("row_key", "node"), True
+    return docs.withColumn("node", F.col("doc_id").cast("long")), False
+
+
+def same_ids(members: DataFrame, total: int) -> DataFrame:
+    """Links (a, b) between the sets of rows that share a doc_id, from
+    ``members(doc_id, head)``."""
+    own = members.groupBy("doc_id", "head").agg(F.count(F.lit(1)).alias("rows"))
+    firsts = own.groupBy("doc_id").agg(F.min("head").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return join_groups(own.select("doc_id", F.col("head").alias("b")), firsts, ["doc_id"], "n", total).where("a <> b").select("a", "b")
+
+
+def near_components(docs: DataFrame, width: int = 5, threshold: int = 80, wide: int = WIDE) -> DataFrame:
+    """One row per row of ``docs``: node, doc_id, n_shingles, component_id, and
+    ``stays``, true for one row of each component."""
+    return node_components(*noded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), width, threshold, wide)
+
+
+def node_components(plain: DataFrame, repeated: bool, width: int = 5, threshold: int = 80, wide: int = WIDE) -> DataFrame:
+    """The same for ``noded`` documents (node, doc_id, text)."""
+    table = write_table(sketch_table(plain, width), "sketches", 1000)
+    has_set = F.col("n_shingles").cast("boolean") & F.col("doc_id").isNotNull()
+    sets = table.where(has_set)
+    total = sets.count()
+    key = ["mark", "n_shingles"]
+    heads = write_table(sets.groupBy(*key).agg(F.min("node").alias("head"), F.min(F.struct("doc_id", "node")).alias("first"), F.count(F.lit(1)).alias("size")), "set-heads")
+    firsts = write_table(sets.join(heads.select(F.col("head").alias("node")), "node", "left_semi").select("node", "n_shingles", "bands", "bytes"), "set-firsts")
+    bands = firsts.select("node", F.explode("bands").alias("key"))
+    shared = write_table(bands.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "leaders")
+    in_shared = write_table(join_groups(bands, shared, ["key"], "n", total * BANDS).select("node", "key", "a"), "bucketed")
+    stars = write_table(in_shared.where("a <> node").select("a", F.col("node").alias("b")).distinct(), "star-links")
     found = write_table(near_enough(stars, firsts, threshold), "candidates")
-    texts = texts_of(found, docs)
+    texts = texts_of(found, plain)
     links = write_table(confirm(found, texts, width, threshold), "links", 250)
+    if repeated:
+        links = write_table(links.union(same_ids(join_groups(sets.select("doc_id", *key), heads.select(*key, "head", "size"), key, "size", total), total)), "links-and-ids")
     labels = components(links)
-    extra = write_table(open_links(in_shared.select("doc_id", "key"), labels, firsts, docs, texts, width, threshold), "open-links", 4)
+    extra = write_table(open_links(in_shared.select("node", "key"), labels, firsts, plain, texts, width, threshold, total, wide), "open-links", 4)
     if extra.limit(1).count():
         labels = components(links.union(extra), "labels-again")
-    heads_of = members.join(labels.withColumnRenamed("node", "head"), "head", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "head")).alias("component_id"))
-    out = table.select("doc_id", "n_shingles").join(write_table(heads_of, "near-members"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = heads.join(labels.withColumnRenamed("node", "head"), "head", "left").withColumn("class", F.coalesce("label", "head")).select(*key, "size", "class", "first")
+    if repeated:
+        least = classes.groupBy("class").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("sets"))
+        classes = join_groups(classes, least, ["class"], "sets", total).select(*key, "size", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("stay"))
+    else:
+        classes = classes.select(*key, "size", F.col("class").alias("component_id"), F.col("class").alias("stay"))
+    met = join_groups(sets.select("node", "doc_id", *key), write_table(classes, "near-classes"), key, "size", total)
+    met = met.select("node", "doc_id", "n_shingles", "component_id", (F.col("node") == F.col("stay")).alias("stays"))
+    return met.union(table.where(~has_set).select("node", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(read(spark, sf_dir, "documents"), width=2, threshold=80)
+    found = near_components(read(spark, sf_dir, "documents"), width=2, threshold=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: five-word shingles, similarity 0.8; the document with
-    the smallest doc_id of each component stays."""
-    kept = near_components(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*DOCUMENT_COLUMNS)
+    """Pipeline stage: five-word shingles, similarity 0.8; one row of each
+    component stays, that of the smallest doc_id."""
+    rows, repeated = noded(docs.select(*DOCUMENT_COLUMNS))
+    gone = node_components(rows.select("node", "doc_id", "text"), repeated).where("not stays").select("node")
+    return rows.join(gone, "node", "left_anti").select(*DOCUMENT_COLUMNS)

@@ -59,24 +59,78 @@ def test_near_components_odd_rows(docs):
     want, sizes = brute_components([(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None], 2)
     for r in rows:
         if r["doc_id"] is not None:
-            assert (r["component_id"], r["n_shingles"], r["kept"]) == (want[r["doc_id"]], sizes[r["doc_id"]], r["doc_id"] == want[r["doc_id"]])
-
-
-def test_near_components_groups(spark):
-    """Chains and a dense group whose members are not all linked directly."""
+            assert (r["component_id"], r["n_shingles"]) == (want[r["doc_id"]], sizes[r["doc_id"]]) and (not r["stays"] or r["doc_id"] == r["component_id"])
+        else:
+            assert r["component_id"] is None and r["stays"]
+    stay = collections.Counter(r["component_id"] for r in rows if r["stays"] and r["n_shingles"])
+    assert max(stay.values()) == 1 and set(stay) == {c for i, c in want.items() if sizes[i]} | {None}
+
+
+def test_near_repeated_ids_are_one_document(spark):
+    """Rows of one doc_id with different texts have the union of their links."""
+    base, other = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(5, base), (5, other), (2, base + " x"), (3, other + " y"), (9, "alone in this"), (9, "alone in this"), (4, "of its own")]
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 2), (2, 2), (3, 2), (9, 9), (4, 4)} and sum(r["stays"] for r in got) == 3
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in near_dedup.near_dedup_stage(spark, table, "").collect()) == [2, 4, 9]
+
+
+def varied(rng, base, most, mark):
+    own = list(base)
+    for at in rng.choice(len(base), rng.integers(0, most), replace=False):
+        own[at] = f"{mark}{rng.integers(1e6)}"
+    return own
+
+
+@pytest.mark.parametrize("tile, wide", [(256, 8), (3, 2), (2, 0)])
+def test_near_components_groups(spark, monkeypatch, tile, wide):
+    """Chains and a dense group whose members are not all linked directly, and
+    boilerplate with pairs that share its buckets: compared tile against tile,
+    and by prefixes."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(400)]
     rows = [(1000 + k, " ".join(rng.choice(words, 60))) for k in range(60)]
-    base = [f"b{k}" for k in range(80)]
-    for k in range(120):
-        own = list(base)
-        for at in rng.choice(80, rng.integers(0, 9), replace=False):
-            own[at] = f"z{rng.integers(1e6)}"
-        rows.append((k, " ".join(own)))
+    rows += [(k, " ".join(varied(rng, [f"b{k}" for k in range(80)], 9, "z"))) for k in range(120)]
+    common = [f"c{k}" for k in range(100)]
+    for k in range(40):
+        own = [f"o{k}_{j}" for j in range(30)]
+        rows += [(2000 + 2 * k, " ".join(common + own)), (2001 + 2 * k, " ".join(common + varied(rng, own, 6, "y")))]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    for width in (2, 5):
+    for width in (2, 5) if tile > 9 else (2,):
         want, _ = brute_components(rows, width)
-        assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(table, width).collect()} == want
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(table, width, wide=wide).collect()} == want
+
+
+def test_near_recall_at_the_threshold(spark):
+    """Of planted pairs whose similarity is just 0.8 or more, all are linked; of
+    those just below, none."""
+    rng = np.random.default_rng(11)
+    rows, linked = [], set()
+    for k in range(400):
+        size = int(rng.integers(20, 200))
+        shared, n = [f"s{k}_{j}" for j in range(size)], int(rng.integers(0, size // 4 + 2))
+        rows += [(2 * k, " ".join(shared)), (2 * k + 1, " ".join(shared[: size - n] + [f"t{k}_{j}" for j in range(n)]))]
+        a, b = (shingles(t, 2) for _, t in rows[-2:])
+        if 100 * len(a & b) >= 80 * len(a | b):
+            linked.add(2 * k + 1)
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r["doc_id"] for r in got if r["component_id"] != r["doc_id"]} == linked and 100 < len(linked) < 350
+
+
+def test_prefixes_meet():
+    """Sets that reach the threshold share a shingle of their prefixes, whatever
+    the order."""
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 9, near_dedup.SLOTS)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        x = rng.integers(0, 2**62, n).astype(np.uint64)
+        gone = int(rng.integers(0, n // 4 + 1))
+        y = np.r_[x[gone:], rng.integers(0, 2**62, int(rng.integers(0, 4))).astype(np.uint64)]
+        if len(y) and 100 * (n - gone) >= 80 * len(np.union1d(x, y)):
+            assert set(near_dedup.prefix(x, counts, 80)) & set(near_dedup.prefix(y, counts, 80))
 
 
 def test_sketch_estimates_similarity():
