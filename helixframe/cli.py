@@ -4,18 +4,24 @@
     python -m helixframe.cli train rf --config f4r --input train.csv --test test.csv --output out/rf
     python -m helixframe.cli ladder --configs f1,f4r --models rf,logistic --seeds 42,7 --input train.csv --output out
     python -m helixframe.cli tune rf --trials 30 --input train.csv --output out
+    python -m helixframe.cli ablate gbt --config f16 --blocks gtype,comut,lsvd,lnmf,gmod,csig --input train.csv --output out/ablation
+    python -m helixframe.cli train rf --settings run.yaml --input train.csv --output out/rf
     python -m helixframe.cli blend out/a/oof.csv out/b/oof.csv --output out/blend.csv
     python -m helixframe.cli submit --sample sample.csv --predictions out/rf/test.csv --output out/submission.csv
 
-Runs are appended to runs.jsonl in the output folder; a ladder leaves out what
-the file already holds, so that one that was stopped goes on.
+Runs are appended to runs.jsonl in the output folder; a ladder or an ablation
+leaves out what the file already holds, so that one that was stopped goes on.
+``--settings`` names a JSON or YAML mapping of options, which those given on the
+command line override.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import sys
 import time
+from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,17 +30,18 @@ from pyspark.sql import functions as F
 from helixframe.operators import ensemble, groups, models, reports, training
 from helixframe.operators.relations import apply
 from helixframe.operators.study import Real, Study
-from helixframe.plans.catalog import shared
 from helixframe.plans.configs import CONFIGS
 from helixframe.plans.matrices import long_matrix
 from helixframe.plans.reports import ALL_PLANS
 from helixframe.sources import predictions as P
+from helixframe.sources.shared import shared_dir, write_once
 from helixframe.sources.tables import build_submission, read_wide_csv, samples_of, variants_of
 
 SPACES = {
     "rf": {"numTrees": Real(20, 300, whole=True), "maxDepth": Real(3, 14, whole=True)},
     "logistic": {"regParam": Real(1e-4, 1.0, log=True)},
-    "gbt": {"maxIter": Real(3, 60, whole=True), "maxDepth": Real(2, 6, whole=True)},
+    "gbt": {"rounds": Real(5, 100, whole=True), "depth": Real(2, 6, whole=True), "rate": Real(0.03, 0.5, log=True)},
+    "ridge": {"penalty": Real(1e-2, 1e3, log=True)},
     "mlp": {"maxIter": Real(20, 200, whole=True)},
     "extra_trees": {"trees": Real(10, 200, whole=True), "depth": Real(3, 10, whole=True)},
 }
@@ -58,18 +65,24 @@ class Run:
         self.args, self.out = args, Path(args.output)
         train = read_wide_csv(spark, args.input)
         self.variants, samples = variants_of(train), samples_of(train)
-        self.variants = self.variants.checkpoint()
-        self.folds = dealt(self.variants, samples, args.cv, args.folds, args.fold_seed).checkpoint()
+        self.variants = write_once(self.variants, "tokens")
+        self.folds = write_once(dealt(self.variants, samples, args.cv, args.folds, args.fold_seed), "folds")
         self.classes = [r["label"] for r in samples.select("label").distinct().orderBy("label").collect()]
         self.rows = self.folds
         if args.test:
             ahead = read_wide_csv(spark, args.test, label=False)
-            self.variants = self.variants.unionByName(variants_of(ahead)).checkpoint()
+            self.variants = write_once(self.variants.unionByName(variants_of(ahead)), "tokens")
             self.rows = self.folds.unionByName(ahead.select("sample_id").distinct(), allowMissingColumns=True)
 
-    def one(self, model: str, config: str, folder: Path | None = None, **params) -> float:
+    @cached_property
+    def cache(self) -> training.FoldCache:
+        return training.FoldCache(self.variants, self.rows)
+
+    def one(self, model: str, config: str, folder: Path | None = None, blocks: tuple[str, ...] | None = None, **params) -> float:
+        """Train on a named configuration, or on ``blocks`` under the name and the
+        weighting of ``config`` (before a colon, if it has one)."""
         began = time.monotonic()
-        oof, test = training.train_config(self.variants, self.rows, config, model, CONFIGS[config][1], self.classes, **params)
+        oof, test = training.train_config(self.variants, self.rows, blocks or config, model, CONFIGS[config.split(":")[0]][1], self.classes, self.cache, **params)
         score = training.oof_score(oof, self.classes)
         if folder is not None:
             folder.mkdir(parents=True, exist_ok=True)
@@ -96,10 +109,10 @@ def features(spark: SparkSession, args: argparse.Namespace) -> None:
 def matrix(spark: SparkSession, args: argparse.Namespace) -> None:
     """The matrix that a model of fold ``--held`` sees."""
     cells = read_wide_csv(spark, args.input)
-    variants = variants_of(cells).checkpoint()
+    variants = write_once(variants_of(cells), "tokens")
     rows = training.numbered(dealt(variants, samples_of(cells), args.cv, args.folds, args.fold_seed))
     tokens, samples, key = training.coded(variants, rows, args.held)
-    long = long_matrix(args.config, tokens.checkpoint(), samples).join(key, "sample_id")
+    long = long_matrix(args.config, write_once(tokens, "tokens"), samples).join(key, "sample_id")
     long.select(F.col("own_id").alias("sample_id"), "feature", "value").write.mode("overwrite" if args.overwrite else "errorifexists").parquet(args.output)
 
 
@@ -127,6 +140,29 @@ def ladder(spark: SparkSession, args: argparse.Namespace) -> None:
     reports.seed_report(spark.createDataFrame(rows, "stem string, seed long, macro_f1 double"), []).orderBy(F.desc("mean")).show(1000, truncate=False)
 
 
+def ablations(blocks: tuple[str, ...], targets: list[str]) -> dict[str, tuple[str, ...]]:
+    """All blocks, all but one target, no target, and one target alone; blocks
+    keep their order."""
+    if absent := [t for t in targets if t not in blocks]:
+        raise ValueError(f"the configuration has no block {absent}")
+    runs = {"full": blocks} | {f"drop:{t}": tuple(b for b in blocks if b != t) for t in targets}
+    return runs | {"base": tuple(b for b in blocks if b not in targets)} | {f"add:{t}": tuple(b for b in blocks if b not in targets or b == t) for t in targets}
+
+
+def ablate(spark: SparkSession, args: argparse.Namespace) -> None:
+    """What each block gains: the loss when it leaves the whole, the gain when it
+    joins the rest."""
+    run = Run(spark, args)
+    done = {r["stem"] for r in logged(run.out)}
+    for name, blocks in ablations(CONFIGS[args.config][0], args.blocks.split(",")).items():
+        label = f"{args.config}:{name}"
+        if f"{args.model}_{label}_{args.cv}" not in done:
+            run.one(args.model, label, run.out / label.replace(":", "_"), blocks=blocks)
+    ends = f"_{args.cv}"
+    rows = [(r["stem"].removeprefix(f"{args.model}_{args.config}:").removesuffix(ends), r["macro_f1"]) for r in logged(run.out) if r["stem"].startswith(f"{args.model}_{args.config}:") and r["stem"].endswith(ends)]
+    reports.ablation(spark.createDataFrame(rows, "config string, macro_f1 double")).show(100, truncate=False)
+
+
 def tune(spark: SparkSession, args: argparse.Namespace) -> None:
     run, base = Run(spark, args), {k: v for k, v in models.DEFAULTS[args.model].items() if k in SPACES[args.model]}
     study = Study(SPACES[args.model], run.out / f"{args.model}_{args.config}.jsonl").run(lambda params, report: run.one(args.model, args.config, **params), args.trials, baseline=base)
@@ -168,6 +204,7 @@ def parser() -> argparse.ArgumentParser:
         p.set_defaults(run=run)
         p.add_argument("--output", required=True)
         p.add_argument("--overwrite", action="store_true")
+        p.add_argument("--settings", help="a JSON or YAML mapping of options")
         if source:
             p.add_argument("--input", required=True)
         if cv:
@@ -190,6 +227,10 @@ def parser() -> argparse.ArgumentParser:
     p = add(ladder, cv=True, test=True)
     for name, value in (("configs", "f1,f4r"), ("models", "rf"), ("seeds", "42")):
         p.add_argument(f"--{name}", default=value)
+    p = add(ablate, cv=True, test=True)
+    p.add_argument("model", choices=sorted(models.DEFAULTS))
+    p.add_argument("--config", choices=sorted(CONFIGS), default="f16")
+    p.add_argument("--blocks", default="gtype,comut,lsvd,lnmf,gmod,csig")
     p = add(tune, cv=True, test=True)
     p.add_argument("model", choices=sorted(SPACES))
     p.add_argument("--config", choices=sorted(CONFIGS), default="f4r")
@@ -201,10 +242,33 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def mapping(path: str) -> dict:
+    """A JSON or YAML file that holds a mapping."""
+    text = Path(path).read_text()
+    if path.endswith(".json"):
+        found = json.loads(text)
+    else:
+        import yaml
+
+        found = yaml.safe_load(text)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return found
+
+
+def arguments(argv: list[str]) -> argparse.Namespace:
+    """The options of ``argv``, after those of its settings file."""
+    if "--settings" not in argv:
+        return parser().parse_args(argv)
+    settings = mapping(argv[argv.index("--settings") + 1])
+    given = [x for k, v in settings.items() if f"--{k.replace('_', '-')}" not in argv for x in ([f"--{k.replace('_', '-')}"] if v is True else [] if v in (False, None) else [f"--{k.replace('_', '-')}", json.dumps(v) if isinstance(v, (dict, list)) else str(v)])]
+    return parser().parse_args([*argv, *given])
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
-    args = parser().parse_args(argv)
+    args = arguments(sys.argv[1:] if argv is None else argv)
     spark = spark or SparkSession.builder.appName("helixframe").getOrCreate()
-    shared(spark)
+    shared_dir(spark)
     args.run(spark, args)
 
 

@@ -26,6 +26,10 @@ DRIVERS = tuple(sorted(set(
 MSI_TARGETS = tuple("ACVR2A TGFBR2 BAX RPL22 TCF7L2 CASP5 RAD50 TTK EPHB2 MRE11 PRDM2 CHEK1 JAK1 B2M".split())
 IMMUNE = tuple("HLA-A HLA-B HLA-C B2M TAP1 TAP2 NLRC5 CIITA JAK1 JAK2 CASP8 CD274".split())
 MANUAL_PAIRS = (("ATRX", "IDH1"), ("IDH1", "TP53"), ("CTNNB1", "PTEN"), ("PIK3CA", "PTEN"), ("BRAF", "CDKN2A"))
+#: What stands for these genes in the star schema, whose genes are brands.
+STAR_DRIVERS = tuple(f"Brand#{n}" for n in range(11, 16))
+STAR_IMMUNE = ("Brand#21",)
+STAR_PAIRS = (("Brand#11", "Brand#12"), ("Brand#12", "Brand#13"), ("Brand#11", "Brand#14"), ("Brand#14", "Brand#15"), ("Brand#13", "Brand#15"))
 PAIR_LABELS = {"KIPAN": "KIRC", "KIRC": "KIPAN", "GBMLGG": "LGG", "LGG": "GBMLGG"}
 #: Residues of the codons in the order of TCAG at each place.
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -43,6 +47,18 @@ def penalties(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(penalty_rows(), "ref string, alt string, penalty double")
 
 
+def panel_rows(drivers: tuple[str, ...] = DRIVERS, msi: tuple[str, ...] = MSI_TARGETS, immune: tuple[str, ...] = IMMUNE) -> list[tuple[str, str]]:
+    """(gene, role): a gene has a row for each of its roles."""
+    return [(g, role) for role, genes in (("driver", drivers), ("msi", msi), ("immune", immune)) for g in genes]
+
+
+STAR_PANEL = panel_rows(STAR_DRIVERS, STAR_DRIVERS, STAR_IMMUNE)
+
+
+def panel(spark: SparkSession, rows: list[tuple[str, str]] | None = None) -> DataFrame:
+    return spark.createDataFrame(rows or panel_rows(), "gene string, role string")
+
+
 #: (ref, alt) of residues -> shares of the six channels, CpG and transition over
 #: all single-base paths; plain SQL that Spark and other engines run alike.
 CODON_SQL = f"""

@@ -12,7 +12,7 @@ AMINO = "ACDEFGHIKLMNPQRSTVWY"
 
 def split_tokens(cell: Column) -> Column:
     """Cell -> array of tokens; null and wild-type cells give an empty array."""
-    text = F.trim(F.coalesce(cell, F.lit("")))
+    text = F.regexp_replace(F.coalesce(cell, F.lit("")), r"^\s+|\s+$", "")
     return F.when(F.upper(text).isin(*EMPTY_CELLS), F.array().cast("array<string>")).otherwise(F.split(text, r"\s+"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions.dims import PAIR_LABELS
+from helixframe.functions.tokens import EMPTY_CELLS
 
 
 def profiles(variants: DataFrame, samples: DataFrame) -> DataFrame:
@@ -95,5 +96,19 @@ def pair_rule(train: DataFrame, test: DataFrame, least: int = 3, pairs: dict[str
     return test.join(one, "profile_hash").select("sample_id", "matched_label", table[F.col("matched_label")].alias("new_label"))
 
 
+def line_profiles(spark: SparkSession, path: str, label: bool = True) -> DataFrame:
+    """sample_id, label, profile_hash, n_genes from the lines of a wide file, which
+    are cut at their first comma, or second with labels, and not parsed further:
+    two rows are alike if the rest of their lines is.  Blank lines and the header
+    are left out."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"))
+    header = lines.first()[0]
+    cut = r"^([^,]*),([^,]*),(.*)$" if label else r"^([^,]*),()(.*)$"
+    part = lambda k: F.regexp_extract("line", cut, k)
+    rest = lines.where((F.trim("line") != "") & (F.col("line") != header)).select(part(1).alias("sample_id"), F.when(F.lit(label), part(2)).alias("label"), part(3).alias("rest"))
+    mutated = F.size(F.filter(F.split("rest", ","), lambda c: ~F.upper(F.trim(c)).isin(*EMPTY_CELLS)))
+    return rest.select("sample_id", "label", F.sha2("rest", 256).alias("profile_hash"), mutated.alias("n_genes"))
+
+
 def relabel(submission: DataFrame, rule: DataFrame) -> DataFrame:
     return submission.join(rule.select("sample_id", "new_label"), "sample_id", "left").select("sample_id", F.coalesce("new_label", "label").alias("label"))

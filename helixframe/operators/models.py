@@ -1,45 +1,49 @@
 """Classifiers behind one registry, and out-of-fold prediction.
 
-Boosted trees are one-vs-rest Spark trees, the network is Spark's multilayer
-perceptron and extremely randomised trees are grown by this package; set encoders
-have no counterpart.
+The network is Spark's multilayer perceptron; extremely randomised trees, boosted
+multiclass trees and ridge regression are this package's own and take an array
+column.  Set encoders read tokens and stand in ``set_encoder``.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.boosted import BoostedTrees
 from helixframe.operators.extra_trees import ExtraTrees
+from helixframe.operators.ridge import Ridge
 
 DEFAULTS = {
     "rf": {"numTrees": 40, "maxDepth": 8, "seed": 42},
     "logistic": {"maxIter": 50, "regParam": 0.01, "family": "multinomial"},
-    "gbt": {"maxIter": 5, "maxDepth": 3, "seed": 42},
+    "gbt": {"rounds": 10, "depth": 3},
+    "ridge": {"penalty": 1.0},
     "mlp": {"maxIter": 40, "seed": 42},
     "extra_trees": {"trees": 30, "depth": 6, "seed": 42},
 }
 
+#: Models of this package: they take arrays, know their weights and give ``proba``.
+OWN = {"extra_trees": ExtraTrees, "gbt": BoostedTrees, "ridge": Ridge}
+
 
 def create(name: str, width: int, classes: int, weighted: bool = True, **params):
     """An estimator of the registry; ``params`` override the defaults."""
     if name not in DEFAULTS:
         raise ValueError(f"unknown model {name}; there are {sorted(DEFAULTS)}")
     p = DEFAULTS[name] | params
-    if name == "extra_trees":
-        return ExtraTrees(**p)
+    if name in OWN:
+        return OWN[name](**p)
     common = {"featuresCol": "features", "labelCol": "y"}
     weight = {"weightCol": "weight"} if weighted else {}
     if name == "rf":
         return RandomForestClassifier(**common, **weight, **p)
     if name == "logistic":
         return LogisticRegression(**common, **weight, **p)
-    if name == "gbt":
-        return OneVsRest(classifier=GBTClassifier(**common, **p), **common)
     return MultilayerPerceptronClassifier(layers=[width, max(16, 2 * classes), classes], **common, **p)
 
 
@@ -54,12 +58,7 @@ def assemble(features: DataFrame, columns: list[str]) -> DataFrame:
 
 def with_proba(scored: DataFrame, name: str) -> DataFrame:
     """The array column ``proba`` from a model's own output columns."""
-    if name == "extra_trees":
-        return scored
-    if name != "gbt":
-        return scored.withColumn("proba", vector_to_array("probability"))
-    raw = F.transform(vector_to_array("rawPrediction"), lambda v: 1 / (1 + F.exp(-2 * v)))
-    return scored.withColumn("s", raw).withColumn("proba", F.transform("s", lambda v: v / F.aggregate("s", F.lit(1e-12), lambda a, b: a + b)))
+    return scored if name in OWN else scored.withColumn("proba", vector_to_array("probability"))
 
 
 def out_of_fold(ready: DataFrame, name: str, **params) -> DataFrame:
@@ -70,10 +69,9 @@ def out_of_fold(ready: DataFrame, name: str, **params) -> DataFrame:
     out = None
     for (fold,) in sorted(ready.select("fold").distinct().collect()):
         train, test = ready.where(F.col("fold") != fold), ready.where(F.col("fold") == fold)
-        if name == "extra_trees":
+        if name in OWN:
             plain = lambda part: part.withColumn("features", vector_to_array("features"))
-            forest = ExtraTrees(**(DEFAULTS[name] | params)).fit(plain(train), classes, width)
-            scored = forest.transform(plain(test))
+            scored = create(name, width, classes, **params).fit(plain(train), classes, width).transform(plain(test))
         else:
             scored = create(name, width, classes, **params).fit(train).transform(test)
         part = with_proba(scored, name).select("sample_id", "fold", F.col("label").alias("y_true"), "proba")

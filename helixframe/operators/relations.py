@@ -8,8 +8,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.functions.dims import CODON_SQL, penalties
-from helixframe.plans.portable import MANUAL_PAIRS, PAIRS_A_GENE, STAR_PAIRS, TOP_PAIRS, comut_candidates
+from helixframe.functions.dims import CODON_SQL, MANUAL_PAIRS, STAR_PAIRS, STAR_PANEL, panel_rows, penalties
+from helixframe.functions.dims import panel as panel_of
+from helixframe.plans.portable import PAIRS_A_GENE, TOP_PAIRS, comut_candidates
 from helixframe.plans.reports import ALL_PLANS, GENERALISED, PART_PLACE, SIGNATURE_BUCKETS
 
 
@@ -34,7 +35,7 @@ def signature_buckets(variants: DataFrame) -> DataFrame:
 Pair = tuple[str, str]
 
 
-def choose_pairs(ordered: Iterable[Pair], manual: Sequence[Pair] = MANUAL_PAIRS + STAR_PAIRS, topk: int = TOP_PAIRS, per_gene: int = PAIRS_A_GENE) -> list[Pair]:
+def choose_pairs(ordered: Iterable[Pair], manual: Sequence[Pair] = MANUAL_PAIRS, topk: int = TOP_PAIRS, per_gene: int = PAIRS_A_GENE) -> list[Pair]:
     """The manual pairs, then up to ``topk`` of the ordered ones with at most
     ``per_gene`` of a gene; manual ones count for neither bound."""
     forced, picked, used = {tuple(sorted(p)) for p in manual}, [], Counter()
@@ -47,19 +48,35 @@ def choose_pairs(ordered: Iterable[Pair], manual: Sequence[Pair] = MANUAL_PAIRS
     return sorted(forced) + picked
 
 
-def comutation_pairs(variants: DataFrame, samples: DataFrame, candidates: str | None = None) -> DataFrame:
+class Genes:
+    """Which genes the panel plans mean: (gene, role) rows, the pairs that are
+    always taken, and whether candidate pairs come from the panel only."""
+
+    def __init__(self, rows: list[tuple[str, str]] | None = None, manual: Sequence[Pair] = MANUAL_PAIRS, pool: bool = True):
+        self.rows = (rows or panel_rows()) + [(g, "manual") for g in sorted({g for p in manual for g in p})]
+        self.manual, self.pool = manual, pool
+
+
+#: The genes of the star schema, all of which may pair.
+STAR = Genes(STAR_PANEL, STAR_PAIRS, pool=False)
+
+
+def comutation_pairs(variants: DataFrame, samples: DataFrame, candidates: str | None = None, genes: Genes | None = None) -> DataFrame:
     """(gene_a, gene_b): the chosen pairs, read in order until there are enough."""
-    spark = variants.sparkSession
-    ordered = spark.sql(candidates or comut_candidates(), variants=variants, samples=samples).orderBy("place").select("gene_a", "gene_b")
-    return spark.createDataFrame(choose_pairs((r["gene_a"], r["gene_b"]) for r in ordered.toLocalIterator()), "gene_a string, gene_b string")
+    spark, genes = variants.sparkSession, genes or Genes()
+    text = candidates or comut_candidates(pool=genes.pool)
+    tables = {"variants": variants, "samples": samples} | ({"panel": panel_of(spark, genes.rows)} if "{panel}" in text else {})
+    ordered = spark.sql(text, **tables).orderBy("place").select("gene_a", "gene_b")
+    return spark.createDataFrame(choose_pairs(((r["gene_a"], r["gene_b"]) for r in ordered.toLocalIterator()), genes.manual), "gene_a string, gene_b string")
 
 
-def apply(name: str, variants: DataFrame, samples: DataFrame) -> DataFrame:
+def apply(name: str, variants: DataFrame, samples: DataFrame, genes: Genes | None = None) -> DataFrame:
     """The plan ``name`` of the catalogue over (variants, samples)."""
-    return run_text(variants.sparkSession, ALL_PLANS[name], variants, samples)
+    return run_text(variants.sparkSession, ALL_PLANS[name], variants, samples, genes)
 
 
-def run_text(spark: SparkSession, text: str, variants: DataFrame, samples: DataFrame) -> DataFrame:
+def run_text(spark: SparkSession, text: str, variants: DataFrame, samples: DataFrame, genes: Genes | None = None) -> DataFrame:
+    """A portable text; ``genes`` are the real driver panels by default."""
     tables = {"variants": variants, "samples": samples}
     if "{cellkeys}" in text:
         tables["cellkeys"] = cell_keys(variants)
@@ -69,7 +86,9 @@ def run_text(spark: SparkSession, text: str, variants: DataFrame, samples: DataF
         tables["sigbuckets"] = signature_buckets(variants)
     if "{penalties}" in text:
         tables["penalties"] = penalties(spark)
+    if "{panel}" in text:
+        tables["panel"] = panel_of(spark, (genes or Genes()).rows)
     if "{comutpairs}" in text:
-        tables["comutpairs"] = comutation_pairs(variants, samples)
+        tables["comutpairs"] = comutation_pairs(variants, samples, genes=genes)
     text = text.replace("{codons}", CODON_SQL.strip())
     return spark.sql(text, **{k: v for k, v in tables.items() if "{" + k + "}" in text})

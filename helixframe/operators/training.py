@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import models
 from helixframe.operators.ensemble import macro_f1
-from helixframe.plans.matrices import long_matrix
+from helixframe.plans.matrices import Config, long_matrix
+from helixframe.sources.shared import write_once
 
 MOST_FEATURES = 200_000
 
@@ -70,21 +71,44 @@ def sample_weights(rows: DataFrame, scheme: str) -> DataFrame:
     return found.crossJoin(mean).withColumn("weight", F.col("weight") / F.col("mean_weight")).drop("mean_weight")
 
 
-def train_config(variants: DataFrame, rows: DataFrame, config: str, model: str, scheme: str, classes: Sequence[str], **params) -> tuple[DataFrame, DataFrame]:
+class FoldCache:
+    """Numbered rows, each fold's tokens and each fold's blocks, written once and
+    shared by all runs over the same samples and folds."""
+
+    def __init__(self, variants: DataFrame, rows: DataFrame):
+        self.rows = numbered(rows)
+        self.variants, self.folds, self.blocks = variants, {}, {}
+
+    def fold(self, held: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        if held not in self.folds:
+            tokens, samples, key = coded(self.variants, self.rows, held)
+            self.folds[held] = (write_once(tokens, "tokens"), samples, key)
+        return self.folds[held]
+
+    def block(self, held: int):
+        def keep(key: str, make) -> DataFrame:
+            if (held, key) not in self.blocks:
+                self.blocks[held, key] = write_once(make(), "block")
+            return self.blocks[held, key]
+
+        return keep
+
+
+def train_config(variants: DataFrame, rows: DataFrame, config: Config, model: str, scheme: str, classes: Sequence[str], cache: FoldCache | None = None, **params) -> tuple[DataFrame, DataFrame]:
     """``rows(sample_id, label, fold[, group_key])`` -> out-of-fold table
     (sample_id, fold, y_true, proba) and the test samples' mean over the folds'
     models (sample_id, proba).  Test samples have no fold."""
-    rows = numbered(rows)
+    cache = cache or FoldCache(variants, rows)
+    rows = cache.rows
     place = F.create_map(*[F.lit(x) for k, c in enumerate(classes) for x in (c, float(k))])
     oof, test = None, None
     for (held,) in rows.where("fold is not null").select("fold").distinct().orderBy("fold").collect():
-        tokens, samples, key = coded(variants, rows, held)
-        tokens = tokens.checkpoint()
-        ready, width = vectors(long_matrix(config, tokens, samples), samples.select("sample_id"))
+        tokens, samples, key = cache.fold(held)
+        ready, width = vectors(long_matrix(config, tokens, samples, cache=cache.block(held)), samples.select("sample_id"))
         ready = ready.join(key, "sample_id").drop("sample_id").withColumnRenamed("own_id", "sample_id").checkpoint()
         fit = sample_weights(rows.where(F.col("fold") != held).drop("row"), scheme).join(ready, "sample_id").withColumn("y", place[F.col("label")])
         rest = rows.where(f"fold is null or fold = {int(held)}").join(ready, "sample_id")
-        if model == "extra_trees":
+        if model in models.OWN:
             plain = lambda part: part.withColumn("features", vector_to_array("features"))
             scored = models.create(model, width, len(classes), **params).fit(plain(fit.select("features", "y", "weight")), len(classes), width).transform(plain(rest))
         else:

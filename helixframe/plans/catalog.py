@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.operators import ensemble, groups, latent, models, reports
-from helixframe.operators.relations import apply, run_text
+from helixframe.operators import ensemble, groups, latent, models, reports, set_encoder
+from helixframe.operators.relations import STAR, apply, run_text
 from helixframe.plans.configs import dense_matrix
 from helixframe.plans.matrices import MATRIX_PLANS, long_matrix
 from helixframe.plans.oracle import oracle
 from helixframe.plans.portable import _PREDS
 from helixframe.plans.reports import ALL_PLANS
+from helixframe.sources.shared import shared_dir, write_once
 from helixframe.sources.tables import star_samples, star_variants
 from helixframe.streaming.scoring import event_windows
 
@@ -26,27 +26,23 @@ def base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return variants, star_samples(spark, sf_dir, variants)
 
 
-def shared(spark: SparkSession) -> None:
-    """A checkpoint folder where the session has none."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-"))
-
-
-def plan(name: str) -> Query:
-    return lambda spark, sf_dir: apply(name, *base(spark, sf_dir))
-
-
 def written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The base relations with the tokens written once, for plans that read them
-    many times."""
-    shared(spark)
-    variants, _ = base(spark, sf_dir)
-    variants = variants.checkpoint()
+    several times."""
+    variants = write_once(base(spark, sf_dir)[0], "tokens")
     return variants, star_samples(spark, sf_dir, variants)
 
 
+def plan(name: str) -> Query:
+    """A portable plan; one that reads the tokens more than twice, its cells and
+    words included, has them written first."""
+    text = ALL_PLANS[name]
+    reads = sum(text.count("{" + r + "}") for r in ("variants", "cellkeys", "words", "sigbuckets", "comutpairs"))
+    return lambda spark, sf_dir: apply(name, *(written if reads > 2 else base)(spark, sf_dir), STAR)
+
+
 def text_query(text: str) -> Query:
-    return lambda spark, sf_dir: run_text(spark, text, *written(spark, sf_dir))
+    return lambda spark, sf_dir: run_text(spark, text, *written(spark, sf_dir), STAR)
 
 
 def _labelled_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -58,7 +54,7 @@ def _labelled_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list
 
 
 def _rows(spark: SparkSession, preds: DataFrame, classes: list[str]) -> ensemble.Rows:
-    shared(spark)
+    shared_dir(spark)
     return ensemble.searched(*ensemble.pack(preds, classes), len(classes))
 
 
@@ -85,14 +81,14 @@ def logit_bias_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crossfit_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, classes = _labelled_members(spark, sf_dir)
-    shared(spark)
+    shared_dir(spark)
     packed, members = ensemble.pack(preds, classes, F.col("sample_id") % 5)
     learned = ensemble.crossfit(ensemble.searched(packed, members, len(classes)))
     return ensemble.apply_crossfit(packed, learned, members, len(classes))
 
 
 def _ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared(spark)
+    shared_dir(spark)
     variants, samples = base(spark, sf_dir)
     table = dense_matrix("f1", variants, samples).withColumn("fold", F.col("sample_id") % 2).checkpoint()
     columns = [c for c in table.columns if c not in ("sample_id", "label", "fold")]
@@ -105,14 +101,43 @@ def model_oof(name: str) -> Query:
 
 def stack_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A logistic model over the members' logits, fitted across folds."""
+    return _stacked(spark, sf_dir, "logistic")
+
+
+def stack_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ridge regression over the members' logits, fitted across folds."""
+    return _stacked(spark, sf_dir, "ridge")
+
+
+def _stacked(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
     preds, _ = _labelled_members(spark, sf_dir)
     logits = F.transform("proba", lambda p: F.log(p) - F.log(1 - p))
     wide = preds.withColumn("z", logits).groupBy("sample_id", F.col("y_true").alias("label")).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("member", "z"))), lambda x: x["z"])).alias("z"))
-    shared(spark)
+    shared_dir(spark)
     wide = wide.checkpoint()
     width = len(wide.first()["z"])
     table = wide.select("sample_id", "label", (F.col("sample_id") % 2).alias("fold"), *[F.col("z")[k].alias(f"z{k}") for k in range(width)])
-    return models.out_of_fold(models.assemble(table, [f"z{k}" for k in range(width)]).checkpoint(), "logistic")
+    return models.out_of_fold(models.assemble(table, [f"z{k}" for k in range(width)]).checkpoint(), model)
+
+
+def set_encoder_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, fold, y_true, proba of set encoders over the tokens, each fold
+    predicted by one trained on the other."""
+    variants, samples = written(spark, sf_dir)
+    tokens = apply("token_ids", variants, samples, STAR)
+    table = write_once(set_encoder.collated(tokens, samples), "collated")
+    classes = [r["label"] for r in samples.select("label").distinct().orderBy("label").collect()]
+    sizes = tokens.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in set_encoder.IDS]).first()
+    place = F.create_map(*[F.lit(x) for k, c in enumerate(classes) for x in (c, k)])
+    counts = table.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    total = table.count()
+    ready = table.join(F.broadcast(counts), "label").select("sample_id", "label", "ids", place[F.col("label")].alias("y"), (F.lit(total) / (len(classes) * F.col("c"))).alias("weight"), (F.col("sample_id") % 2).alias("fold"))
+    out = None
+    for fold in (0, 1):
+        model = set_encoder.SetEncoder([n + 1 for n in sizes], steps=15).fit(ready.where(F.col("fold") != fold), len(classes))
+        part = model.transform(ready.where(F.col("fold") == fold)).select("sample_id", "fold", F.col("label").alias("y_true"), "proba")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def svd_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +147,7 @@ def svd_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nmf_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared(spark)
+    shared_dir(spark)
     x, names = latent.matrix(star_variants(spark, sf_dir))
     h = latent.nmf_components(x.where("sample_id % 5 <> 0"), names, min(64, len(names) - 1))
     return latent.project(x, names, h, nonnegative=True)
@@ -134,7 +159,7 @@ def gene_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def twin_groups_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared(spark)
+    shared_dir(spark)
     variants, samples = base(spark, sf_dir)
     return groups.twin_groups(variants, samples)
 
@@ -232,10 +257,10 @@ EVENT_SQL = "SELECT date_trunc('hour', ts) AS window_start, event_type, CAST(cou
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {name: plan(name) for name in ALL_PLANS}
-    found |= {f.__name__: f for f in (blend_search, greedy_select, logit_bias_fit, crossfit_blend, stack_logistic, svd_projection, nmf_projection, gene_modules, twin_groups_jaccard, stratified_folds, group_folds, frame_fingerprint, pair_rule_matches, pair_rule_premises, oof_faults, temperature_fit, per_class_fit, latent_inspect, module_seed_ari, event_burden)}
+    found |= {f.__name__: f for f in (blend_search, greedy_select, logit_bias_fit, crossfit_blend, stack_logistic, stack_ridge, set_encoder_oof, svd_projection, nmf_projection, gene_modules, twin_groups_jaccard, stratified_folds, group_folds, frame_fingerprint, pair_rule_matches, pair_rule_premises, oof_faults, temperature_fit, per_class_fit, latent_inspect, module_seed_ari, event_burden)}
     found |= {f"{name}_oof": model_oof(name) for name in models.DEFAULTS}
     found |= {name: text_query(text) for name, text in MATRIX_PLANS.items()}
-    found["matrix_f11"] = lambda spark, sf_dir: long_matrix("f11", *written(spark, sf_dir))
+    found["matrix_f11"] = lambda spark, sf_dir: long_matrix("f11", *written(spark, sf_dir), genes=STAR)
     found["dense_matrix_f1"] = lambda spark, sf_dir: dense_matrix("f1", *base(spark, sf_dir))
     return found
 

@@ -10,14 +10,16 @@ DataFrames.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators import latent
-from helixframe.operators.relations import run_text
+from helixframe.operators.relations import Genes, run_text
 from helixframe.plans.configs import BLOCKS, CONFIGS
-from helixframe.plans.portable import _PANEL, _TFIDF, PLANS, TRAIN, chi2, d, evidence
+from helixframe.plans.portable import _TFIDF, PLANS, TRAIN, chi2, d, evidence
 from helixframe.plans.reports import ALL_PLANS
 
 TOP_GENES, TOP_WORDS = 500, 1000
@@ -93,11 +95,15 @@ def block_text(block: str) -> str:
 SELECT f.sample_id, f.feature, f.value FROM f JOIN kept ON f.feature = kept.feature) b WHERE value <> 0"""
 
 
-def config_blocks(name: str) -> list[str]:
-    return [p for b in CONFIGS[name][0] for p in PARTS.get(b, (b,))]
+Config = str | tuple[str, ...]
 
 
-def config_text(name: str) -> str:
+def config_blocks(config: Config) -> list[str]:
+    """The blocks of a named configuration, or of a list of blocks."""
+    return [p for b in (CONFIGS[config][0] if isinstance(config, str) else config) for p in PARTS.get(b, (b,))]
+
+
+def config_text(name: Config) -> str:
     """The portable blocks of a configuration as one text."""
     return "\nUNION ALL ".join(f"SELECT * FROM ({block_text(b)}) {b}_block" for b in config_blocks(name) if b not in LATENT)
 
@@ -128,17 +134,29 @@ def _latent_block(block: str, variants: DataFrame, components: int, modules: int
     return placed.select("sample_id", F.posexplode("latent").alias("k", "value")).select("sample_id", F.concat(F.lit(f"{block}__"), F.col("k").cast("string")).alias("feature"), "value")
 
 
-def long_matrix(name: str, variants: DataFrame, samples: DataFrame, components: int = 64, modules: int = 24, panel: tuple[str, ...] | None = None) -> DataFrame:
-    """sample_id, feature, value of every block of the configuration; ``panel``
-    names the driver genes in place of those of the star schema."""
-    text = config_text(name)
-    if panel:
-        text = text.replace(_PANEL, "(" + ", ".join("'" + g.replace("'", "''") + "'" for g in panel) + ")")
-    out = run_text(variants.sparkSession, text, variants, samples)
-    for block in config_blocks(name):
-        if block in LATENT:
-            out = out.union(_latent_block(block, variants, components, modules).where("value <> 0").select("sample_id", "feature", F.round("value", 6).alias("value")))
-    return out
+def block_frame(block: str, variants: DataFrame, samples: DataFrame, components: int, modules: int, genes: Genes | None) -> DataFrame:
+    """sample_id, feature, value of one block."""
+    if block in LATENT:
+        return _latent_block(block, variants, components, modules).where("value <> 0").select("sample_id", "feature", F.round("value", 6).alias("value"))
+    return run_text(variants.sparkSession, block_text(block), variants, samples, genes)
+
+
+def long_matrix(name: Config, variants: DataFrame, samples: DataFrame, components: int = 64, modules: int = 24, genes: Genes | None = None, cache: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None) -> DataFrame:
+    """sample_id, feature, value of every block of the configuration; ``genes``
+    are the real driver panels by default.  ``cache`` keeps a block's table by a
+    key that names all it depends on, so that configurations share their blocks."""
+    if cache is None:
+        portable = [b for b in config_blocks(name) if b not in LATENT]
+        frames = [run_text(variants.sparkSession, config_text(name), variants, samples, genes)] if portable else []
+        frames += [block_frame(b, variants, samples, components, modules, genes) for b in config_blocks(name) if b in LATENT]
+    else:
+        frames = [cache(block_key(b, components, modules), lambda b=b: block_frame(b, variants, samples, components, modules, genes)) for b in config_blocks(name)]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def block_key(block: str, components: int, modules: int) -> str:
+    """What a block's values depend on beside the samples."""
+    return block + (f"-{components}" if block in LATENT else "") + (f"-{modules}" if block == "gmod" else "")
 
 
 #: Configurations that the catalogue runs as queries.

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from helixframe.functions.dims import CODON_SQL, penalty_rows
-from helixframe.plans.portable import MANUAL_PAIRS, PAIRS_A_GENE, STAR_PAIRS, TOP_PAIRS, comut_candidates
+from helixframe.functions.dims import CODON_SQL, STAR_PAIRS, STAR_PANEL, penalty_rows
+from helixframe.plans.portable import PAIRS_A_GENE, TOP_PAIRS, comut_candidates
 from helixframe.plans.reports import GENERALISED, PART_PLACE, SIGNATURE_BUCKETS
 
 RAW = r"""
@@ -60,6 +60,7 @@ samples AS (
 cellkeys AS (SELECT sample_id, gene, string_agg(token, '|' ORDER BY token) AS exact_key FROM variants GROUP BY sample_id, gene)"""
 
 PENALTIES = "penalties AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', CAST({p!r} AS DOUBLE))" for a, b, p in penalty_rows()) + ") AS t(ref, alt, penalty))"
+PANEL = "panel AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{role}')" for g, role in STAR_PANEL) + ") AS t(gene, role))"
 
 WORDS = (
     r"words AS (SELECT sample_id, gene, seq, place, unnest(range(len(m))) AS spot, unnest(m) AS word FROM (SELECT *, " + PART_PLACE + r" AS place, regexp_extract_all(piece, '\w\w+') AS m FROM ("
@@ -72,7 +73,7 @@ def comut_pairs(candidates: str) -> str:
     """The greedy choice as a recursion, one candidate a step; ``used`` lists the
     genes of the picks between bars."""
     often = lambda g: f"(length(used) - length(replace(used, '|' || {g} || '|', ''))) / length('|' || {g} || '|') >= {PAIRS_A_GENE}"
-    manual = ", ".join(f"('{a}', '{b}')" for a, b in MANUAL_PAIRS + STAR_PAIRS)
+    manual = ", ".join(f"('{a}', '{b}')" for a, b in STAR_PAIRS)
     return f"""manualpairs AS (SELECT * FROM (VALUES {manual}) AS t(gene_a, gene_b)),
 paircand AS MATERIALIZED (SELECT gene_a, gene_b, row_number() OVER (ORDER BY place) AS place FROM ({candidates.format(variants='variants', samples='samples')}) c ANTI JOIN manualpairs USING (gene_a, gene_b)),
 greedy AS (
@@ -88,9 +89,11 @@ def oracle(text: str, candidates: str | None = None) -> str:
     """Portable text with its base relations for the comparison engine."""
     bases = [VARIANTS]
     if "{comutpairs}" in text:
-        bases.append(comut_pairs(candidates or comut_candidates()))
+        bases.append(comut_pairs(candidates or comut_candidates(pool=False)))
     if "{penalties}" in text:
         bases.append(PENALTIES)
+    if "{panel}" in text:
+        bases.append(PANEL)
     if "{words}" in text:
         bases.append(WORDS)
     if "{sigbuckets}" in text:
@@ -98,7 +101,7 @@ def oracle(text: str, candidates: str | None = None) -> str:
     if "{codons}" in text:
         text = text.replace("{codons}", CODON_SQL.strip())
     text = text.strip()
-    for name in ("variants", "samples", "cellkeys", "penalties", "words", "sigbuckets", "comutpairs"):
+    for name in ("variants", "samples", "cellkeys", "penalties", "words", "sigbuckets", "comutpairs", "panel"):
         text = text.replace("{" + name + "}", name)
     body = text[4:].strip() if text[:4].upper() == "WITH" else None
     return ("WITH RECURSIVE " if "comutpairs" in text else "WITH ") + ",".join(bases) + ((",\n" + body) if body else "\n" + text)

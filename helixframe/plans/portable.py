@@ -1,7 +1,7 @@
 """Feature blocks and statistics as portable SQL over the variant relations.
 
-``{variants}``, ``{samples}``, ``{cellkeys}``, ``{penalties}`` and
-``{comutpairs}`` stand for DataFrames; Catalyst plans the rest.  Every aggregate is two-level, per (sample,
+``{variants}``, ``{samples}``, ``{cellkeys}``, ``{penalties}``, ``{panel}``
+(gene, role) and ``{comutpairs}`` stand for DataFrames; Catalyst plans the rest.  Every aggregate is two-level, per (sample,
 gene) and then per sample, so that partial sums are combined before a shuffle;
 fitted statistics are small grouped tables that are joined back by key.
 Integers are cast to bigint and doubles rounded to six places at the end.
@@ -9,6 +9,10 @@ Integers are cast to bigint and doubles rounded to six places at the end.
 
 from __future__ import annotations
 
+import re
+
+from helixframe.functions.dims import DRIVERS, STAR_DRIVERS
+
 KINDS = ("missense", "synonymous", "nonsense", "frameshift", "deletion", "insertion", "delins", "complex")
 FUNCTIONAL = "('missense', 'nonsense', 'frameshift', 'deletion', 'insertion', 'delins', 'complex')"
 INDEL = "('deletion', 'insertion', 'delins')"
@@ -32,13 +36,25 @@ def _count(test: str) -> str:
     return f"sum(CASE WHEN {test} THEN 1 ELSE 0 END)"
 
 
-_CELL_COUNTS = ", ".join([f"{_count(f'kind = {k!r}')} AS {k}_count, count(DISTINCT CASE WHEN kind = {k!r} THEN token END) AS unique_{k}_count" for k in KINDS])
-CELLS = f"""cells AS (
-  SELECT sample_id, gene, count(*) AS n, count(DISTINCT token) AS unique_tokens, count(DISTINCT signature) AS unique_signatures, {_CELL_COUNTS},
-         {_count(f"kind IN {INDEL}")} AS indel_count, count(DISTINCT CASE WHEN kind IN {INDEL} THEN token END) AS unique_indel_count,
-         {_count("kind = 'other'")} AS other_count, {_count(f"kind IN {FUNCTIONAL}")} AS functional, {_count("kind IN ('deletion', 'delins')")} AS explicit_del,
-         max(enc3) AS enc3, max(ends_del) AS ends_del, sum(ends_del) AS n_ends_del
-  FROM {{variants}} GROUP BY sample_id, gene
+def _sum(test: str, value: str = "n") -> str:
+    return f"sum(CASE WHEN {test} THEN {value} ELSE 0 END)"
+
+
+_CELL_COUNTS = ", ".join([f"{_sum(f'kind = {k!r}')} AS {k}_count, {_sum(f'kind = {k!r}', 'tokens')} AS unique_{k}_count" for k in KINDS])
+#: Cells by three steps of grouping, so that nothing is counted DISTINCT: equal
+#: tokens, then equal signatures (each of one kind), then the cell.  All three
+#: group within (sample, gene), by which the hint deals the rows out once.
+CELLS = f"""toks AS (
+  SELECT /*+ REPARTITION(sample_id, gene) */ sample_id, gene, token, signature, kind, enc3, ends_del FROM {{variants}}
+),
+once AS (SELECT sample_id, gene, token, signature, kind, count(*) AS n, max(enc3) AS enc3, max(ends_del) AS ends_del FROM toks GROUP BY sample_id, gene, token, signature, kind),
+sigs AS (SELECT sample_id, gene, signature, kind, sum(n) AS n, count(*) AS tokens, max(enc3) AS enc3, max(ends_del) AS ends_del, sum(n * ends_del) AS n_ends_del FROM once GROUP BY sample_id, gene, signature, kind),
+cells AS (
+  SELECT sample_id, gene, sum(n) AS n, sum(tokens) AS unique_tokens, count(*) AS unique_signatures, {_CELL_COUNTS},
+         {_sum(f"kind IN {INDEL}")} AS indel_count, {_sum(f"kind IN {INDEL}", "tokens")} AS unique_indel_count,
+         {_sum("kind = 'other'")} AS other_count, {_sum(f"kind IN {FUNCTIONAL}")} AS functional, {_sum("kind IN ('deletion', 'delins')")} AS explicit_del,
+         max(enc3) AS enc3, max(ends_del) AS ends_del, sum(n_ends_del) AS n_ends_del
+  FROM sigs GROUP BY sample_id, gene
 )"""
 
 _BURDEN = {
@@ -79,12 +95,14 @@ def per_sample(spec: dict[str, str]) -> str:
     return f"WITH {CELLS}, {SUMS} SELECT s.sample_id, {columns(spec)} FROM {{samples}} s LEFT JOIN sums ON s.sample_id = sums.sample_id"
 
 
-_FREQ_KEYS = f"""sk AS (
-  SELECT DISTINCT sample_id, 'gene' AS family, gene AS key FROM {{variants}}
-  UNION ALL SELECT DISTINCT sample_id, 'gene_aa_change', concat(gene, '|', token) FROM {{variants}}
-  UNION ALL SELECT DISTINCT sample_id, 'aa_change', token FROM {{variants}}
-  UNION ALL SELECT DISTINCT sample_id, 'position', pos_key FROM {{variants}} WHERE pos_key IS NOT NULL
-  UNION ALL SELECT DISTINCT sample_id, 'exact_mutation', concat(gene, '__', exact_key) FROM {{cellkeys}}
+_FREQ_FAMILIES = {"gene": "gene", "gene_aa_change": "concat(gene, '|', token)", "aa_change": "token", "position": "pos_key"}
+#: Keys of the families out of one scan of the tokens and one of the cells.
+_FREQ_KEYS = f"""families AS ({" UNION ALL ".join(f"SELECT '{k}' AS family" for k in _FREQ_FAMILIES)}),
+sk AS (
+  SELECT DISTINCT sample_id, family, key FROM (
+    SELECT sample_id, family, CASE family {" ".join(f"WHEN '{k}' THEN {e}" for k, e in _FREQ_FAMILIES.items())} END AS key FROM {{variants}} CROSS JOIN families
+    UNION ALL SELECT sample_id, 'exact_mutation', concat(gene, '__', exact_key) FROM {{cellkeys}}
+  ) k WHERE key IS NOT NULL
 ),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {{samples}} WHERE {TRAIN}),
 df AS (SELECT family, key, count(*) AS df FROM sk WHERE {TRAIN} GROUP BY family, key)"""
@@ -190,17 +208,15 @@ pairs AS (
        JOIN tot ta ON ta.gene = r.gene_a JOIN tot tb ON tb.gene = r.gene_b WHERE rk = 1
 )"""
 COMUT_PAIRS = f"WITH {_PAIRS} SELECT gene_a, gene_b, label, {i('n_ab')}, {i('n_best')}, {d('purity')}, {d('hyper_fraction')}, {d('lift')}, {d('score', 'lift * sqrt(n_ab)')} FROM pairs WHERE n_ab >= 20 AND n_best >= 8"
-#: Pairs that are always taken; then those that stand for them on
-#: the star schema, as its brands stand for the driver genes.
-MANUAL_PAIRS = (("ATRX", "IDH1"), ("IDH1", "TP53"), ("CTNNB1", "PTEN"), ("PIK3CA", "PTEN"), ("BRAF", "CDKN2A"))
-STAR_PAIRS = (("Brand#11", "Brand#12"), ("Brand#12", "Brand#13"), ("Brand#11", "Brand#14"), ("Brand#14", "Brand#15"), ("Brand#13", "Brand#15"))
 TOP_PAIRS, PAIRS_A_GENE = 20, 3
 
 
-def comut_candidates(support: int = 20, class_support: int = 8, purity: float = 0.25, lift: float = 0.15, hyper: float = 0.50) -> str:
+def comut_candidates(support: int = 20, class_support: int = 8, purity: float = 0.25, lift: float = 0.15, hyper: float = 0.50, pool: bool = True) -> str:
     """gene_a, gene_b, place: the pairs from which a greedy loop chooses
-    (``{comutpairs}``), best first."""
-    return f"""WITH {_PAIRS}
+    (``{comutpairs}``), best first.  With ``pool`` both genes are drivers of the
+    panel or of a manual pair, else any genes."""
+    pairs = _PAIRS.replace("WHERE g.sample_id", "WHERE g.gene IN (SELECT gene FROM {panel} WHERE role IN ('driver', 'manual')) AND g.sample_id", 1) if pool else _PAIRS
+    return f"""WITH {pairs}
 SELECT gene_a, gene_b, {i("place", "row_number() OVER (ORDER BY round(lift * sqrt(n_ab), 9) DESC, gene_a, gene_b)")} FROM pairs
 WHERE n_ab >= {support} AND n_best >= {class_support} AND purity >= {purity} AND lift >= {lift} AND hyper_fraction <= {hyper}"""
 
@@ -271,7 +287,8 @@ SELECT t.sample_id, b.label AS evidence_class, {d("evidence", f"coalesce(s, 0) +
 _DOMAIN = """dd AS (SELECT DISTINCT sample_id, gene, dkind, dref, dalt FROM {variants}),
 dc AS (SELECT sample_id, gene, count(*) AS t, max(CASE WHEN dkind IN ('nonsense', 'frameshift') THEN 1 ELSE 0 END) AS lof, max(CASE WHEN dkind = 'missense' THEN 1 ELSE 0 END) AS mis FROM dd GROUP BY sample_id, gene)"""
 _DKINDS = ("missense", "silent", "nonsense", "frameshift", "inframe_indel", "range_sub")
-_PANEL = "('Brand#11', 'Brand#12', 'Brand#13', 'Brand#14', 'Brand#15')"
+#: Genes of the panel with a role; none has two rows of one role.
+_DRIVER = "(SELECT gene AS panel_gene FROM {panel} WHERE role = 'driver') panel"
 _CHANNELS = {"CtoA": "c_a", "CtoG": "c_g", "CtoT": "c_t", "TtoA": "t_a", "TtoC": "t_c", "TtoG": "t_g", "cpg": "cpg", "ti": "ti"}
 
 _PREDS = """classes AS (SELECT label AS cls, row_number() OVER (ORDER BY label) AS ci FROM (SELECT DISTINCT label FROM {samples}) x),
@@ -314,6 +331,34 @@ _PIECE = "CASE part " + " ".join(f"WHEN '{k}' THEN {e}" for k, e in _GENERAL.ite
 _GENERALISED = f"SELECT sample_id, gene, seq, part, piece FROM (SELECT sample_id, gene, seq, part, {_PIECE} AS piece FROM {{variants}} CROSS JOIN ({_PARTS}) parts) y WHERE piece IS NOT NULL"
 
 
+#: What a sample's parsed tokens are counted by, out of one scan.
+_FACETS = {
+    "ref": "CASE WHEN ref_aa <> '' THEN ref_aa END", "alt": "CASE WHEN alt_aa <> '' THEN alt_aa END", "pair": "CASE WHEN ref_aa <> '' AND alt_aa <> '' THEN concat(ref_aa, alt_aa) END",
+    "bin": "CASE WHEN position >= 0 THEN CAST(CAST(floor(position / 50) AS BIGINT) AS VARCHAR(20)) END", "kind": "kind",
+}
+_PARSED_FACETS = f"""facet_names AS ({" UNION ALL ".join(f"SELECT '{k}' AS facet" for k in _FACETS)}),
+facets AS (
+  SELECT sample_id, facet, key, count(*) AS n FROM (
+    SELECT sample_id, facet, CASE facet {" ".join(f"WHEN '{k}' THEN {e}" for k, e in _FACETS.items())} END AS key FROM {{variants}} CROSS JOIN facet_names WHERE kind <> 'other'
+  ) f WHERE key IS NOT NULL GROUP BY sample_id, facet, key
+)"""
+
+
+def suffix(gene: str) -> str:
+    """A gene's part of a column name: letters, digits and underscores."""
+    return re.sub(r"\W", "_", gene.removeprefix("Brand#"))
+
+
+def quoted(gene: str) -> str:
+    return "'" + gene.replace("'", "''") + "'"
+
+
+def gene_panel_pivot(genes: tuple[str, ...] = DRIVERS) -> str:
+    """Events of each gene of a panel, a column each."""
+    columns = ", ".join(i(f"gene_event_count_{suffix(g)}", f"sum(CASE WHEN gene = {quoted(g)} THEN n ELSE 0 END)") for g in genes)
+    return f"WITH {CELLS} SELECT s.sample_id, {columns} FROM {{samples}} s LEFT JOIN cells c ON s.sample_id = c.sample_id GROUP BY s.sample_id"
+
+
 PLANS: dict[str, str] = {
     "token_classify": f"SELECT sample_id, gene, {i('seq')}, token, kind, coarse_kind FROM {{variants}}",
     "token_signature": f"SELECT sample_id, gene, {i('seq')}, token, signature FROM {{variants}}",
@@ -340,34 +385,38 @@ PLANS: dict[str, str] = {
              {i("explicit_deletion_event_count", "dels")}, {i("explicit_deletion_gene_count", "dg")}, {i("has_explicit_deletion", "CASE WHEN dels > 0 THEN 1 ELSE 0 END")}
       FROM {{samples}} s LEFT JOIN legacy l ON s.sample_id = l.sample_id LEFT JOIN g2 ON s.sample_id = g2.sample_id CROSS JOIN gcount""",
     "gene_event_count_long": f"WITH {CELLS} SELECT sample_id, gene, {i('gene_mutated', '1')}, {i('gene_event_count', 'n')} FROM cells",
-    "gene_panel_pivot": f"WITH {CELLS} SELECT s.sample_id, {', '.join(i(f'gene_event_count_{n}', f'sum(CASE WHEN gene = {chr(39)}Brand#{n}{chr(39)} THEN n ELSE 0 END)') for n in range(11, 16))} FROM {{samples}} s LEFT JOIN cells c ON s.sample_id = c.sample_id GROUP BY s.sample_id",
+    "gene_panel_pivot": gene_panel_pivot(STAR_DRIVERS),
     "gene_type_long": f"SELECT sample_id, gene, coarse_kind AS type, {i('flag', '1')} FROM (SELECT DISTINCT sample_id, gene, coarse_kind FROM {{variants}}) x",
-    "parsed19": f"""WITH ok AS (SELECT * FROM {{variants}} WHERE kind <> 'other' AND position >= 0),
-      st AS (SELECT sample_id, count(*) AS E, {_count("kind <> 'other'")} AS parsed, count(DISTINCT CASE WHEN kind <> 'other' THEN kind END) AS kinds FROM {{variants}} GROUP BY sample_id),
-      pos AS (SELECT sample_id, avg(position) AS pm, stddev_pop(position) AS ps, min(position) AS pmin, max(position) AS pmax, median(position) AS pmed, count(DISTINCT floor(position / 50)) AS nb FROM ok GROUP BY sample_id),
-      aa AS (SELECT sample_id, count(DISTINCT CASE WHEN ref_aa <> '' THEN ref_aa END) AS refs, count(DISTINCT CASE WHEN alt_aa <> '' THEN alt_aa END) AS alts, count(DISTINCT CASE WHEN ref_aa <> '' AND alt_aa <> '' THEN concat(ref_aa, alt_aa) END) AS both_aa FROM {{variants}} WHERE kind <> 'other' GROUP BY sample_id),
-      binc AS (SELECT sample_id, max(c) AS top_bin FROM (SELECT sample_id, floor(position / 50) AS b, count(*) AS c FROM ok GROUP BY sample_id, floor(position / 50)) x GROUP BY sample_id),
-      dom AS (SELECT sample_id, max(c) AS top_kind FROM (SELECT sample_id, kind, count(*) AS c FROM {{variants}} WHERE kind <> 'other' GROUP BY sample_id, kind) x GROUP BY sample_id),
-      gp AS (SELECT sample_id, gene, count(*) AS c, count(DISTINCT position) AS u FROM ok GROUP BY sample_id, gene),
+    "parsed19": f"""WITH {_PARSED_FACETS},
+      st AS (
+        SELECT sample_id, count(*) AS E, {_count("kind <> 'other'")} AS parsed, avg(p) AS pm, stddev_pop(p) AS ps, min(p) AS pmin, max(p) AS pmax, median(p) AS pmed
+        FROM (SELECT sample_id, kind, CASE WHEN kind <> 'other' AND position >= 0 THEN position END AS p FROM {{variants}}) x GROUP BY sample_id
+      ),
+      fc AS (
+        SELECT sample_id, {", ".join(f"{_count(f'facet = {k!r}')} AS {k}s, max(CASE WHEN facet = {k!r} THEN n END) AS top_{k}" for k in _FACETS)} FROM facets GROUP BY sample_id
+      ),
+      gp AS (SELECT sample_id, gene, sum(n) AS c, count(*) AS u FROM (SELECT sample_id, gene, position, count(*) AS n FROM {{variants}} WHERE kind <> 'other' AND position >= 0 GROUP BY sample_id, gene, position) x GROUP BY sample_id, gene),
       gs AS (SELECT sample_id, count(*) AS g, {_count("c > u")} AS hot, {_count("u > 1")} AS multi, avg(u) AS mu FROM gp GROUP BY sample_id)
       SELECT s.sample_id, {i("parsed_token_count", "parsed")}, {i("unparsed_token_count", "E - parsed")}, {d("parse_success_ratio", ratio("parsed", "E"))}, {d("position_mean", "pm")}, {d("position_std", "ps")}, {i("position_min", "pmin")}, {i("position_max", "pmax")},
-             {d("position_median", "pmed")}, {i("unique_ref_aa_count", "refs")}, {i("unique_alt_aa_count", "alts")}, {i("unique_aa_pair_count", "both_aa")}, {i("unique_position_bin_count", "nb")}, {i("top_position_bin_count", "top_bin")}, {i("kind_diversity", "kinds")},
+             {d("position_median", "pmed")}, {i("unique_ref_aa_count", "refs")}, {i("unique_alt_aa_count", "alts")}, {i("unique_aa_pair_count", "pairs")}, {i("unique_position_bin_count", "bins")}, {i("top_position_bin_count", "top_bin")}, {i("kind_diversity", "kinds")},
              {d("dominant_kind_ratio", ratio("top_kind", "parsed"))}, {i("genes_with_hotspot", "hot")}, {d("hotspot_ratio", ratio("hot", "g"))}, {i("genes_with_multiple_positions", "multi")}, {d("mean_positions_per_gene", "mu")}
-      FROM {{samples}} s LEFT JOIN st ON s.sample_id = st.sample_id LEFT JOIN pos ON s.sample_id = pos.sample_id LEFT JOIN aa ON s.sample_id = aa.sample_id LEFT JOIN binc ON s.sample_id = binc.sample_id LEFT JOIN dom ON s.sample_id = dom.sample_id LEFT JOIN gs ON s.sample_id = gs.sample_id""",
+      FROM {{samples}} s LEFT JOIN st ON s.sample_id = st.sample_id LEFT JOIN fc ON s.sample_id = fc.sample_id LEFT JOIN gs ON s.sample_id = gs.sample_id""",
     "amino9": f"""WITH t AS (SELECT DISTINCT sample_id, gene, token FROM {{variants}} WHERE kind = 'missense'),
       sc AS (SELECT t.sample_id, penalty FROM t LEFT JOIN {{penalties}} p ON p.ref = left(token, 1) AND p.alt = right(token, 1)),
       agg AS (SELECT sample_id, sum(penalty) AS ps, avg(penalty) AS pm, max(penalty) AS px, count(penalty) AS n, {_count("penalty >= 1.0")} AS rad, {_count("penalty <= 0.5")} AS cons, {_count("penalty IS NULL")} AS missing FROM sc GROUP BY sample_id)
       SELECT s.sample_id, {d("aa_penalty_sum", "ps")}, {d("aa_penalty_mean", "pm")}, {d("aa_penalty_max", "px")}, {i("aa_scored_count", "n")}, {i("aa_radical_count", "rad")}, {i("aa_conservative_count", "cons")}, {i("aa_has_radical", "CASE WHEN rad > 0 THEN 1 ELSE 0 END")},
              {i("aa_missing_count", "missing")}, {i("aa_has_missing", "CASE WHEN missing > 0 THEN 1 ELSE 0 END")} FROM {{samples}} s LEFT JOIN agg ON s.sample_id = agg.sample_id""",
-    "amino_gene_panel": f"SELECT sample_id, gene, {d('max_penalty', 'max(penalty)')} FROM {{variants}} v JOIN {{penalties}} p ON p.ref = left(token, 1) AND p.alt = right(token, 1) WHERE kind = 'missense' AND gene IN {_PANEL} GROUP BY sample_id, gene",
+    "amino_gene_panel": f"SELECT sample_id, gene, {d('max_penalty', 'max(penalty)')} FROM {{variants}} v JOIN {_DRIVER} ON v.gene = panel_gene JOIN {{penalties}} p ON p.ref = left(token, 1) AND p.alt = right(token, 1) WHERE kind = 'missense' GROUP BY sample_id, gene",
     "penalty_table": f"SELECT ref, alt, {d('penalty')} FROM {{penalties}}",
     "codon_pair_map": f"WITH {{codons}} SELECT ref, alt, {', '.join(d(f'n_{k}', c) for k, c in _CHANNELS.items())} FROM pair_map",
     "domain_burden": f"WITH {_DOMAIN}, a AS (SELECT sample_id, count(*) AS n, sum(t) AS t, {_count('t >= 2')} AS multi FROM dc GROUP BY sample_id) SELECT s.sample_id, {i('b_ngene', 'n')}, {d('b_log_ngene', 'ln(1 + n)')}, {i('b_ntok', 't')}, {d('b_log_ntok', 'ln(1 + t)')}, {d('b_tok_per_gene', ratio('t', 'n'))}, {i('b_multihit', 'multi')}, {d('b_multihit_frac', ratio('multi', 'n'))} FROM {{samples}} s LEFT JOIN a ON s.sample_id = a.sample_id",
     "domain_kinds": f"WITH {_DOMAIN}, a AS (SELECT sample_id, count(*) AS t, {', '.join(f'{_count(f'dkind = {k!r}')} AS k_{k}' for k in _DKINDS)} FROM dd GROUP BY sample_id) SELECT s.sample_id, {', '.join(d(f'c_{k}', ratio(f'k_{k}', 't')) for k in _DKINDS)} FROM {{samples}} s LEFT JOIN a ON s.sample_id = a.sample_id",
     "domain_pairs": f"WITH {_DOMAIN}, p AS (SELECT sample_id, concat(dref, '>', dalt) AS pair, count(*) AS c FROM dd WHERE dkind = 'missense' GROUP BY sample_id, dref, dalt) SELECT sample_id, pair, {d('share', 'c / CAST(sum(c) OVER (PARTITION BY sample_id) AS DOUBLE)')} FROM p",
     "domain_sbs": f"WITH {{codons}}, {_DOMAIN}, a AS (SELECT d.sample_id, count(*) AS n, {', '.join(f'sum({c}) AS {c}' for c in _CHANNELS.values())} FROM dd d JOIN pair_map p ON p.ref = d.dref AND p.alt = d.dalt WHERE dkind IN ('missense', 'nonsense') GROUP BY d.sample_id) SELECT s.sample_id, {', '.join(d(f'n_{k}', ratio(c, 'n')) for k, c in _CHANNELS.items())}, {i('n_has', 'CASE WHEN n > 0 THEN 1 ELSE 0 END')} FROM {{samples}} s LEFT JOIN a ON s.sample_id = a.sample_id",
-    "domain_driver": f"WITH {_DOMAIN} SELECT sample_id, gene, {i('a_mutated', '1')}, {i('a2_lof', 'lof')}, {i('a2_mis', 'mis')} FROM dc WHERE gene IN {_PANEL}",
-    "domain_msi": f"WITH {_DOMAIN}, a AS (SELECT sample_id, count(*) AS n, sum(CASE WHEN gene IN {_PANEL} THEN lof ELSE 0 END) AS msi, sum(CASE WHEN gene = 'Brand#21' THEN lof ELSE 0 END) AS imm FROM dc GROUP BY sample_id) SELECT s.sample_id, {i('m_msi_fs', 'msi')}, {d('m_msi_fs_frac', ratio('msi', 'n'))}, {i('m_imm_lof', 'imm')} FROM {{samples}} s LEFT JOIN a ON s.sample_id = a.sample_id",
+    "domain_driver": f"WITH {_DOMAIN} SELECT sample_id, gene, {i('a_mutated', '1')}, {i('a2_lof', 'lof')}, {i('a2_mis', 'mis')} FROM dc JOIN {_DRIVER} ON dc.gene = panel_gene",
+    "domain_msi": f"""WITH {_DOMAIN}, roles AS (SELECT gene AS panel_gene, max(CASE WHEN role = 'msi' THEN 1 ELSE 0 END) AS msi, max(CASE WHEN role = 'immune' THEN 1 ELSE 0 END) AS immune FROM {{panel}} GROUP BY gene),
+      a AS (SELECT sample_id, count(*) AS n, sum(lof * coalesce(msi, 0)) AS msi, sum(lof * coalesce(immune, 0)) AS imm FROM dc LEFT JOIN roles ON dc.gene = panel_gene GROUP BY sample_id)
+      SELECT s.sample_id, {i('m_msi_fs', 'msi')}, {d('m_msi_fs_frac', ratio('msi', 'n'))}, {i('m_imm_lof', 'imm')} FROM {{samples}} s LEFT JOIN a ON s.sample_id = a.sample_id""",
     "gene_rule_stats19": f"""WITH p AS (SELECT DISTINCT sample_id, gene, position FROM {{variants}} WHERE position > 0), gaps AS (SELECT sample_id, gene, min(gap) AS gap FROM (SELECT sample_id, gene, position - lag(position) OVER (PARTITION BY sample_id, gene ORDER BY position) AS gap FROM p) x GROUP BY sample_id, gene),
       a AS (SELECT sample_id, gene, count(*) AS n, count(DISTINCT upper(token)) AS u, count(DISTINCT CASE WHEN position > 0 THEN position END) AS up, count(CASE WHEN position > 0 THEN 1 END) AS np, min(CASE WHEN position > 0 THEN position END) AS pmin, max(CASE WHEN position > 0 THEN position END) AS pmax,
             {", ".join(f"{_count(f'kind = {k!r}')} AS k_{k}" for k in ("missense", "synonymous", "nonsense", "frameshift", "other"))}, {_count(f"kind IN {INDEL}")} AS k_indel, count(DISTINCT kind) AS kinds, max(CASE WHEN kind = 'other' OR ref_aa = '' THEN 1 ELSE 0 END) AS odd FROM {{variants}} GROUP BY sample_id, gene)

@@ -7,7 +7,8 @@ relations, the words of generalised tokens and the hash buckets of signatures.
 
 from __future__ import annotations
 
-from helixframe.plans.portable import _BURDEN, _BURDEN_TABLE, _FREQ_KEYS, _GENERAL, _GENERALISED, _MUT, _PREDS, BURDEN_BINS, CELLS, PLANS, TRAIN, d, i, per_sample
+from helixframe.functions.dims import DRIVERS, STAR_DRIVERS
+from helixframe.plans.portable import _BURDEN, _BURDEN_TABLE, _FREQ_KEYS, _GENERAL, _GENERALISED, _MUT, _PREDS, BURDEN_BINS, CELLS, PLANS, TRAIN, d, i, per_sample, quoted, suffix
 
 POSITION_BIN, POSITION_BINS, SIGNATURE_BUCKETS = 25, 512, 4096
 SMOOTHING, GAMMA = 0.05, 2
@@ -47,11 +48,16 @@ SELECT c.sample_id, c.word, {i("n")}, {d("l1", "n / CAST(sum(n) OVER (PARTITION
 
 _RATIOS = ("log1p_mutated_gene_count", "log1p_mutation_event_count", "functional_ratio", "synonymous_ratio", "missense_ratio", "nonsense_ratio", "frameshift_ratio", "multihit_gene_ratio")
 _TYPES = ("missense", "synonymous", "nonsense", "frameshift", "indel", "complex")
-_BRANDS = range(11, 16)
 
 
-def _brand(n: int) -> str:
-    return f"'Brand#{n}'"
+def gene_mutated_pivot(genes: tuple[str, ...] = DRIVERS) -> str:
+    columns = ", ".join(i(f"gene_mutated_{suffix(g)}", f"max(CASE WHEN gene = {quoted(g)} THEN 1 ELSE 0 END)") for g in genes)
+    return f"WITH {CELLS} SELECT s.sample_id, {columns} FROM {{samples}} s LEFT JOIN cells c ON s.sample_id = c.sample_id GROUP BY s.sample_id"
+
+
+def gene_type_pivot(genes: tuple[str, ...] = DRIVERS) -> str:
+    columns = ", ".join(i(f"gene_{t}_{suffix(g)}", f"max(CASE WHEN gene = {quoted(g)} AND coarse_kind = {t!r} THEN 1 ELSE 0 END)") for g in genes for t in _TYPES)
+    return f"SELECT s.sample_id, {columns} FROM {{samples}} s LEFT JOIN {{variants}} v ON s.sample_id = v.sample_id GROUP BY s.sample_id"
 
 
 _FREQ_N = f"WITH {_FREQ_KEYS} SELECT key AS"
@@ -75,6 +81,25 @@ _FOLD_F1 = f"""{_PREDS}, {_FOLDS}, hits AS (
   FROM best b JOIN (SELECT fold FROM folds UNION ALL SELECT -1) f ON f.fold = -1 OR b.sample_id % 5 = f.fold CROSS JOIN classes c GROUP BY b.member, f.fold, c.cls
 ), fold_f1 AS (SELECT member, fold, avg(CASE WHEN seen > 0 THEN 2e0 * tp / seen END) AS f1 FROM hits GROUP BY member, fold)"""
 
+#: Macro F1 of (1 - w) times the mean of members 1 and 2 plus w times member 3,
+#: the external one, for every weight of the scan.
+WEIGHT_SCAN = f"""WITH {_PREDS}, scan AS ({" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS step" for k in range(11))}),
+sides AS (SELECT sample_id, y_true, cls, ci, avg(CASE WHEN member < 3 THEN p END) AS ours, max(CASE WHEN member = 3 THEN p END) AS theirs FROM preds GROUP BY sample_id, y_true, cls, ci),
+mixed AS (SELECT sample_id, y_true, cls, step, row_number() OVER (PARTITION BY sample_id, step ORDER BY round((1 - step * 0.05) * ours + step * 0.05 * theirs, 12) DESC, ci) AS rk FROM sides CROSS JOIN scan),
+top AS (SELECT step, y_true, cls AS y_pred FROM mixed WHERE rk = 1),
+hits AS (SELECT t.step, c.cls, sum(CASE WHEN y_true = c.cls AND y_pred = c.cls THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y_true = c.cls THEN 1 ELSE 0 END) + sum(CASE WHEN y_pred = c.cls THEN 1 ELSE 0 END) AS seen FROM top t CROSS JOIN classes c GROUP BY t.step, c.cls)
+SELECT {d("weight", "step * 0.05")}, {d("macro_f1", "avg(CASE WHEN seen > 0 THEN 2e0 * tp / seen END)")} FROM hits GROUP BY step"""
+
+#: An external member against the scores it reports, by each way of dealing folds
+#: that it may have used: the way whose every fold agrees is the member's.
+EXTERNAL_CHECK = f"""WITH {_PREDS}, ways AS (SELECT sample_id, member, y_true, y_pred, 'modulo' AS way, sample_id % 5 AS fold FROM best UNION ALL SELECT sample_id, member, y_true, y_pred, 'blocks', CAST(floor(sample_id / 5) AS BIGINT) % 5 FROM best),
+hits AS (SELECT w.way, w.member, w.fold, c.cls, sum(CASE WHEN y_true = c.cls AND y_pred = c.cls THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y_true = c.cls THEN 1 ELSE 0 END) + sum(CASE WHEN y_pred = c.cls THEN 1 ELSE 0 END) AS seen FROM ways w CROSS JOIN classes c GROUP BY w.way, w.member, w.fold, c.cls),
+scores AS (SELECT way, member, fold, avg(CASE WHEN seen > 0 THEN 2e0 * tp / seen END) AS f1 FROM hits GROUP BY way, member, fold),
+reported AS (SELECT member, fold, f1 FROM scores WHERE way = 'modulo'),
+faults AS (SELECT member, sum(CASE WHEN p IS NULL OR p < 0 OR p > 1 THEN 1 ELSE 0 END) AS bad_values FROM preds GROUP BY member)
+SELECT s.member, s.way, {i("folds", "count(*)")}, {i("folds_that_agree", "sum(CASE WHEN abs(s.f1 - r.f1) <= 1e-6 THEN 1 ELSE 0 END)")}, {d("largest_difference", "max(abs(s.f1 - r.f1))")}, {i("bad_values", "max(f.bad_values)")}
+FROM scores s JOIN reported r ON s.member = r.member AND s.fold = r.fold JOIN faults f ON f.member = s.member GROUP BY s.member, s.way"""
+
 #: Place of a generalised part among those of its token.
 PART_PLACE = "CASE part " + " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(_GENERAL)) + " END"
 
@@ -86,14 +111,16 @@ df AS (SELECT word, follows FROM c WHERE {TRAIN} GROUP BY word, follows HAVING c
 SELECT concat(c.word, ' ', c.follows) AS term, {i("documents", "count(DISTINCT sample_id)")}, {i("tokens", "sum(n)")} FROM c JOIN df ON c.word = df.word AND c.follows = df.follows GROUP BY concat(c.word, ' ', c.follows)"""
 
 REPORTS: dict[str, str] = {
+    "external_weight_scan": WEIGHT_SCAN,
+    "external_check": EXTERNAL_CHECK,
     "word_pairs": WORD_PAIRS,
     "token_ids": TOKEN_IDS,
     "doc_parsed": PARSED_WORDS,
     "ratio10": f"SELECT a.*, b.hypermutated_flag, b.burden_quantile_bin FROM ({per_sample({k: _BURDEN[k] for k in _RATIOS})}) a JOIN ({BURDEN_BINS}) b ON a.sample_id = b.sample_id",
     "scaled_dense": f"WITH {_BURDEN_TABLE}, st AS (SELECT avg(burden) AS mb, stddev_pop(burden) AS sb, avg(events) AS me, stddev_pop(events) AS se FROM m WHERE {TRAIN}) SELECT sample_id, {d('burden_z', 'CASE WHEN sb > 0 THEN (burden - mb) / sb ELSE burden - mb END')}, {d('events_z', 'CASE WHEN se > 0 THEN (events - me) / se ELSE events - me END')} FROM m CROSS JOIN st",
     "gene_row_share": f"WITH {CELLS} SELECT sample_id, gene, {d('share', 'n / CAST(sum(n) OVER (PARTITION BY sample_id) AS DOUBLE)')} FROM cells",
-    "gene_mutated_pivot": f"WITH {CELLS} SELECT s.sample_id, {', '.join(i(f'gene_mutated_{n}', f'max(CASE WHEN gene = {_brand(n)} THEN 1 ELSE 0 END)') for n in _BRANDS)} FROM {{samples}} s LEFT JOIN cells c ON s.sample_id = c.sample_id GROUP BY s.sample_id",
-    "gene_type_pivot": f"SELECT s.sample_id, {', '.join(i(f'gene_{t}_{n}', f'max(CASE WHEN gene = {_brand(n)} AND coarse_kind = {t!r} THEN 1 ELSE 0 END)') for n in _BRANDS for t in _TYPES)} FROM {{samples}} s LEFT JOIN {{variants}} v ON s.sample_id = v.sample_id GROUP BY s.sample_id",
+    "gene_mutated_pivot": gene_mutated_pivot(STAR_DRIVERS),
+    "gene_type_pivot": gene_type_pivot(STAR_DRIVERS),
     "freq_gene_stats": f"{_FREQ_N} gene, {i('document_count', 'df')}, {d('frequency', 'df / n')}, {d('rarity', '-ln((df + 1) / (n + 1))')} FROM df CROSS JOIN n WHERE family = 'gene'",
     "freq_token_stats": f"{_FREQ_N} token_key, {i('document_count', 'df')}, {d('frequency', 'df / n')}, {d('idf', 'ln((n + 1) / (df + 1)) + 1')} FROM df CROSS JOIN n WHERE family = 'gene_aa_change'",
     "segment_pools": f"SELECT sample_id, {d('mean_pool', 'avg(x)')}, {d('max_pool', 'max(x)')}, {d('sum_sqrt_pool', 'sum(x) / sqrt(count(*))')} FROM (SELECT sample_id, gene, ln(1 + count(*)) AS x FROM {{variants}} GROUP BY sample_id, gene) y GROUP BY sample_id",

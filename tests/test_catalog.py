@@ -28,11 +28,11 @@ def relations(spark):
 @needs_data
 @pytest.mark.parametrize("name", ALL_PLANS | MATRIX_PLANS)
 def test_plan(relations, name):
-    from helixframe.operators.relations import run_text
+    from helixframe.operators.relations import STAR, run_text
 
     con, variants, samples = relations
     text = (ALL_PLANS | MATRIX_PLANS)[name]
-    one, two = run_text(variants.sparkSession, text, variants, samples).toPandas(), con.sql(oracle(text)).df()
+    one, two = run_text(variants.sparkSession, text, variants, samples, STAR).toPandas(), con.sql(oracle(text)).df()
     columns = sorted(one.columns)
     assert columns == sorted(two.columns)
     one, two = (x[columns].sort_values(columns).reset_index(drop=True) for x in (one, two))
@@ -60,15 +60,15 @@ def test_matrix_columns(relations):
 def test_selections_with_low_thresholds(relations):
     """The star schema's labels do not depend on genes, so few of its pairs and
     signatures pass the fixed thresholds; low ones fill the plans."""
-    from helixframe.operators.relations import comutation_pairs, run_text
+    from helixframe.operators.relations import STAR, comutation_pairs, run_text
     from helixframe.plans.portable import class_signatures, comut_candidates, membership
 
     con, variants, samples = relations
     spark = variants.sparkSession
-    low = comut_candidates(support=2, class_support=1, purity=0.0, lift=-1.0, hyper=1.0)
-    pairs = {tuple(r) for r in comutation_pairs(variants, samples, low).collect()}
-    assert pairs == set(con.sql(oracle("SELECT gene_a, gene_b FROM {comutpairs}", low)).fetchall()) and len(pairs) == 30
-    assert {tuple(r) for r in comutation_pairs(variants, samples).collect()} == set(con.sql(oracle("SELECT gene_a, gene_b FROM {comutpairs}")).fetchall())
+    low = comut_candidates(support=2, class_support=1, purity=0.0, lift=-1.0, hyper=1.0, pool=False)
+    pairs = {tuple(r) for r in comutation_pairs(variants, samples, low, STAR).collect()}
+    assert pairs == set(con.sql(oracle("SELECT gene_a, gene_b FROM {comutpairs}", low)).fetchall()) and len(pairs) == 25
+    assert {tuple(r) for r in comutation_pairs(variants, samples, genes=STAR).collect()} == set(con.sql(oracle("SELECT gene_a, gene_b FROM {comutpairs}")).fetchall())
     for text in (class_signatures(lift=0.01, hyper=1.0), membership(lift=0.01, hyper=1.0)):
         one = sorted(map(tuple, run_text(spark, text, variants, samples).collect()))
         assert one == sorted(con.sql(oracle(text)).fetchall()) and one

@@ -80,3 +80,26 @@ def test_ladder_and_search_go_on(spark, files, tmp_path, capsys):
     cli.main(["tune", "logistic", "--config", "f1", "--trials", "2", *common], spark)
     trials = [json.loads(x) for x in (tmp_path / "logistic_f1.jsonl").read_text().splitlines()]
     assert [t["number"] for t in trials] == [0, 1] and trials[0]["params"] == {"regParam": 0.01} and all(t["state"] == "complete" for t in trials)
+
+
+def test_settings_and_ablations(tmp_path):
+    """Options of a file, which the command line overrides; runs of an ablation."""
+    from helixframe.cli import ablations, arguments
+
+    file = tmp_path / "run.yaml"
+    file.write_text("config: f1\nfolds: 3\nparams: {numTrees: 2}\noverwrite: true\n")
+    got = arguments(["train", "rf", "--settings", str(file), "--folds", "4", "--input", "a", "--output", "b"])
+    assert (got.config, got.folds, got.params, got.overwrite) == ("f1", 4, '{"numTrees": 2}', True)
+    assert ablations(("a", "b", "c", "d"), ["b", "d"]) == {"full": ("a", "b", "c", "d"), "drop:b": ("a", "c", "d"), "drop:d": ("a", "b", "c"), "base": ("a", "c"), "add:b": ("a", "b", "c"), "add:d": ("a", "c", "d")}
+    with pytest.raises(ValueError):
+        ablations(("a",), ["z"])
+
+
+def test_line_profiles(spark, tmp_path):
+    from helixframe.operators.groups import line_profiles
+
+    path = tmp_path / "wide.csv"
+    path.write_text("ID,SUBCLASS,APC,MET\r\n1,X,C9*,WT\r\n\r\n2,Y,C9*,WT\r\n3,Y,C9*,D4fs\r\n4,X,,NA\r\n")
+    got = {r["sample_id"]: r for r in line_profiles(spark, str(path)).collect()}
+    assert {k: (r["label"], r["n_genes"]) for k, r in got.items()} == {"1": ("X", 1), "2": ("Y", 1), "3": ("Y", 2), "4": ("X", 0)}
+    assert got["1"]["profile_hash"] == got["2"]["profile_hash"] != got["3"]["profile_hash"]

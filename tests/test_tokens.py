@@ -6,22 +6,23 @@ from helixframe.functions import tokens as T
 
 #: token -> kind, signature, three-level code, domain (kind, ref, alt)
 CASES = {
-    "R132H": ("missense", "missense|R>H", 2, ("missense", "R", "H")),
-    "R132R": ("synonymous", "synonymous|R", 1, ("silent", "R", "R")),
-    "*261*": ("synonymous", "synonymous|*", 1, ("unparsed", "", "")),
-    "Q369*": ("nonsense", "nonsense|Q", 2, ("nonsense", "Q", "*")),
-    "Q369X": ("nonsense", "nonsense|Q", 2, ("nonsense", "Q", "*")),
-    "X5X": ("nonsense", "nonsense|X", 1, ("nonsense", "X", "*")),
-    "K16fs": ("frameshift", "frameshift|K", 2, ("frameshift", "K", "")),
-    "K437Rfs": ("frameshift", "frameshift|K", 2, ("frameshift", "K", "R")),
-    "-287fs": ("frameshift", "frameshift|-", 2, ("unparsed", "", "")),
-    "R649del": ("deletion", "deletion|Rdel", 2, ("inframe_indel", "R", "")),
-    "A630_P649del": ("deletion", "deletion|A_Pdel", 2, ("inframe_indel", "A", "")),
-    "P11_K12insP": ("insertion", "insertion|P_KinsP", 2, ("inframe_indel", "P", "P")),
-    "E7_A8delinsK": ("delins", "delins|E_AdelinsK", 2, ("inframe_indel", "E", "K")),
-    "312_313QY>HH": ("complex", "complex|QY>HH", 2, ("range_sub", "QY", "HH")),
-    "SPLICE": ("other", "other|SPLICE", 2, ("unparsed", "", "")),
-    "WT": ("other", "other|WT", 0, ("unparsed", "", "")),
+    "G12W": ("missense", "missense|G>W", 2, ("missense", "G", "W")),
+    "L85L": ("synonymous", "synonymous|L", 1, ("silent", "L", "L")),
+    "*40*": ("synonymous", "synonymous|*", 1, ("unparsed", "", "")),
+    "C9*": ("nonsense", "nonsense|C", 2, ("nonsense", "C", "*")),
+    "T31X": ("nonsense", "nonsense|T", 2, ("nonsense", "T", "*")),
+    "X8X": ("nonsense", "nonsense|X", 1, ("nonsense", "X", "*")),
+    "D4fs": ("frameshift", "frameshift|D", 2, ("frameshift", "D", "")),
+    "N52Wfs": ("frameshift", "frameshift|N", 2, ("frameshift", "N", "W")),
+    "-19fs": ("frameshift", "frameshift|-", 2, ("unparsed", "", "")),
+    "H7del": ("deletion", "deletion|Hdel", 2, ("inframe_indel", "H", "")),
+    "M3_V6del": ("deletion", "deletion|M_Vdel", 2, ("inframe_indel", "M", "")),
+    "S2_T3insQ": ("insertion", "insertion|S_TinsQ", 2, ("inframe_indel", "S", "Q")),
+    "Q6dup": ("insertion", "insertion|Qdup", 2, ("inframe_indel", "Q", "")),
+    "Y5_D8delinsG": ("delins", "delins|Y_DdelinsG", 2, ("inframe_indel", "Y", "G")),
+    "20_21AC>W*": ("complex", "complex|AC>W*", 2, ("range_sub", "AC", "W*")),
+    "EXON9": ("other", "other|EXON", 2, ("unparsed", "", "")),
+    "NA": ("other", "other|NA", 0, ("unparsed", "", "")),
 }
 
 
@@ -38,11 +39,11 @@ def test_token(rows, token):
 
 
 def test_string_features(rows):
-    r = rows["E7_A8delinsK"]
-    assert (r["ref_aa"], r["alt_aa"], r["position"], r["n_runs"], r["pos_key"], r["has_del_ins"]) == ("E", "K", 7, 2, "POS__7_8", 1)
-    assert (rows["SPLICE"]["position"], rows["SPLICE"]["pos_key"]) == (-1, None)
+    r = rows["Y5_D8delinsG"]
+    assert (r["ref_aa"], r["alt_aa"], r["position"], r["n_runs"], r["pos_key"], r["has_del_ins"]) == ("Y", "G", 5, 2, "POS__5_8", 1)
+    assert (rows["NA"]["position"], rows["NA"]["pos_key"], rows["EXON9"]["pos_key"]) == (-1, None, "POS__9")
 
 
 def test_split(spark):
-    cells = spark.createDataFrame([(None,), ("",), (" wt ",), ("NA",), ("  R1H   Q2*",), ("WT R1H",)], "cell string")
-    assert [r[0] for r in cells.select(T.split_tokens(cells["cell"])).collect()] == [[], [], [], [], ["R1H", "Q2*"], ["WT", "R1H"]]
+    cells = spark.createDataFrame([(None,), ("",), (" none ",), (".",), ("\tG12W   C9*  ",), ("WT D4fs",)], "cell string")
+    assert [r[0] for r in cells.select(T.split_tokens(cells["cell"])).collect()] == [[], [], [], [], ["G12W", "C9*"], ["WT", "D4fs"]]
