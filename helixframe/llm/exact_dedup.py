@@ -139,7 +139,7 @@ def merge_tree(rows: DataFrame, total: int, lanes: int = LANES, fan_in: int = FA
     void = F.col("doc_id").isNull()
     entry = (F.col("plain_len").cast("long"), -F.col("chars").cast("long"), void.cast("long"), F.coalesce("doc_id", F.lit(0)), F.col("row_key"), F.lit(1).cast("long"))
     runs = rows.select("digest", *[c.alias(name) for c, name in zip(entry, ENTRY)]).mapInPandas(_runs(max(1, -(-total // per_range))), _RUN)
-    runs = runs.withColumn("lane", F.col("lane") % lanes)
+    runs = write_table(runs, "digest-runs").withColumn("lane", F.col("lane") % lanes)
     while True:
         runs = runs.groupBy("part", "lane").applyInPandas(_merge, _RUN)
         if lanes == 1:
