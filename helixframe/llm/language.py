@@ -9,9 +9,13 @@ lowest cross-entropy per character; temperature and rejection threshold are
 calibrated on labelled rows that the counts did not see.
 
 The classifier is fitted on a bounded sample of labelled rows: about
-``DOCS_PER_LANGUAGE`` of each language by the hash of the identifier, a fifth
-of them for calibration.  Every text is scored whole; as n-grams stay inside a
-word, a word's scores are computed once and looked up.
+``DOCS_PER_LANGUAGE`` of each language by the hash of the identifier, less where
+there are so many languages that it would be over ``MOST_DOCS`` in all; a fifth
+of them is for calibration.  The model is dense over n-grams and languages and
+is sent to every task; beyond ``MOST_CELLS`` numbers it is an error that asks for
+a smaller sample.  Every text is scored whole; as n-grams stay inside a word, a
+word's scores are computed once and looked up.  The score is the posterior of
+the language over all letters of the text.
 
 Defined results: null text and text without letters give ``und`` with score 0;
 with nothing learned every text does; rows that repeat a doc_id are predicted
@@ -33,9 +37,11 @@ from helixframe.llm.store import read
 from helixframe.llm.text import crc_of_id, mix64
 
 ORDER = 4
-DOCS_PER_LANGUAGE = 3000
+DOCS_PER_LANGUAGE, MOST_DOCS = 3000, 120_000
+MOST_CELLS = 100_000_000
 #: Up to so many languages, their counts are sent to every task.
 MOST_BROADCAST = 10_000
+TEMPERATURES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 EDGE = "\x02"
 UNDETERMINED = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -99,6 +105,8 @@ class Identifier:
     def __init__(self, models: dict[str, Counter]):
         self.languages = sorted(models)
         fitted = [kneser_ney(models[x]) for x in self.languages]
+        if len(fitted) * sum(len(p) + len(b) for p, b in fitted) > MOST_CELLS:
+            raise ValueError("too many n-grams for a model in memory: give a smaller sample per language")
         self.unknown = np.array([p[""] for p, _ in fitted], np.float32)
         self.keys, self.prob, self.back = [], [], []
         for k in range(1, ORDER + 1):
@@ -189,6 +197,7 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Identifier
     labelled = docs.where("lang is not null and text is not null").where(crc_of_id(F.col("doc_id")) % 4 != 2).select("doc_id", "lang", "text")
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("lang", "c_lang")
     known = counts.limit(MOST_BROADCAST + 1).collect()
+    per_language = min(per_language, max(1, MOST_DOCS // max(1, len(known))))
     if len(known) <= MOST_BROADCAST:
         # so that no text is shuffled by its language to be sampled
         counts = F.broadcast(docs.sparkSession.createDataFrame(known, counts.schema))
@@ -211,7 +220,7 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Identifier
     if len(seen):
         e = np.stack(seen["entropy"].to_list())
         truth = seen["lang"].map({x: i for i, x in enumerate(model.languages)}).to_numpy()
-        loss = {t: -np.log(np.maximum(posterior(e, seen["size"].to_numpy(), t)[np.arange(len(e)), truth], 1e-12)).mean() for t in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)}
+        loss = {t: -np.log(np.maximum(posterior(e, seen["size"].to_numpy(), t)[np.arange(len(e)), truth], 1e-12)).mean() for t in TEMPERATURES}
         model.temperature = min(loss, key=loss.get)
         own = e[np.arange(len(e)), truth]
         model.reject = np.array([np.quantile(own[truth == i], 0.999) * 1.25 if (truth == i).any() else np.inf for i in range(len(model.languages))])
@@ -219,7 +228,7 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Identifier
 
 
 def posterior(entropy: np.ndarray, size: np.ndarray, temperature: float) -> np.ndarray:
-    z = -entropy * np.minimum(size, 400)[:, None] * temperature
+    z = -entropy * size[:, None] * temperature
     z -= z.max(axis=1, keepdims=True)
     p = np.exp(z)
     return p / p.sum(axis=1, keepdims=True)

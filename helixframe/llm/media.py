@@ -14,9 +14,11 @@ bytes give equal rows; extra columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ MAGIC = (
     (b"RIFF", "audio/wav", 0),
     (b"BM", "image/bmp", 0),
     (b"\x89PNG\r\n\x1a\n", "image/png", 0),
-    (b"P5\n", "image/x-portable-graymap", 0),
+    (b"P5", "image/x-portable-graymap", 0),
     (b"GIF89a", "image/gif", 0),
     (b"GIF87a", "image/gif", 0),
     (b"\xff\xd8\xff", "image/jpeg", 0),
@@ -61,12 +63,20 @@ def wav_length(data: bytes, at: int) -> int:
 
 
 def bmp_length(data: bytes, at: int) -> int:
-    if len(data) < at + 54:
+    """Uncompressed bitmaps of all header versions and depths."""
+    if len(data) < at + 26:
+        return 0
+    size, reserved, start, header = struct.unpack_from("<IIII", data, at + 2)
+    if header == 12:
+        width, height, planes, bits = struct.unpack_from("<HHHH", data, at + 18)
+        packing = 0
+    elif header in (40, 52, 56, 64, 108, 124) and len(data) >= at + 54:
+        width, height, planes, bits, packing = struct.unpack_from("<iiHHI", data, at + 18)
+    else:
         return 0
-    size, reserved, start, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", data, at + 2)
     row = (width * bits + 31) // 32 * 4
-    sound = not reserved and header == 40 and planes == 1 and bits == 8 and width > 0 and start + row * abs(height) == size
-    return size if sound and at + size <= len(data) else 0
+    sound = not reserved and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and packing in (0, 3) and width > 0 and start >= 14 + header
+    return size if sound and start + row * abs(height) <= size and at + size <= len(data) else 0
 
 
 def png_length(data: bytes, at: int) -> int:
@@ -83,15 +93,18 @@ def png_length(data: bytes, at: int) -> int:
     return 0
 
 
+_GAP = rb"(?:[ \t\r\n\v\f]|#[^\n]*\n)+"
+_PGM = re.compile(rb"P5" + _GAP + rb"(\d{1,9})" + _GAP + rb"(\d{1,9})" + _GAP + rb"(\d{1,5})[ \t\r\n\v\f]")
+
+
 def pgm_length(data: bytes, at: int) -> int:
-    parts = data[at + 3 : at + 40].split(b"\n", 2)
-    if len(parts) < 3 or parts[1] != b"255":
+    """Grey maps of one or two bytes a sample, comments in the header allowed."""
+    head = _PGM.match(data, at)
+    if not head:
         return 0
-    size = parts[0].split(b" ")
-    if len(size) != 2 or not all(x.isdigit() for x in size):
-        return 0
-    n = 3 + len(parts[0]) + len(parts[1]) + 2 + int(size[0]) * int(size[1])
-    return n if at + n <= len(data) else 0
+    width, height, most = (int(x) for x in head.groups())
+    n = head.end() - at + width * height * (2 if most > 255 else 1)
+    return n if 0 < most < 65536 and width and height and at + n <= len(data) else 0
 
 
 def gif_length(data: bytes, at: int) -> int:
@@ -205,12 +218,14 @@ def from_png(data: bytes) -> bytes:
 
 
 def from_pgm(data: bytes) -> bytes:
-    return data.split(b"\n", 3)[3]
+    return data[_PGM.match(data).end() :]
 
 
 #: Container by the number of blocks, so that equal texts are stored alike.
 CONTAINERS = (("image/png", to_png, from_png), ("audio/wav", to_wav, from_wav), ("image/bmp", to_bmp, from_bmp), ("image/x-portable-graymap", to_pgm, from_pgm))
 
+DECODERS = {name: decode for name, _, decode in CONTAINERS}
+
 
 def payload(text: str | None) -> tuple[int, bytes]:
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -218,6 +233,20 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + PAD * (total - len(raw))
 
 
+class Sniffed(NamedTuple):
+    kind: str  # confirmed type, or unknown
+    size: int
+    corrected: bool  # the declared type was wrong
+    carved: list[tuple[int, int, str]]  # (start, length, type) of all media
+
+
+def identify(sniffer: Sniffer, data: bytes, declared: str | None) -> Sniffed:
+    """What bytes are, whatever they are declared to be."""
+    found = sniffer.find(data)
+    kind, size = (found[0][2], found[0][1]) if found and found[0][0] == 0 else (UNKNOWN, len(data))
+    return Sniffed(kind, size, declared is not None and declared != kind, found)
+
+
 def sniff(table: DataFrame, key: str, content: str, declared: str | None = None) -> DataFrame:
     """One row per row of ``table``: key, media_type (confirmed, or unknown),
     media_bytes, corrected (the declared type was wrong), and ``carved``, an
@@ -228,11 +257,8 @@ def sniff(table: DataFrame, key: str, content: str, declared: str | None = None)
         for batch in batches:
             out = []
             for k, data, said in zip(batch["key"], batch["content"], batch["declared"]):
-                data = data or b""
-                found = sniffer.find(data)
-                own = found and found[0][0] == 0
-                kind, size = (found[0][2], found[0][1]) if own else (UNKNOWN, len(data))
-                out.append((k, kind, size, said is not None and said != kind, [{"start": a, "length": n, "media_type": t} for a, n, t in found]))
+                own = identify(sniffer, data or b"", said)
+                out.append((k, own.kind, own.size, own.corrected, [{"start": a, "length": n, "media_type": t} for a, n, t in own.carved]))
             yield pd.DataFrame(out, columns=["key", "media_type", "media_bytes", "corrected", "carved"])
 
     kind = table.schema[key].dataType.simpleString()
@@ -249,14 +275,13 @@ def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n, raw = payload(text)
             declared, encode, _ = CONTAINERS[len(raw) // BLOCK % len(CONTAINERS)]
             stored = encode(raw)
-            found = sniffer.find(stored)
-            start, size, kind = found[0]
-            back = next(decode for name, _, decode in CONTAINERS if name == kind)(stored[start : start + size])
+            own = identify(sniffer, stored, declared)
+            back = DECODERS[own.kind](stored[: own.size])
             levels = np.bincount(np.frombuffer(back, np.uint8), minlength=256)
             share = levels[levels > 0] / len(back)
             entropy = -(share * np.log2(share)).sum()
-            feature = f"type={kind};declared={'ok' if kind == declared else declared};media={len(found)};rows={len(back) // BLOCK};mean={(levels * np.arange(256)).sum() / len(back):.3f};entropy={entropy:.4f};levels={len(share)}"
-            out.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), size, hashlib.sha256(stored).hexdigest(), feature))
+            feature = f"type={own.kind};declared={declared if own.corrected else 'ok'};media={len(own.carved)};rows={len(back) // BLOCK};mean={(levels * np.arange(256)).sum() / len(back):.3f};entropy={entropy:.4f};levels={len(share)}"
+            out.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), own.size, hashlib.sha256(stored).hexdigest(), feature))
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 

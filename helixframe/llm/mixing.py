@@ -122,10 +122,10 @@ def schedule(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_passes: int
         taken = F.when(before, F.col("size")).when((end == last) & (F.col("rank") == rank), F.least("size", F.lit(words))).otherwise(0)
         return F.struct(F.lit(number).alias("pass_no"), end.alias("finish"), F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"))
 
-    return queue.select("doc_id", "source", "size", "source_size", "target", F.array(*[one_pass(k) for k in range(max_passes)]).alias("passes"))
+    return queue.select("doc_id", "source", "rank", "size", "source_size", "target", F.array(*[one_pass(k) for k in range(max_passes)]).alias("passes"))
 
 
-MIX_COLUMNS = ("mix_row", "mix_size", "mix_pass", "mix_finish", "mix_taken")
+MIX_COLUMNS = ("mix_row", "mix_rank", "mix_size", "mix_pass", "mix_finish", "mix_taken")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -141,11 +141,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_passes: int = MAX
     else:
         own = own.withColumn("mix_row", F.col("doc_id"))
     plan = schedule(own.select(F.col("mix_row").alias("doc_id"), "source", "text"), weights, max_passes)
-    taken = plan.select("doc_id", "size", F.explode("passes").alias("p")).where("p.taken > 0")
-    taken = taken.select(F.col("doc_id").alias("mix_row"), F.col("size").alias("mix_size"), F.col("p.pass_no").alias("mix_pass"), F.col("p.finish").alias("mix_finish"), F.col("p.taken").alias("mix_taken"))
+    taken = plan.select("doc_id", "rank", "size", F.explode("passes").alias("p")).where("p.taken > 0")
+    taken = taken.select(F.col("doc_id").alias("mix_row"), F.col("rank").alias("mix_rank"), F.col("size").alias("mix_size"), F.col("p.pass_no").alias("mix_pass"), F.col("p.finish").alias("mix_finish"), F.col("p.taken").alias("mix_taken"))
     head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("mix_taken").cast("int")), " ")
     mixed = own.join(taken, "mix_row").withColumn("text", F.when(F.col("mix_taken") < F.col("mix_size"), head).otherwise(F.col("text")))
-    return mixed.drop("mix_row", "mix_size").repartitionByRange(F.col("mix_finish"), F.col("doc_id")).sortWithinPartitions("mix_finish", "doc_id")
+    return mixed.repartitionByRange("mix_finish", "mix_rank").sortWithinPartitions("mix_finish", "mix_rank").drop("mix_row", "mix_rank", "mix_size")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,7 +325,7 @@ def _prefixes(counts: np.ndarray, threshold: int):
 
 def prefix_buckets(sets: DataFrame, threshold: int) -> DataFrame:
     """(node, key) of the prefixes of all ``sets(node, items)``."""
-    seen = sets.mapInPandas(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    seen = write_table(sets.mapInPandas(_slots, "slot long, n long"), "slots", 500).groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SLOTS, np.int64)
     counts[seen["slot"]] = seen["n"]
     return sets.mapInPandas(_prefixes(counts, threshold), "node long, key long")
@@ -392,7 +392,7 @@ def open_links(bands: DataFrame, labels: DataFrame, sketches: DataFrame, docs: D
     links = tile_pairs(narrow.join(sets, "node"), tiled, fields).mapInPandas(_tile_links(threshold), "a long, b long")
     if in_wide.limit(1).count():
         dealt = prefix_buckets(sets.join(in_wide.select("node"), "node", "left_semi"), threshold).join(in_wide.drop("known"), "node")
-        dealt = write_table(dealt.drop("bytes"), "prefixes")
+        dealt = write_table(dealt.drop("bytes"), "prefixes", 500)
         shared = dealt.join(several(dealt, 2), "key", "left_semi")
         shared = write_table(shared.join(in_wide.select("node", "bytes"), "node"), "prefix-members")
         links = links.union(tile_pairs(shared.join(sets, "node"), write_table(cells(shared), "prefix-cells"), fields).mapInPandas(_tile_links(threshold), "a long, b long"))

@@ -1,20 +1,24 @@
 """Packing by concatenating and cutting.
 
 Pass one tokenises the documents where they lie: every task writes its
-documents' ids together with the task's number and the running token total
-inside the task.  The totals of the tasks, summed in task order, give each task
-its global offset.  Pass two adds the offset and cuts the stream at multiples
-of ``length``; a document that crosses a boundary leaves one boundary record
-per window.  Only the last sequence can be short, so padding is below one
-sequence for the whole corpus.  No text is shuffled and no global sort is made;
-written tables make the order stable when an executor is lost.
+documents' ids together with the stretch they belong to (a file and the first
+row read from it, so that a stretch lies in one task) and the running token
+total inside the stretch.  The totals of the stretches, summed in the order of
+files and rows, give each its global offset; the stream therefore has the order
+in which the documents were written, such as a mix, however the files are dealt
+to tasks.  Pass two adds the offset and cuts the stream at multiples of
+``length``; a document that crosses a boundary leaves one boundary record per
+window.  Only the last sequence can be short, so padding is below one sequence
+for the whole corpus.  No text is shuffled and no global sort is made; written
+tables make the order stable when an executor is lost.
 
 The cutting, the digests and the prefix sums are DataFrame expressions; only
 the tokenizer runs in Python, with a word cache in front of it.
 
 Defined results: null and empty texts are their end id alone; rows that repeat
-a doc_id are packed each; an empty table gives no sequence; extra columns are
-not read.  A last sequence whose token count is a power of two is not padded.
+a doc_id are packed each; documents that were not read from Parquet files have
+the order of their partitions; an empty table gives no sequence; extra columns
+are not read.  A last sequence whose token count is a power of two is not padded.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,9 +38,9 @@ from pyspark.sql import functions as F
 from helixframe.llm.store import read, write_table
 
 LENGTH = 4096
-#: The offsets of so many tasks, 24 bytes each, are sent to all executors; those
-#: of more tasks are joined by shuffle.
-MOST_BROADCAST = 500_000
+#: The offsets of so many stretches, about 100 bytes each, are sent to all
+#: executors; those of more are joined by shuffle.
+MOST_BROADCAST = 100_000
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 
@@ -112,35 +117,55 @@ def vocabulary_path(package: str = "public_tokenizers", name: str = VOCABULARY)
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = tokenizer_of(path)
-        task, start = TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
+        file, stretch, start, read = None, 0, 0, 0
         for batch in batches:
             for k in range(0, len(batch), 500):
                 part = batch.iloc[k : k + 500]
                 ids = [tokenizer.ids(t).tobytes() + end if t else end for t in part["text"]]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                begin = start + np.cumsum(n) - n
-                start += int(n.sum())
-                yield pd.DataFrame({"doc_id": part["doc_id"], "task": task, "begin": begin, "n": n, "ids": ids})
+                rows = np.arange(read, read + len(part)) if part["row"].iloc[0] < 0 else part["row"].to_numpy()
+                # a stretch ends where the file changes or rows do not follow on
+                names = part["file"].to_numpy()
+                fresh = np.r_[file is None or names[0] != file or rows[0] != read, (names[1:] != names[:-1]) | (np.diff(rows) != 1)]
+                for at in np.split(np.arange(len(part)), np.flatnonzero(fresh)):
+                    if not len(at):
+                        continue
+                    if fresh[at[0]]:
+                        stretch, start = int(rows[at[0]]), 0
+                    own = n[at]
+                    yield pd.DataFrame({"doc_id": part["doc_id"].iloc[at], "file": names[at], "stretch": stretch, "begin": start + np.cumsum(own) - own, "n": own, "ids": [ids[i] for i in at]})
+                    start += int(own.sum())
+                file, read = names[-1], int(rows[-1]) + 1
 
     return run
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with the file and row each was read from, or else the partition
+    and row -1."""
+    try:
+        return docs.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return docs.withColumn("file", F.format_string("%010d", F.spark_partition_id())).withColumn("row", F.lit(-1).cast("long"))
+
+
 def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Written table doc_id, task, begin, n, ids (little-endian 32-bit)."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return write_table(plain.mapInPandas(_tokenise(path or vocabulary_path(), end_id), "doc_id long, task int, begin long, n long, ids binary"), "tokens", 1000)
+    """Written table doc_id, file, stretch, begin, n, ids (little-endian 32-bit)."""
+    plain = in_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return write_table(plain.mapInPandas(_tokenise(path or vocabulary_path(), end_id), "doc_id long, file string, stretch long, begin long, n long, ids binary"), "tokens", 1000)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary), doc_tokens,
     sequence_id, offset, padded_length (of its sequence)."""
     rows = tokenised(docs, path, end_id)
-    totals = write_table(rows.groupBy("task").agg(F.sum("n").alias("total")), "task-totals")  # one row per task
-    bases = totals.select("task", (F.sum("total").over(W.orderBy("task")) - F.col("total")).alias("base"), F.sum("total").over(W.partitionBy()).alias("all_tokens"))
+    place = ["file", "stretch"]
+    totals = write_table(rows.groupBy(*place).agg(F.sum("n").alias("total")), "stretches")  # one row per file and task
+    bases = totals.select(*place, (F.sum("total").over(W.orderBy(*place)) - F.col("total")).alias("base"), F.sum("total").over(W.partitionBy()).alias("all_tokens"))
     if totals.count() <= MOST_BROADCAST:
         bases = F.broadcast(bases)
-    placed = rows.join(bases, "task").withColumn("first", F.col("base") + F.col("begin"))
+    placed = rows.join(bases, place).withColumn("first", F.col("base") + F.col("begin"))
     windows = F.sequence(F.floor(F.col("first") / length), F.floor((F.col("first") + F.col("n") - 1) / length))
     cut = placed.withColumn("sequence_id", F.explode(windows))
     left = F.greatest(F.col("first"), F.col("sequence_id") * length)

@@ -5,8 +5,10 @@ that it is preferred to another is the logistic function of the difference of
 their strengths.  The weights minimise the logistic loss on the feature
 differences of preference pairs (a document marked 1 against one marked 0) by
 Newton's method with a ridge penalty.  The threshold is the quantile of the
-training strengths at the share of documents marked 0; strengths are mapped to
-(0, 1) by a logistic curve that passes ``THRESHOLD`` at that quantile.
+training strengths at the share of documents marked 0, halfway between the two
+documents it parts; strengths are mapped to (0, 1) by a logistic curve that
+passes ``THRESHOLD`` at that quantile.  The features are general counts of a
+text's characters, words and lines; none of them has a ceiling.
 
 The pairs come from a bounded sample of labelled rows (``MAX_LABELLED``), chosen
 by the hash of the identifier; features of every document are computed from its
@@ -34,51 +36,63 @@ MOST_BROADCAST = 100_000
 PAIRS = 60_000
 RIDGE = 1e-3
 THRESHOLD = 0.3
-FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "stops", "bars", "shouts", "distinct", "runs", "repeated_lines", "one_case", "symbol_words", "long_words", "line_words", "top_word")
-
-_CLASS = np.zeros(256, dtype=np.int64)
-_CLASS[ord("A") : ord("Z") + 1] = 1
-_CLASS[ord("a") : ord("z") + 1] = 2
-_CLASS[ord("0") : ord("9") + 1] = 3
-_CLASS[list(b" \t\n\r\x0b\x0c")] = 4
-_CLASS[list(b".,;:?'\"()-")] = 5
-_CLASS[list(b"!")] = 6
-_CLASS[list(b"|")] = 7
-_CLASS[128:] = 8
-_SYMBOLS = b"#$%&*@^~<>{}[]\\=_+"
+FEATURES = (
+    "log_words", "log_word_length", "upper", "digits", "spaces", "stops", "marks", "symbols", "beyond_ascii", "distinct_words", "doubled_words", "top_word",
+    "distinct_lines", "log_line_words", "short_lines", "one_case", "long_words", "marked_words", "character_entropy", "byte_pairs",
+)
+
+#: Kinds of bytes: upper, lower, digit, space, stops, marks inside text, symbols,
+#: beyond ASCII.
+_CLASS = np.full(256, 6, dtype=np.int64)
+_CLASS[ord("A") : ord("Z") + 1] = 0
+_CLASS[ord("a") : ord("z") + 1] = 1
+_CLASS[ord("0") : ord("9") + 1] = 2
+_CLASS[list(b" \t\n\r\x0b\x0c")] = 3
+_CLASS[list(b".!?:;")] = 4
+_CLASS[list(b",'\"()-")] = 5
+_CLASS[128:] = 7
 
 
 def features(text: str | None) -> list[float]:
-    """The features of one whole text, all of them bounded."""
+    """The features of one whole text."""
     if not text:
         return [0.0] * len(FEATURES)
     raw = text.encode("utf-8", "surrogatepass")
-    n = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=9)
-    visible = max(1, len(raw) - n[4])
+    codes = np.frombuffer(raw, np.uint8)
+    kind = _CLASS[codes]
+    n = np.bincount(kind, minlength=8)
+    visible = max(1, len(raw) - int(n[3]))
     tokens = raw.split()
     count = max(1, len(tokens))
-    kinds: dict[bytes, int] = {}
+    seen: dict[bytes, int] = {}
     for w in tokens:
-        kinds[w] = kinds.get(w, 0) + 1
+        seen[w] = seen.get(w, 0) + 1
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    symbol = sum(w[-1] in _SYMBOLS for w in tokens)
+    rows = max(1, len(lines))
+    share = np.bincount(codes, minlength=256) / len(raw)
+    share = share[share > 0]
+    pairs = np.unique(codes[:-1].astype(np.uint16) << 8 | codes[1:]) if len(raw) > 1 else codes
     return [
-        min(np.log1p(count), 10) / 10,
-        min(visible / count, 30) / 30,
-        n[1] / visible,
-        n[3] / visible,
+        np.log1p(count),
+        np.log1p(visible / count),
         n[0] / visible,
-        n[5] / visible,
-        n[7] / count,
-        n[6] / count,
-        len(kinds) / count,
+        n[2] / visible,
+        n[3] / len(raw),
+        n[4] / count,
+        n[5] / count,
+        n[6] / visible,
+        n[7] / visible,
+        len(seen) / count,
         sum(a == b for a, b in zip(tokens, tokens[1:])) / count,
-        1 - len(set(lines)) / max(1, len(lines)),
+        max(0, max(seen.values(), default=0) - 1) / count,
+        len(set(lines)) / rows,
+        np.log1p(count / rows),
+        sum(len(x) < 20 for x in lines) / rows,
         sum(len(w) > 2 and w.isupper() for w in tokens) / count,
-        symbol / count,
         sum(len(w) > 25 for w in tokens) / count,
-        min(count / max(1, len(lines)), 200) / 200,
-        max(0, max(kinds.values(), default=0) - 1) / count,
+        int((kind[np.flatnonzero(kind == 3) - 1] == 6).sum()) / count,
+        -float((share * np.log2(share)).sum()),
+        np.log1p(len(pairs)) - np.log1p(len(raw)) / 2,
     ]
 
 
@@ -93,7 +107,8 @@ class BradleyTerry:
         self.weights, self.mean, self.spread, self.cut, self.slope = weights, mean, spread, cut, slope
 
     def strength(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.spread) @ self.weights
+        # summed row by row, so that a text's value does not depend on its batch
+        return ((x - self.mean) / self.spread * self.weights).sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self.slope * (self.strength(x) - self.cut) + np.log(THRESHOLD / (1 - THRESHOLD))
@@ -119,12 +134,7 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS) -> BradleyTerry |
         if np.abs(step).max() < 1e-7:
             break
     strengths = z @ w
-    low, high = strengths[label == 0], strengths[label == 1]
-    cut = float(np.quantile(strengths, len(bad) / len(label)))
-    # between the classes where they part, else at the quantile itself
-    near_low, near_high = np.quantile(low, 0.98), np.quantile(high, 0.02)
-    if near_low < near_high and near_low <= cut <= near_high + 1e-9:
-        cut = float((near_low + near_high) / 2)
+    cut = float(np.quantile(strengths, len(bad) / len(label), method="hazen"))
     return BradleyTerry(w, mean, spread, cut, float(4 / max(1e-6, strengths.std())))
 
 

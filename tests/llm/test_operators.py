@@ -2,8 +2,12 @@
 
 import collections
 import hashlib
+import io
 import math
+import re
+import struct
 import time
+import wave
 import zlib
 from pathlib import Path
 
@@ -328,6 +332,53 @@ def test_media_round_trip():
             assert not [f for f in sniffer.find(stored[:-1]) if f[2] == kind and f[0] == 0 and f[1] > len(stored) - 1]
 
 
+def read_by_hand(kind, data):
+    """The samples of a container, by readers that share nothing with the module."""
+    if kind == "audio/wav":
+        with wave.open(io.BytesIO(data)) as w:
+            assert (w.getsampwidth(), w.getnchannels()) == (1, 1)
+            return w.readframes(w.getnframes())
+    if kind == "image/x-portable-graymap":
+        head = re.match(rb"P5\n(\d+) (\d+)\n255\n", data)
+        assert len(data) - head.end() == int(head[1]) * int(head[2])
+        return data[head.end() :]
+    if kind == "image/bmp":
+        width, height = struct.unpack("<ii", data[18:26])
+        assert height < 0 and struct.unpack("<I", data[2:6])[0] == len(data)
+        return data[-width * -height :]
+    body = zlib.decompress(b"".join(re.findall(rb"IDAT(.*?)....(?=....IEND)", data, re.S)))
+    assert set(body[::577]) == {0}
+    return b"".join(body[k + 1 : k + 577] for k in range(0, len(body), 577))
+
+
+def test_media_query_against_brute_force(spark, docs):
+    """Every row of the query, on odd rows and on texts that hold magic bytes."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(100 + k, t) for k, t in enumerate(["BM" * 900, "P5\n2 2\n255\nabcdRIFF", "x" * 575, "x" * 576, "x" * 577, "é" * 2000, "GIF89a" * 300, "IEND IDAT"])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = table.mapInPandas(media._store, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").collect()
+    want = collections.Counter()
+    for i, t in rows:
+        raw = (t or "").encode()
+        padded = raw.ljust(max(576, -(-len(raw) // 576) * 576), b"\xff")
+        kind, encode, _ = media.CONTAINERS[len(padded) // 576 % 4]
+        stored = encode(padded)
+        assert read_by_hand(kind, stored) == padded
+        want[i, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), f"type={kind};declared=ok"] += 1
+    assert collections.Counter((*tuple(r)[:7], ";".join(r["feature"].split(";")[:2])) for r in got) == want
+    assert len({tuple(r)[1:] for r in got if r["n_bytes"] == 0}) == 1
+    assert spark.createDataFrame([], table.schema).mapInPandas(media._store, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").count() == 0
+
+
+def test_media_validators_take_other_legal_headers():
+    bmp = b"BM" + struct.pack("<IIII", 54 + 8, 0, 54, 40) + struct.pack("<iiHHIIiiII", 1, 2, 1, 24, 0, 8, 0, 0, 0, 0) + b"abc\0def\0"
+    core = b"BM" + struct.pack("<IIII", 26 + 4, 0, 26, 12) + struct.pack("<HHHH", 1, 1, 1, 24) + b"abc\0"
+    pgm = b"P5 # made by hand\n2\t1\n65535\nabcd"
+    sniffer = media.Sniffer()
+    for data, kind in ((bmp, "image/bmp"), (core, "image/bmp"), (pgm, "image/x-portable-graymap")):
+        assert media.identify(sniffer, data, "audio/wav") == (kind, len(data), True, [(0, len(data), kind)])
+        assert media.identify(sniffer, data[:-1], kind).kind == media.UNKNOWN
+
+
 def test_sniff_corrects_types(spark):
     wav = media.to_wav(media.payload("abc")[1])
     table = spark.createDataFrame([(1, wav, "image/png"), (2, b"nothing", "audio/wav"), (3, None, None), (4, b"zz" + wav, "audio/wav")], "k long, body binary, said string")
@@ -515,39 +566,58 @@ def test_language_odd_rows(docs):
     assert {r["lang_pred"] for r in language.predict(docs, None).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
+def trained_by_hand(texts):
+    """Counts of n-grams as the operator takes them."""
     grams = collections.Counter()
-    for w in ("abba", "baab", "aab", "bb"):
-        x = language.EDGE + w + language.EDGE
-        for i in range(2, len(x) + 1):
-            grams[x[max(0, i - language.ORDER) : i]] += 1
-    prob, back = language.kneser_ney(grams)
-    letters = sorted({g for g in prob if len(g) == 1})
-    for context in ("ab", "b", "aab"):
-        total = 0.0
-        for x in letters:
-            p, c = prob.get(context + x), context
-            scale = 0.0
-            while p is None:
-                scale += back.get(c, 0.0)
-                c = c[1:]
-                p = prob.get(c + x) if c + x in prob else (prob[""] if not c else None)
-            total += math.exp(p + scale)
-        assert abs(total - 1) < 0.15
-
-
-def test_lm_base_and_model(docs):
-    rows = lm_scoring.score(docs).collect()
-    assert len(rows) == docs.count()
-    own = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [None]) for r in docs.collect()]
-    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    counts = collections.Counter(w for i, ws in own if not out(i) for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    want = collections.defaultdict(list)
-    for i, ws in own:
-        want[i].append((len(ws), sum(counts[w] > 0 for w in ws), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)))
-    for r in rows:
-        assert (r["n_tokens"], r["n_known"], round(r["base_score"], 6)) in want[r["doc_id"]] and r["train_tokens"] == n and r["held_out"] == out(r["doc_id"]) and r["score"] < 0
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            x = language.EDGE + w + language.EDGE
+            for i in range(2, len(x) + 1):
+                grams[x[max(0, i - language.ORDER) : i]] += 1
+    return grams
+
+
+def log_probability(prob, back, context, letter):
+    """Interpolated estimate of one letter, by going down to the order that has it."""
+    total = 0.0
+    while context and context + letter not in prob:
+        total += back.get(context, 0.0)
+        context = context[1:]
+    return total + prob.get(context + letter, prob[""])
+
+
+def test_kneser_ney_sums_to_one():
+    """Over all letters seen and one unseen, after any context."""
+    prob, back = language.kneser_ney(trained_by_hand(["abba baab aab bb", "bab cab abc"]))
+    letters = {g for g in prob if len(g) == 1} | {"unseen"}
+    for context in ("", "b", "ab", "aab", "zab", language.EDGE + "a", language.EDGE):
+        assert abs(sum(math.exp(log_probability(prob, back, context, x)) for x in letters) - 1) < 1e-9
+
+
+def test_language_against_brute_force(spark, docs):
+    """Cross-entropy and language of every text, letter by letter."""
+    texts = {"en": ["the cat sat on the mat and the dog", "one two three four five"], "de": ["der hund und die katze im haus", "ein zwei drei vier"], "fr": ["le chat est sur la table", "une deux trois été"]}
+    models = {k: trained_by_hand(v) for k, v in texts.items()}
+    own = language.Identifier(models)
+    fitted = {k: language.kneser_ney(g) for k, g in models.items()}
+    rows = [r["text"] for r in docs.collect()] + ["der kater", "été sur 12 tables", "日本語 the", "x" * 5000]
+    entropy, size = language.WordScores(own).texts(rows)
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.predict(table, own).collect()}
+    for k, t in enumerate(rows):
+        found = re.findall(r"[^\W\d_]+", (t or "").lower())[:3000]
+        if not found:
+            assert (got[k]["lang_pred"], got[k]["score"], size[k]) == ("und", 0.0, 0)
+            continue
+        if len(found) == 3000:
+            continue
+        want = []
+        for lang in sorted(fitted):
+            prob, back = fitted[lang]
+            want.append(-sum(log_probability(prob, back, x[max(0, i - 3) : i], x[i]) for w in found for x in [language.EDGE + w + language.EDGE] for i in range(1, len(x))) / sum(len(w) + 1 for w in found))
+        assert np.abs(entropy[k] - want).max() < 1e-4 and got[k]["lang_pred"] == sorted(fitted)[int(np.argmin(want))]
+        odds = np.exp(-np.array(want) * size[k] - max(-np.array(want) * size[k]))
+        assert abs(got[k]["score"] - odds.max() / odds.sum()) < 1e-2
 
 
 def brute_deleted_interpolation(own, out, rounds=40):
@@ -637,12 +707,27 @@ def test_quality(spark):
 def test_quality_odd_rows(spark, docs):
     rows = quality.score(docs, None).collect()
     assert len(rows) == docs.count() and {r["score"] for r in rows} == {0.5}
+    labels = spark.createDataFrame([(k, k % 2, None) for k in range(60)] + [(None, 1, 1), (3, None, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.score(docs, quality.train(docs, labels)).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (4, 5, 40)}) == 1  # empty and null texts
+
+
+def test_bradley_terry_against_gradient_descent():
+    """The weights minimise the pairwise logistic loss, and the threshold parts
+    the training strengths at the share of documents marked 0."""
     rng = np.random.default_rng(0)
-    x, y = rng.random((200, len(quality.FEATURES))), np.r_[np.ones(150, int), np.zeros(50, int)]
-    x[:150, 3] += 2
-    model = quality.fit(x, y)
-    s = model.score(x)
-    assert ((s >= 0.3) == (y == 1)).mean() > 0.95
+    x, y = rng.normal(size=(300, len(quality.FEATURES))), np.r_[np.ones(220, int), np.zeros(80, int)]
+    x[:220, 3] += 1
+    x[:220, 7] -= 0.5
+    model = quality.fit(x, y, pairs=4000)
+    z, draw = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), np.random.default_rng(7)
+    d = z[draw.choice(np.flatnonzero(y == 1), 4000)] - z[draw.choice(np.flatnonzero(y == 0), 4000)]
+    w = np.zeros(x.shape[1])
+    for _ in range(20_000):
+        w -= 0.3 * (d.T @ (1 / (1 + np.exp(-(d @ w))) - 1) / len(d) + quality.RIDGE * w)
+    assert np.abs(w - model.weights).max() < 1e-4
+    assert (model.score(x) < 0.3).sum() == 80
 
 
 def test_empty_tables(spark, docs):
@@ -653,25 +738,62 @@ def test_empty_tables(spark, docs):
         assert out.count() == 0
 
 
-def test_pipeline_against_brute_force(spark):
-    """Filters and dedup stages agree with plain Python, and packed ids hold the
-    mixed words of every kept document."""
+def test_pipeline_against_brute_force(spark, monkeypatch):
+    """run() against plain Python: exact and near duplicates, the mix in its
+    order, and the ids of every piece.  The quality model's decisions are those
+    of its operator, which has tests of its own."""
     if not DATA.exists():
         pytest.skip("no driver tables")
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    stages = dict(corpus_pipeline.STAGES)
     scored = {r["doc_id"]: r["predicted"] for r in quality.score(docs, quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))).collect()}
-    good = stages["quality"](spark, docs, str(DATA)).cache()
-    assert good.columns == docs.columns and {r["doc_id"] for r in good.collect()} == {i for i, p in scored.items() if p}
-    exact = stages["exact_dedup"](spark, good, str(DATA)).cache()
-    plain = [(r["text"] or "").translate({c: None for c in (32, *range(9, 14))}) for r in good.collect()]
-    assert exact.count() == len(set(plain))
-    near = stages["near_dedup"](spark, exact, str(DATA)).cache()
-    want, _ = brute_components([(r["doc_id"], r["text"]) for r in exact.collect()], 5)
-    assert {r["doc_id"] for r in near.collect()} == {i for i, c in want.items() if i == c}
-    mixed = stages["mixing"](spark, near, str(DATA))
-    assert mixed.columns == docs.columns
-    assert corpus_pipeline.run(spark, str(DATA)).count() > 0
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect() if scored[r["doc_id"]]]
+    assert 0 < len(rows) < len(scored)
+    groups = collections.defaultdict(list)
+    for i, t, s in rows:
+        groups[(t or "").translate({c: None for c in (32, *range(9, 14))})].append((-len(t or ""), i))
+    kept = {min(g)[1] for g in groups.values()}
+    rows = [r for r in rows if r[0] in kept]
+    components, _ = brute_components([r[:2] for r in rows], 5)
+    rows = [r for r in rows if components[r[0]] == r[0]]
+    taken, _, order = brute_mix(rows)
+    own, texts, stream = Tokenizer.from_file(packing.vocabulary_path()), {i: t for i, t, _ in rows}, []
+    for i, number in order:
+        n, words = taken[i, number], texts[i].encode().split()
+        text = texts[i] if n == len(words) else b" ".join(words[:n]).decode()
+        stream += [(i, x) for x in [*own.encode(text, add_special_tokens=False).ids, 2]]
+    # several files a stage, and splits that do not follow their order
+    monkeypatch.setattr(corpus_pipeline, "write_table", lambda df, name: store.write_table(df, name))
+    pieces = sorted(corpus_pipeline.run(spark, str(DATA)).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    got = [(r["doc_id"], int(x)) for r in pieces for x in np.frombuffer(bytes(r["ids"]), "<u4")]
+    assert got == stream and len(pieces) > len(order) > 50
+
+
+def test_stages_keep_odd_rows_and_columns(spark, docs):
+    """Every stage but the last returns the columns of documents, from tables
+    with nulls, repeated rows and clashing columns, and from empty ones."""
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(12)], "doc_id long, quality int, toxic int")
+    folder = f"{store.shared_dir(spark)}/odd"
+    labels.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, folder)
+            assert (out.columns == names or name == "packing") and (out.count() > 0) == (table.count() > 0)
+
+
+def test_packing_follows_files(spark, tmp_path):
+    """Pieces have the order of files and rows, whatever the splits."""
+    table = spark.createDataFrame([(k, "word " * (k % 9)) for k in range(2000)], "doc_id long, text string").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id")
+    table.write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = packing.pack(spark.read.parquet(str(tmp_path / "t")), 64).orderBy("sequence_id", "offset").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    ids = [r["doc_id"] for r in rows]
+    assert ids == sorted(ids) and set(ids) == set(range(2000))
 
 
 def test_registry():
