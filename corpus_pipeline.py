@@ -2,7 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet in the shared folder and rereads it as the next stage's
-documents.
+documents.  The mixing stage leaves its documents sorted by finish time over the
+files it is written to, and packing concatenates them in the order of files and
+rows, so sequences follow the mix.  The last stage returns one row per piece of
+a packed sequence, with its token ids.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The quality model, the sketches and the tokenizer are beyond SQL; the tests
-#: hold run() against a brute-force version.
+#: The quality model, the sketches and the tokenizer are beyond SQL.
+#: ``test_pipeline_against_brute_force`` follows run() with plain Python from the
+#: documents that the quality stage keeps to the ids of every piece.
 ORACLE_SQL = None
 
 
