@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,14 +41,17 @@ def twin_groups(variants: DataFrame, samples: DataFrame, threshold: float = 0.99
     ``least`` genes whose Jaccard similarity reaches ``threshold``.
 
     Two sets that similar share one of the ``ceil((1 - threshold) * n) + 1``
-    rarest genes of each (prefix filter), so candidates meet on rare genes."""
+    rarest genes of each (prefix filter), so candidates meet on rare genes.  Sets
+    that differ at all differ in one of their union, so only those of at least
+    ``threshold / (1 - threshold)`` genes can be similar without being equal."""
     genes = variants.select("sample_id", "gene").distinct()
     freq = genes.groupBy("gene").agg(F.count(F.lit(1)).alias("df"))
     sets = genes.join(freq, "gene").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("df", "gene"))).alias("g")).where(F.size("g") >= least)
     sets = sets.withColumn("genes", F.transform("g", lambda x: x["gene"])).withColumn("mark", F.sha2(F.array_join("genes", "\x1f"), 256))
     same = sets.groupBy("mark").agg(F.min("sample_id").alias("head"))
     heads = sets.join(same.select(F.col("head").alias("sample_id")), "sample_id", "left_semi").checkpoint()
-    prefix = heads.select("sample_id", F.explode(F.slice("genes", F.lit(1), F.ceil((1 - threshold) * F.size("genes")).cast("int") + 1)).alias("gene"))
+    large = heads.where(F.size("genes") * (1 - threshold) >= threshold - 1e-9) if threshold < 1 else heads.limit(0)
+    prefix = large.select("sample_id", F.explode(F.slice("genes", F.lit(1), F.ceil((1 - threshold) * F.size("genes")).cast("int") + 1)).alias("gene"))
     pairs = prefix.alias("x").join(prefix.alias("y"), "gene").where("x.sample_id < y.sample_id").select(F.col("x.sample_id").alias("a"), F.col("y.sample_id").alias("b")).distinct()
     side = lambda n: heads.select(F.col("sample_id").alias(n), F.col("genes").alias(f"g_{n}"))
     both = F.size(F.array_intersect("g_a", "g_b"))
@@ -59,17 +62,22 @@ def twin_groups(variants: DataFrame, samples: DataFrame, threshold: float = 0.99
     return samples.join(labels.withColumnRenamed("node", "sample_id"), "sample_id", "left").select("sample_id", F.coalesce(labels["label"], F.col("sample_id")).alias("group_key"))
 
 
+def dealing(column: str, seed: int) -> Column:
+    """What rows are put in order by to be dealt out: the same on any engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(column).cast("string")).cast("binary"))
+
+
 def stratified_folds(samples: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """sample_id, fold: each label's samples dealt in hash order."""
-    order = W.partitionBy("label").orderBy(F.xxhash64(F.col("sample_id"), F.lit(seed)), "sample_id")
+    order = W.partitionBy("label").orderBy(dealing("sample_id", seed), "sample_id")
     return samples.select("sample_id", "label", ((F.row_number().over(order) - 1) % k).cast("int").alias("fold"))
 
 
 def group_folds(grouped: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """Whole groups in one fold: groups of a label, largest first, are dealt
     back and forth over the folds, which keeps label shares near."""
-    groups = grouped.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.mode("label").alias("label"))
-    at = F.row_number().over(W.partitionBy("label").orderBy(F.desc("n"), F.xxhash64(F.col("group_key"), F.lit(seed)), "group_key")) - 1
+    groups = grouped.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.mode("label", deterministic=True).alias("label"))
+    at = F.row_number().over(W.partitionBy("label").orderBy(F.desc("n"), dealing("group_key", seed), "group_key")) - 1
     turn = (at % (2 * k)).cast("int")
     dealt = groups.select("group_key", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).alias("fold"))
     return grouped.join(dealt, "group_key")
@@ -83,8 +91,10 @@ def check_groups(folds: DataFrame) -> None:
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: order-independent digest of the rows, and their number."""
-    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
-    return df.agg(F.bit_xor(row).alias("xor"), F.sum(F.pmod(row, F.lit(1 << 31))).alias("total"), F.count(F.lit(1)).alias("n"))
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
+    digest = F.md5(text.cast("binary"))
+    number = lambda digits: F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
+    return df.select(number(15).alias("row"), number(6).alias("head")).agg(F.bit_xor("row").alias("xor"), F.sum("head").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 def pair_rule(train: DataFrame, test: DataFrame, least: int = 3, pairs: dict[str, str] = PAIR_LABELS) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from helixframe.operators import ensemble, groups, latent, models, reports, set_encoder
 from helixframe.operators.relations import STAR, apply, run_text
 from helixframe.plans.configs import dense_matrix
-from helixframe.plans.matrices import MATRIX_PLANS, long_matrix
+from helixframe.plans.independent import QUERIES, second
+from helixframe.plans.matrices import MATRIX_PLANS, dense_text, long_matrix
 from helixframe.plans.oracle import oracle
 from helixframe.plans.portable import _PREDS
 from helixframe.plans.reports import ALL_PLANS
@@ -266,4 +267,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(text) for name, text in (ALL_PLANS | MATRIX_PLANS).items()} | {"pair_rule_matches": PAIR_SQL, "pair_rule_premises": PREMISES_SQL, "oof_faults": oracle(FAULTS), "event_burden": EVENT_SQL}
+    """SQL to compare with; plans that have a second formula are compared with
+    that one."""
+    found = {name: oracle(second(name)) for name in ALL_PLANS} | {name: oracle(text) for name, text in (MATRIX_PLANS | QUERIES).items()}
+    found["dense_matrix_f1"] = oracle(dense_text("f1"))
+    return found | {"pair_rule_matches": PAIR_SQL, "pair_rule_premises": PREMISES_SQL, "oof_faults": oracle(FAULTS), "event_burden": EVENT_SQL}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import latent
 from helixframe.operators.relations import Genes, run_text
-from helixframe.plans.configs import BLOCKS, CONFIGS
+from helixframe.plans.configs import BLOCKS, CONFIGS, dense_blocks
 from helixframe.plans.portable import _TFIDF, PLANS, TRAIN, chi2, d, evidence
 from helixframe.plans.reports import ALL_PLANS
 
@@ -80,6 +80,14 @@ def _wide(plan: str, keep: tuple[str, ...] | None = None) -> str:
     return f"SELECT sample_id, feature, value FROM (SELECT sample_id, {doubles} FROM ({plan}) x) w UNPIVOT (value FOR feature IN ({', '.join(names)}))"
 
 
+def dense_text(name: str) -> str:
+    """The dense blocks of a configuration, one row a sample, as one text."""
+    plans = dense_blocks(name)
+    columns = ", ".join(f"p{k}.{c} AS {plan}__{c}" for k, plan in enumerate(plans) for c in _names(ALL_PLANS[plan]))
+    joins = " ".join(f"JOIN ({ALL_PLANS[plan]}) p{k} ON p{k}.sample_id = s.sample_id" for k, plan in enumerate(plans))
+    return f"SELECT s.sample_id, s.label, {columns} FROM {{samples}} s {joins}"
+
+
 def block_text(block: str) -> str:
     """(sample_id, feature, value) of one block that is portable."""
     if block == "rollup16":

@@ -4,7 +4,9 @@ from pathlib import Path
 
 import pytest
 
+from helixframe.plans.catalog import oracle_sql, queries
 from helixframe.plans.configs import CONFIGS, dense_blocks
+from helixframe.plans.independent import QUERIES, WRITTEN, second
 from helixframe.plans.matrices import BURDEN, MATRIX_PLANS, ROBUST, config_text
 from helixframe.plans.oracle import oracle
 from helixframe.plans.reports import ALL_PLANS
@@ -32,7 +34,11 @@ def test_plan(relations, name):
 
     con, variants, samples = relations
     text = (ALL_PLANS | MATRIX_PLANS)[name]
-    one, two = run_text(variants.sparkSession, text, variants, samples, STAR).toPandas(), con.sql(oracle(text)).df()
+    one, two = run_text(variants.sparkSession, text, variants, samples, STAR).toPandas(), con.sql(oracle(second(name) if name in ALL_PLANS else text)).df()
+    same_rows(one, two)
+
+
+def same_rows(one, two):
     columns = sorted(one.columns)
     assert columns == sorted(two.columns)
     one, two = (x[columns].sort_values(columns).reset_index(drop=True) for x in (one, two))
@@ -41,6 +47,21 @@ def test_plan(relations, name):
         assert ((one[c] == two[c]) | (one[c].isna() & two[c].isna())).all(), c
 
 
+@needs_data
+@pytest.mark.parametrize("name", [*QUERIES, "dense_matrix_f1"])
+def test_query(relations, spark, name):
+    con, _, _ = relations
+    same_rows(queries()[name](spark, str(DATA)).toPandas(), con.sql(oracle_sql()[name]).df())
+
+
+@needs_data
+@pytest.mark.parametrize("name", [name for name in ALL_PLANS if name in WRITTEN or second(name) != ALL_PLANS[name]])
+def test_second_formula(relations, name):
+    """The plan's own text and its second formula, on one engine."""
+    con, _, _ = relations
+    same_rows(con.sql(oracle(ALL_PLANS[name])).df(), con.sql(oracle(second(name))).df())
+
+
 def test_configs():
     assert len(CONFIGS) == 36
     assert CONFIGS["f4rws"] == (("domain", "rollup16", "enc3"), "balanced+group_sqrt")
