@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import join_groups, numbered, read, write_table
+from helixframe.llm.store import join_groups, join_ids, numbered, read, write_table
 from helixframe.llm.text import DOCUMENT_COLUMNS, SPACE
 
 LANES, FAN_IN = 64, 8
@@ -168,7 +168,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Pipeline stage: one row of each group of equal texts stays."""
     rows = numbered(docs.select(*DOCUMENT_COLUMNS))
     gone = exact_groups(rows).where("not kept").select("row_key")
-    return rows.join(gone, "row_key", "left_anti").select(*DOCUMENT_COLUMNS)
+    return join_ids(rows, gone, "row_key", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 OP7_SQL = r"""

@@ -48,7 +48,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import MOST_HOT, join_groups, numbered, read, write_table
+from helixframe.llm.store import MOST_HOT, join_groups, join_ids, numbered, read, write_table
 from helixframe.llm.text import DOCUMENT_COLUMNS, WordHashes, mix64, shingle_hashes, words
 
 BANDS, ROWS = 48, 6
@@ -173,7 +173,7 @@ def _confirm(width: int, threshold: int):
 
 def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return write_table(docs.select("node", "text").join(ids, "node", "left_semi"), "near-texts")
+    return write_table(join_ids(docs.select("node", "text"), ids, "node", "left_semi"), "near-texts")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -385,7 +385,7 @@ def open_links(bands: DataFrame, labels: DataFrame, sketches: DataFrame, docs: D
     in_wide = write_table(in_open.join(large, "key", "left_semi").select("node", "label", "bytes", "cls", "bulk", "known").dropDuplicates(["node"]), "wide-members")
     rest = tile_pairs(narrow, tiled, ["label", "bytes", "known"]).mapInPandas(_rough, "node long")
     rest = write_table(rest.union(in_wide.where("not known").select("node")).distinct(), "open-unread", 16)
-    more = docs.select("node", "text").join(rest, "node", "left_semi")
+    more = join_ids(docs.select("node", "text"), rest, "node", "left_semi")
     here = texts.join(in_open.select("node").distinct(), "node", "left_semi")
     sets = write_table(here.union(more).mapInPandas(_sets(width), "node long, items binary"), "open-sets", 1000)
     fields = ["label", "bytes", "items"]
@@ -465,4 +465,4 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     component stays, that of the smallest doc_id."""
     rows, repeated = noded(docs.select(*DOCUMENT_COLUMNS))
     gone = node_components(rows.select("node", "doc_id", "text"), repeated).where("not stays").select("node")
-    return rows.join(gone, "node", "left_anti").select(*DOCUMENT_COLUMNS)
+    return join_ids(rows, gone, "node", "left_anti").select(*DOCUMENT_COLUMNS)

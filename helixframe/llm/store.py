@@ -80,3 +80,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     few = F.broadcast(groups.where(hot))
     rest = rows.join(few.select(*keys), keys, "left_anti")
     return rows.join(few, keys).unionByName(rest.join(groups.where(~hot), keys))
+
+
+#: So many identifiers, 8 bytes each, are sent to all executors rather than texts
+#: shuffled to meet them.
+MOST_IDS = 2_000_000
+
+
+def join_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` with (left_semi) or without (left_anti) those of ``ids(key)``.  The
+    identifiers are written and counted; up to ``MOST_IDS`` are broadcast, more
+    meet the rows by a shuffle."""
+    ids = write_table(ids, "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, key, how)
