@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Polarity, hydrophobicity, charge, molecular weight.
 AMINO_ACIDS = {
@@ -44,7 +45,8 @@ def penalty_rows(weights: tuple[float, ...] = PROPERTY_WEIGHTS) -> list[tuple[st
 
 
 def penalties(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(penalty_rows(), "ref string, alt string, penalty double")
+    """400 rows, sent to every task."""
+    return F.broadcast(spark.createDataFrame(penalty_rows(), "ref string, alt string, penalty double"))
 
 
 def panel_rows(drivers: tuple[str, ...] = DRIVERS, msi: tuple[str, ...] = MSI_TARGETS, immune: tuple[str, ...] = IMMUNE) -> list[tuple[str, str]]:
@@ -56,7 +58,8 @@ STAR_PANEL = panel_rows(STAR_DRIVERS, STAR_DRIVERS, STAR_IMMUNE)
 
 
 def panel(spark: SparkSession, rows: list[tuple[str, str]] | None = None) -> DataFrame:
-    return spark.createDataFrame(rows or panel_rows(), "gene string, role string")
+    """A row per gene and role, as many as are given, sent to every task."""
+    return F.broadcast(spark.createDataFrame(rows or panel_rows(), "gene string, role string"))
 
 
 #: (ref, alt) of residues -> shares of the six channels, CpG and transition over

@@ -7,6 +7,9 @@ column.  Set encoders read tokens and stand in ``set_encoder``.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
@@ -51,9 +54,10 @@ def assemble(features: DataFrame, columns: list[str]) -> DataFrame:
     """sample_id, label, fold, features (scaled), y, weight (balanced)."""
     stages = [VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc")]
     made = Pipeline(stages=stages).fit(features).transform(features)
-    counts = made.groupBy("y").agg(F.count(F.lit(1)).alias("c"))
-    n, k = made.count(), counts.count()
-    return made.join(counts, "y").withColumn("weight", F.lit(n) / (F.lit(k) * F.col("c"))).select("sample_id", "label", "fold", "features", "y", "weight")
+    counts = {r["y"]: r["c"] for r in made.groupBy("y").agg(F.count(F.lit(1)).alias("c")).collect()}
+    total = sum(counts.values())
+    weight = F.create_map(*[F.lit(x) for y, c in counts.items() for x in (y, total / (len(counts) * c))]) if counts else F.lit(None)
+    return made.select("sample_id", "label", "fold", "features", "y", (weight[F.col("y")] if counts else weight.cast("double")).alias("weight"))
 
 
 def with_proba(scored: DataFrame, name: str) -> DataFrame:
@@ -66,14 +70,17 @@ def out_of_fold(ready: DataFrame, name: str, **params) -> DataFrame:
     other folds."""
     classes = ready.select("y").distinct().count()
     width = ready.first()["features"].size
-    out = None
-    for (fold,) in sorted(ready.select("fold").distinct().collect()):
+    folds = sorted(r["fold"] for r in ready.select("fold").distinct().collect())
+
+    def one(fold) -> DataFrame:
         train, test = ready.where(F.col("fold") != fold), ready.where(F.col("fold") == fold)
         if name in OWN:
             plain = lambda part: part.withColumn("features", vector_to_array("features"))
             scored = create(name, width, classes, **params).fit(plain(train), classes, width).transform(plain(test))
         else:
             scored = create(name, width, classes, **params).fit(train).transform(test)
-        part = with_proba(scored, name).select("sample_id", "fold", F.col("label").alias("y_true"), "proba")
-        out = part if out is None else out.union(part)
-    return out
+        return with_proba(scored, name).select("sample_id", "fold", F.col("label").alias("y_true"), "proba")
+
+    # folds do not wait for each other: their jobs share the cluster
+    with ThreadPoolExecutor(max(1, len(folds))) as pool:
+        return reduce(DataFrame.union, pool.map(one, folds))

@@ -5,6 +5,7 @@
 gene) and then per sample, so that partial sums are combined before a shuffle;
 fitted statistics are small grouped tables that are joined back by key.
 Integers are cast to bigint and doubles rounded to six places at the end.
+Tables of residue pairs have at most 400 rows and are broadcast by a hint.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ scored AS (
   FROM (SELECT DISTINCT wt, mu FROM tr) p LEFT JOIN tc ON p.wt = tc.wt AND p.mu = tc.mu LEFT JOIN tw ON p.wt = tw.wt LEFT JOIN tm ON p.mu = tm.mu CROSS JOIN tt CROSS JOIN tn
 )"""
 AATRANS9 = f"""WITH {_TRANSITIONS}, agg AS (
-  SELECT tr.sample_id, avg(f) AS aa_transition_frequency_mean, max(f) AS aa_transition_frequency_max, avg(rarity) AS aa_transition_rarity_mean, max(rarity) AS aa_transition_rarity_max, avg(odds) AS aa_transition_log_odds_mean,
+  SELECT /*+ BROADCAST(s) */ tr.sample_id, avg(f) AS aa_transition_frequency_mean, max(f) AS aa_transition_frequency_max, avg(rarity) AS aa_transition_rarity_mean, max(rarity) AS aa_transition_rarity_max, avg(odds) AS aa_transition_log_odds_mean,
          min(odds) AS aa_transition_log_odds_min, max(odds) AS aa_transition_log_odds_max, {_count("c = 0")} AS unseen_aa_transition_count, {_count("c = 0")} / CAST(count(*) AS DOUBLE) AS unseen_aa_transition_ratio
   FROM tr JOIN scored s ON tr.wt = s.wt AND tr.mu = s.mu GROUP BY tr.sample_id
 )
@@ -412,7 +413,7 @@ PLANS: dict[str, str] = {
     "domain_burden": f"WITH {_DOMAIN}, a AS (SELECT sample_id, count(*) AS n, sum(t) AS t, {_count('t >= 2')} AS multi FROM dc GROUP BY sample_id) SELECT s.sample_id, {i('b_ngene', 'n')}, {d('b_log_ngene', 'ln(1 + n)')}, {i('b_ntok', 't')}, {d('b_log_ntok', 'ln(1 + t)')}, {d('b_tok_per_gene', ratio('t', 'n'))}, {i('b_multihit', 'multi')}, {d('b_multihit_frac', ratio('multi', 'n'))} FROM {{samples}} s LEFT JOIN a ON s.sample_id = a.sample_id",
     "domain_kinds": f"WITH {_DOMAIN}, a AS (SELECT sample_id, count(*) AS t, {', '.join(f'{_count(f'dkind = {k!r}')} AS k_{k}' for k in _DKINDS)} FROM dd GROUP BY sample_id) SELECT s.sample_id, {', '.join(d(f'c_{k}', ratio(f'k_{k}', 't')) for k in _DKINDS)} FROM {{samples}} s LEFT JOIN a ON s.sample_id = a.sample_id",
     "domain_pairs": f"WITH {_DOMAIN}, p AS (SELECT sample_id, concat(dref, '>', dalt) AS pair, count(*) AS c FROM dd WHERE dkind = 'missense' GROUP BY sample_id, dref, dalt) SELECT sample_id, pair, {d('share', 'c / CAST(sum(c) OVER (PARTITION BY sample_id) AS DOUBLE)')} FROM p",
-    "domain_sbs": f"WITH {{codons}}, {_DOMAIN}, a AS (SELECT d.sample_id, count(*) AS n, {', '.join(f'sum({c}) AS {c}' for c in _CHANNELS.values())} FROM dd d JOIN pair_map p ON p.ref = d.dref AND p.alt = d.dalt WHERE dkind IN ('missense', 'nonsense') GROUP BY d.sample_id) SELECT s.sample_id, {', '.join(d(f'n_{k}', ratio(c, 'n')) for k, c in _CHANNELS.items())}, {i('n_has', 'CASE WHEN n > 0 THEN 1 ELSE 0 END')} FROM {{samples}} s LEFT JOIN a ON s.sample_id = a.sample_id",
+    "domain_sbs": f"WITH {{codons}}, {_DOMAIN}, a AS (SELECT /*+ BROADCAST(p) */ d.sample_id, count(*) AS n, {', '.join(f'sum({c}) AS {c}' for c in _CHANNELS.values())} FROM dd d JOIN pair_map p ON p.ref = d.dref AND p.alt = d.dalt WHERE dkind IN ('missense', 'nonsense') GROUP BY d.sample_id) SELECT s.sample_id, {', '.join(d(f'n_{k}', ratio(c, 'n')) for k, c in _CHANNELS.items())}, {i('n_has', 'CASE WHEN n > 0 THEN 1 ELSE 0 END')} FROM {{samples}} s LEFT JOIN a ON s.sample_id = a.sample_id",
     "domain_driver": f"WITH {_DOMAIN} SELECT sample_id, gene, {i('a_mutated', '1')}, {i('a2_lof', 'lof')}, {i('a2_mis', 'mis')} FROM dc JOIN {_DRIVER} ON dc.gene = panel_gene",
     "domain_msi": f"""WITH {_DOMAIN}, roles AS (SELECT gene AS panel_gene, max(CASE WHEN role = 'msi' THEN 1 ELSE 0 END) AS msi, max(CASE WHEN role = 'immune' THEN 1 ELSE 0 END) AS immune FROM {{panel}} GROUP BY gene),
       a AS (SELECT sample_id, count(*) AS n, sum(lof * coalesce(msi, 0)) AS msi, sum(lof * coalesce(immune, 0)) AS imm FROM dc LEFT JOIN roles ON dc.gene = panel_gene GROUP BY sample_id)
