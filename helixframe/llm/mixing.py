@@ -144,7 +144,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_passes: int = MAX
     taken = plan.select("doc_id", "rank", "size", F.explode("passes").alias("p")).where("p.taken > 0")
     taken = taken.select(F.col("doc_id").alias("mix_row"), F.col("rank").alias("mix_rank"), F.col("size").alias("mix_size"), F.col("p.pass_no").alias("mix_pass"), F.col("p.finish").alias("mix_finish"), F.col("p.taken").alias("mix_taken"))
     head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("mix_taken").cast("int")), " ")
-    mixed = own.join(taken, "mix_row").withColumn("text", F.when(F.col("mix_taken") < F.col("mix_size"), head).otherwise(F.col("text")))
+    # the same join at every size
+    mixed = own.join(taken.hint("merge"), "mix_row").withColumn("text", F.when(F.col("mix_taken") < F.col("mix_size"), head).otherwise(F.col("text")))
     return mixed.repartitionByRange("mix_finish", "mix_rank").sortWithinPartitions("mix_finish", "mix_rank").drop("mix_row", "mix_rank", "mix_size")
 
 

@@ -48,7 +48,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import MOST_HOT, join_groups, join_ids, numbered, read, write_table
+from helixframe.llm.store import MOST_HOT, few, join_groups, join_ids, numbered, read, write_table
 from helixframe.llm.text import DOCUMENT_COLUMNS, WordHashes, mix64, shingle_hashes, words
 
 BANDS, ROWS = 48, 6
@@ -141,7 +141,7 @@ def near_enough(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFr
     """Candidate pairs (leader a, member b) whose sizes and sketches allow the
     similarity."""
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bytes").alias(f"bytes_{x}"))
-    leaders = write_table(side("a").join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("links")), "a"), "leader-sketches")
+    leaders = write_table(side("a").join(few(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("links"))), "a"), "leader-sketches")
     total = leaders.agg(F.sum("links")).first()[0] or 0
     joined = join_groups(pairs, leaders, ["a"], "links", total).drop("links").join(side("b"), "b")
     sized = joined.where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
@@ -183,9 +183,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> D
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     total = pairs.count()
     stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("links")).where((F.col("links") > PER_COPY) & (F.col("links") * MOST_HOT > total))
-    few = F.broadcast(write_table(stars.select("a", F.ceil(F.col("links") / PER_COPY).alias("copies")), "large-stars"))
-    salted = pairs.join(few, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).alias("copy"))
-    copied = side("a").join(few, "a", "left").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    large = F.broadcast(write_table(stars.select("a", F.ceil(F.col("links") / PER_COPY).alias("copies")), "large-stars"))
+    salted = pairs.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).alias("copy"))
+    copied = side("a").join(large, "a", "left").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
     joined = salted.join(side("b"), "b").join(copied, ["a", "copy"])
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(_confirm(width, threshold), "a long, b long")
 
@@ -430,7 +430,8 @@ def node_components(plain: DataFrame, repeated: bool, width: int = 5, threshold:
     total = sets.count()
     key = ["mark", "n_shingles"]
     heads = write_table(sets.groupBy(*key).agg(F.min("node").alias("head"), F.min(F.struct("doc_id", "node")).alias("first"), F.count(F.lit(1)).alias("size")), "set-heads")
-    firsts = write_table(sets.join(heads.select(F.col("head").alias("node")), "node", "left_semi").select("node", "n_shingles", "bands", "bytes"), "set-firsts")
+    others = join_groups(sets.select("node", *key), heads.select(*key, "head", "size"), key, "size", total).where("node <> head").select("node")
+    firsts = write_table(join_ids(sets, others, "node", "left_anti").select("node", "n_shingles", "bands", "bytes"), "set-firsts")
     bands = firsts.select("node", F.explode("bands").alias("key"))
     shared = write_table(bands.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "leaders")
     in_shared = write_table(join_groups(bands, shared, ["key"], "n", total * BANDS).select("node", "key", "a"), "bucketed")

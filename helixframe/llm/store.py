@@ -75,21 +75,26 @@ MOST_HOT = 10_000
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """``rows`` inner-joined to ``groups``, one narrow row per value of ``keys``
     with the number of its rows in column ``size``, of ``total`` rows in all.  Hot
-    groups are broadcast, so that no shuffled key holds more than its share."""
+    groups are broadcast, so that no shuffled key holds more than its share; the
+    others meet their rows by a merge join at every size."""
     hot = F.col(size) * MOST_HOT > total
     few = F.broadcast(groups.where(hot))
     rest = rows.join(few.select(*keys), keys, "left_anti")
-    return rows.join(few, keys).unionByName(rest.join(groups.where(~hot), keys))
+    return rows.join(few, keys).unionByName(rest.join(groups.where(~hot).hint("merge"), keys))
 
 
-#: So many identifiers, 8 bytes each, are sent to all executors rather than texts
-#: shuffled to meet them.
+#: So many identifiers, with a number each at most, are sent to all executors
+#: rather than texts or sketches shuffled to meet them.
 MOST_IDS = 2_000_000
 
 
-def join_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """``rows`` with (left_semi) or without (left_anti) those of ``ids(key)``.  The
-    identifiers are written and counted; up to ``MOST_IDS`` are broadcast, more
-    meet the rows by a shuffle."""
+def few(ids: DataFrame) -> DataFrame:
+    """``ids`` written and counted, to be broadcast if there are ``MOST_IDS`` rows
+    at most and else to be met by a shuffle."""
     ids = write_table(ids, "ids")
-    return rows.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, key, how)
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
+def join_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` with (left_semi) or without (left_anti) those of ``ids(key)``."""
+    return rows.join(few(ids), key, how)
