@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.dims import CODON_SQL, MANUAL_PAIRS, STAR_PAIRS, STAR_PANEL, panel_rows, penalties
 from helixframe.functions.dims import panel as panel_of
-from helixframe.plans.portable import PAIRS_A_GENE, TOP_PAIRS, comut_candidates
+from helixframe.plans.portable import _BURDEN_TABLE, _MUT, PAIRS_A_GENE, TOP_PAIRS, comut_candidates
 from helixframe.plans.reports import ALL_PLANS, GENERALISED, PART_PLACE, SIGNATURE_BUCKETS
 
 
@@ -61,12 +61,30 @@ class Genes:
 STAR = Genes(STAR_PANEL, STAR_PAIRS, pool=False)
 
 
-def comutation_pairs(variants: DataFrame, samples: DataFrame, candidates: str | None = None, genes: Genes | None = None) -> DataFrame:
+#: Relations that many plans define alike and read several times.  Spark plans
+#: such a definition anew at each place that reads it, so a caller that has them
+#: as tables passes these instead.
+COMMON = {"mutated": _MUT, "burdens": _BURDEN_TABLE}
+
+
+def common_text(name: str) -> str:
+    """The relation ``name`` of COMMON alone."""
+    return f"WITH {COMMON[name]} SELECT * FROM {COMMON[name].split(' ', 1)[0]}"
+
+
+def _with_tables(text: str, made: dict[str, DataFrame]) -> str:
+    """``text`` reading the tables ``made`` in place of their definitions."""
+    for name in made:
+        text = text.replace(COMMON[name], f"{COMMON[name].split(' ', 1)[0]} AS (SELECT * FROM {{{name}}})")
+    return text
+
+
+def comutation_pairs(variants: DataFrame, samples: DataFrame, candidates: str | None = None, genes: Genes | None = None, made: dict[str, DataFrame] | None = None) -> DataFrame:
     """(gene_a, gene_b): the chosen pairs, read in order until there are enough."""
     spark, genes = variants.sparkSession, genes or Genes()
-    text = candidates or comut_candidates(pool=genes.pool)
-    tables = {"variants": variants, "samples": samples} | ({"panel": panel_of(spark, genes.rows)} if "{panel}" in text else {})
-    ordered = spark.sql(text, **tables).orderBy("place").select("gene_a", "gene_b")
+    text = _with_tables(candidates or comut_candidates(pool=genes.pool), made or {})
+    tables = {"variants": variants, "samples": samples} | (made or {}) | ({"panel": panel_of(spark, genes.rows)} if "{panel}" in text else {})
+    ordered = spark.sql(text, **{k: v for k, v in tables.items() if "{" + k + "}" in text}).orderBy("place").select("gene_a", "gene_b")
     return spark.createDataFrame(choose_pairs(((r["gene_a"], r["gene_b"]) for r in ordered.toLocalIterator()), genes.manual), "gene_a string, gene_b string")
 
 
@@ -75,9 +93,11 @@ def apply(name: str, variants: DataFrame, samples: DataFrame, genes: Genes | Non
     return run_text(variants.sparkSession, ALL_PLANS[name], variants, samples, genes)
 
 
-def run_text(spark: SparkSession, text: str, variants: DataFrame, samples: DataFrame, genes: Genes | None = None) -> DataFrame:
-    """A portable text; ``genes`` are the real driver panels by default."""
-    tables = {"variants": variants, "samples": samples}
+def run_text(spark: SparkSession, text: str, variants: DataFrame, samples: DataFrame, genes: Genes | None = None, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A portable text; ``genes`` are the real driver panels by default, ``made``
+    the tables of COMMON that there are already."""
+    text = _with_tables(text, made or {})
+    tables = {"variants": variants, "samples": samples} | (made or {})
     if "{cellkeys}" in text:
         tables["cellkeys"] = cell_keys(variants)
     if "{words}" in text:
@@ -89,6 +109,6 @@ def run_text(spark: SparkSession, text: str, variants: DataFrame, samples: DataF
     if "{panel}" in text:
         tables["panel"] = panel_of(spark, (genes or Genes()).rows)
     if "{comutpairs}" in text:
-        tables["comutpairs"] = comutation_pairs(variants, samples, genes=genes)
+        tables["comutpairs"] = comutation_pairs(variants, samples, genes=genes, made=made)
     text = text.replace("{codons}", CODON_SQL.strip())
     return spark.sql(text, **{k: v for k, v in tables.items() if "{" + k + "}" in text})

@@ -4,7 +4,9 @@ A matrix is (sample_id, feature, value) with zeros left out, so that a
 configuration with hundreds of thousands of possible columns is never a wide
 plan.  Gene and word blocks keep their best features by chi-square on the train
 samples.  All blocks but the latent ones are portable text; those are added as
-DataFrames.
+DataFrames.  ``config_text`` is a whole configuration as one text.  Spark runs its
+blocks one after another (``long_matrix``), since the driver holds a plan, and
+writes it out again after each of its stages, at a cost of its length squared.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators import latent
-from helixframe.operators.relations import Genes, run_text
+from helixframe.operators.relations import COMMON, Genes, common_text, run_text
 from helixframe.plans.configs import BLOCKS, CONFIGS, dense_blocks
 from helixframe.plans.portable import _TFIDF, PLANS, TRAIN, chi2, d, evidence
 from helixframe.plans.reports import ALL_PLANS
+from helixframe.sources.shared import write_once
 
 TOP_GENES, TOP_WORDS = 500, 1000
 LATENT = ("lsvd", "lnmf", "gmod")
@@ -88,19 +91,31 @@ def dense_text(name: str) -> str:
     return f"SELECT s.sample_id, s.label, {columns} FROM {{samples}} s {joins}"
 
 
+def _body(block: str) -> str:
+    """All features of one block that is portable."""
+    if block == "rollup16":
+        return f"{_wide(PLANS['sample_rollup44'], ROBUST)} UNION ALL {_wide(PLANS['burden_bins'], BURDEN)}"
+    return LONG[block] if block in LONG else _wide(ALL_PLANS[BLOCKS.get(block, block)])
+
+
+def _kept(block: str) -> str:
+    """Relations up to kept: the best features of f."""
+    return f"{chi2('f', 'x.feature', 'x.value')}, kept AS (SELECT feature FROM scores ORDER BY round(score, 9) DESC, feature LIMIT {TOP[block]})"
+
+
+def _named(block: str) -> str:
+    return f"sample_id, concat('{block}__', feature) AS feature, {d('value')}"
+
+
+_PICKED = "SELECT f.sample_id, f.feature, f.value FROM f JOIN kept ON f.feature = kept.feature"
+
+
 def block_text(block: str) -> str:
     """(sample_id, feature, value) of one block that is portable."""
-    if block == "rollup16":
-        body = f"{_wide(PLANS['sample_rollup44'], ROBUST)} UNION ALL {_wide(PLANS['burden_bins'], BURDEN)}"
-    elif block in LONG:
-        body = LONG[block]
-    else:
-        body = _wide(ALL_PLANS[BLOCKS.get(block, block)])
-    named = f"sample_id, concat('{block}__', feature) AS feature, {d('value')}"
     if block not in TOP:
-        return f"SELECT {named} FROM ({body}) b WHERE value <> 0"
-    return f"""SELECT {named} FROM (WITH f AS ({body}), {chi2('f', 'x.feature', 'x.value')}, kept AS (SELECT feature FROM scores ORDER BY round(score, 9) DESC, feature LIMIT {TOP[block]})
-SELECT f.sample_id, f.feature, f.value FROM f JOIN kept ON f.feature = kept.feature) b WHERE value <> 0"""
+        return f"SELECT {_named(block)} FROM ({_body(block)}) b WHERE value <> 0"
+    return f"""SELECT {_named(block)} FROM (WITH f AS ({_body(block)}), {_kept(block)}
+{_PICKED}) b WHERE value <> 0"""
 
 
 Config = str | tuple[str, ...]
@@ -127,6 +142,35 @@ def weight_text(scheme: str) -> str:
     return f"SELECT sample_id, {d('weight', 'w / avg(w) OVER ()')} FROM (SELECT w_{first}.sample_id AS sample_id, {product} AS w FROM {joined}) p"
 
 
+class Steps:
+    """One configuration's blocks, run one after another.  What several of them
+    read is written when the first one asks for it."""
+
+    def __init__(self, variants: DataFrame, samples: DataFrame, genes: Genes | None):
+        self.variants, self.genes, self._samples = variants, genes, samples
+        self._made: dict[str, DataFrame] = {}
+
+    def made(self, name: str) -> DataFrame:
+        if name not in self._made:
+            frame = self._samples if name == "samples" else run_text(self.variants.sparkSession, common_text(name), self.variants, self.made("samples"))
+            self._made[name] = write_once(frame, name)
+        return self._made[name]
+
+    def run(self, text: str) -> DataFrame:
+        common = {name: self.made(name) for name, meant in COMMON.items() if meant in text}
+        return run_text(self.variants.sparkSession, text, self.variants, self.made("samples"), self.genes, common)
+
+    def block(self, block: str) -> DataFrame:
+        """(sample_id, feature, value) of one block that is portable: all of it as
+        a table, or all its features as a table and the best ones as another."""
+        if block not in TOP:
+            return write_once(self.run(block_text(block)), block)
+        spark, f = self.variants.sparkSession, write_once(self.run(_body(block)), block)
+        samples = self.made("samples")
+        kept = write_once(spark.sql(f"WITH f AS (SELECT * FROM {{found}}), {_kept(block)} SELECT feature FROM kept", found=f, samples=samples), "kept")
+        return spark.sql(f"SELECT {_named(block)} FROM (WITH f AS (SELECT * FROM {{found}}), kept AS (SELECT * FROM {{best}}) {_PICKED}) b WHERE value <> 0", found=f, best=kept)
+
+
 def _latent_block(block: str, variants: DataFrame, components: int, modules: int) -> DataFrame:
     x, names = latent.matrix(variants)
     train = x.where(TRAIN)
@@ -142,23 +186,20 @@ def _latent_block(block: str, variants: DataFrame, components: int, modules: int
     return placed.select("sample_id", F.posexplode("latent").alias("k", "value")).select("sample_id", F.concat(F.lit(f"{block}__"), F.col("k").cast("string")).alias("feature"), "value")
 
 
-def block_frame(block: str, variants: DataFrame, samples: DataFrame, components: int, modules: int, genes: Genes | None) -> DataFrame:
+def block_frame(block: str, steps: Steps, components: int, modules: int) -> DataFrame:
     """sample_id, feature, value of one block."""
     if block in LATENT:
-        return _latent_block(block, variants, components, modules).where("value <> 0").select("sample_id", "feature", F.round("value", 6).alias("value"))
-    return run_text(variants.sparkSession, block_text(block), variants, samples, genes)
+        return _latent_block(block, steps.variants, components, modules).where("value <> 0").select("sample_id", "feature", F.round("value", 6).alias("value"))
+    return steps.block(block)
 
 
 def long_matrix(name: Config, variants: DataFrame, samples: DataFrame, components: int = 64, modules: int = 24, genes: Genes | None = None, cache: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None) -> DataFrame:
     """sample_id, feature, value of every block of the configuration; ``genes``
     are the real driver panels by default.  ``cache`` keeps a block's table by a
     key that names all it depends on, so that configurations share their blocks."""
-    if cache is None:
-        portable = [b for b in config_blocks(name) if b not in LATENT]
-        frames = [run_text(variants.sparkSession, config_text(name), variants, samples, genes)] if portable else []
-        frames += [block_frame(b, variants, samples, components, modules, genes) for b in config_blocks(name) if b in LATENT]
-    else:
-        frames = [cache(block_key(b, components, modules), lambda b=b: block_frame(b, variants, samples, components, modules, genes)) for b in config_blocks(name)]
+    steps = Steps(variants, samples, genes)
+    keep = cache or (lambda key, make: make())
+    frames = [keep(block_key(b, components, modules), lambda b=b: block_frame(b, steps, components, modules)) for b in config_blocks(name)]
     return reduce(DataFrame.unionByName, frames)
 
 
