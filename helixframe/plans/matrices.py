@@ -149,6 +149,7 @@ class Steps:
     def __init__(self, variants: DataFrame, samples: DataFrame, genes: Genes | None):
         self.variants, self.genes, self._samples = variants, genes, samples
         self._made: dict[str, DataFrame] = {}
+        self._latent: tuple[DataFrame, list[str]] | None = None
 
     def made(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -156,6 +157,13 @@ class Steps:
             self._made[name] = write_once(frame, name)
         return self._made[name]
 
+    def latent(self) -> tuple[DataFrame, list[str]]:
+        """The weighted gene matrix as a table, and its genes."""
+        if not self._latent:
+            x, names = latent.matrix(self.variants)
+            self._latent = write_once(x, "latent"), names
+        return self._latent
+
     def run(self, text: str) -> DataFrame:
         common = {name: self.made(name) for name, meant in COMMON.items() if meant in text}
         return run_text(self.variants.sparkSession, text, self.variants, self.made("samples"), self.genes, common)
@@ -171,12 +179,11 @@ class Steps:
         return spark.sql(f"SELECT {_named(block)} FROM (WITH f AS (SELECT * FROM {{found}}), kept AS (SELECT * FROM {{best}}) {_PICKED}) b WHERE value <> 0", found=f, best=kept)
 
 
-def _latent_block(block: str, variants: DataFrame, components: int, modules: int) -> DataFrame:
-    x, names = latent.matrix(variants)
+def _latent_block(block: str, mutated: DataFrame, x: DataFrame, names: list[str], components: int, modules: int) -> DataFrame:
     train = x.where(TRAIN)
     if block == "gmod":
         members = latent.gene_modules(train, names, k=min(modules, len(names)), components=components).select("gene", "module")
-        found = variants.select("sample_id", "gene").distinct().join(members, "gene", "left")
+        found = mutated.join(members, "gene", "left")
         total = found.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
         share = found.where("module is not null").groupBy("sample_id", "module").agg(F.count(F.lit(1)).alias("c")).join(total, "sample_id")
         return share.select("sample_id", F.concat(F.lit("gmod__"), F.col("module").cast("string")).alias("feature"), (F.col("c") / F.col("n")).alias("value"))
@@ -189,7 +196,8 @@ def _latent_block(block: str, variants: DataFrame, components: int, modules: int
 def block_frame(block: str, steps: Steps, components: int, modules: int) -> DataFrame:
     """sample_id, feature, value of one block."""
     if block in LATENT:
-        return _latent_block(block, steps.variants, components, modules).where("value <> 0").select("sample_id", "feature", F.round("value", 6).alias("value"))
+        found = _latent_block(block, steps.made("mutated"), *steps.latent(), components, modules)
+        return write_once(found.where("value <> 0").select("sample_id", "feature", F.round("value", 6).alias("value")), block)
     return steps.block(block)
 
 

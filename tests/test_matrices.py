@@ -1,12 +1,16 @@
 """Matrices that are run block by block: the rows of the whole text, out of plans
 that are short each."""
 
+from functools import partial
 from pathlib import Path
 
 import pytest
 from pyspark.sql import DataFrameWriter
 
+from helixframe.operators import latent
 from helixframe.plans.catalog import oracle_sql, queries
+from helixframe.plans.matrices import LATENT, config_text
+from helixframe.plans.oracle import oracle
 
 DATA = Path("/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
@@ -49,3 +53,13 @@ def test_short_plans(spark, plans, con, name):
     df = queries()[name](spark, str(DATA))
     assert max(*plans, exchanges(df)) <= MOST_EXCHANGES, (plans, exchanges(df))
     assert rows(df.select("sample_id", "feature", "value").collect()) == rows(con.sql(f"SELECT sample_id, feature, value FROM ({oracle_sql()[name]}) x").fetchall())
+
+
+def test_short_plans_with_latent_blocks(spark, plans, con, monkeypatch):
+    """The portable blocks of f11 against SQL; few rounds, as only the others are compared."""
+    monkeypatch.setattr(latent, "nmf_components", partial(latent.nmf_components, rounds=2))
+    df = queries()["matrix_f11"](spark, str(DATA))
+    assert max(*plans, exchanges(df)) <= MOST_EXCHANGES, (plans, exchanges(df))
+    found = rows(df.select("sample_id", "feature", "value").collect())
+    assert {r[1].split("__")[0] for r in found} >= set(LATENT)
+    assert [r for r in found if r[1].split("__")[0] not in LATENT] == rows(con.sql(f"SELECT sample_id, feature, value FROM ({oracle(config_text('f11'))}) x").fetchall())
