@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.dims import CODON_SQL, MANUAL_PAIRS, STAR_PAIRS, STAR_PANEL, panel_rows, penalties
 from helixframe.functions.dims import panel as panel_of
-from helixframe.plans.portable import _BURDEN_TABLE, _MUT, PAIRS_A_GENE, TOP_PAIRS, comut_candidates
+from helixframe.plans.portable import _BURDEN_TABLE, _DOMAIN_TOKENS, _MUT, PAIRS_A_GENE, TOP_PAIRS, comut_candidates
 from helixframe.plans.reports import ALL_PLANS, GENERALISED, PART_PLACE, SIGNATURE_BUCKETS
 
 
@@ -64,7 +64,7 @@ STAR = Genes(STAR_PANEL, STAR_PAIRS, pool=False)
 #: Relations that many plans define alike and read several times.  Spark plans
 #: such a definition anew at each place that reads it, so a caller that has them
 #: as tables passes these instead.
-COMMON = {"mutated": _MUT, "burdens": _BURDEN_TABLE}
+COMMON = {"mutated": _MUT, "burdens": _BURDEN_TABLE, "domains": _DOMAIN_TOKENS}
 
 
 def common_text(name: str) -> str:

@@ -12,9 +12,11 @@ writes it out again after each of its stages, at a cost of its length squared.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from helixframe.operators.relations import COMMON, Genes, common_text, run_text
 from helixframe.plans.configs import BLOCKS, CONFIGS, dense_blocks
 from helixframe.plans.portable import _TFIDF, PLANS, TRAIN, chi2, d, evidence
 from helixframe.plans.reports import ALL_PLANS
-from helixframe.sources.shared import write_once
+from helixframe.sources.shared import write_dealt, write_once
 
 TOP_GENES, TOP_WORDS = 500, 1000
 LATENT = ("lsvd", "lnmf", "gmod")
@@ -142,53 +144,92 @@ def weight_text(scheme: str) -> str:
     return f"SELECT sample_id, {d('weight', 'w / avg(w) OVER ()')} FROM (SELECT w_{first}.sample_id AS sample_id, {product} AS w FROM {joined}) p"
 
 
+#: Deals a cell's tokens out once; they lie together already where samples do.
+_DEAL = "/*+ REPARTITION(sample_id, gene) */ "
+#: The terms of a token block; broadcast if there are no more than MOST_TERMS.
+_VOCABULARY = re.search(r"vocabulary AS \(.*\)(?=,\nraw)", _TFIDF)[0]
+MOST_TERMS = 200_000
+
+
 class Steps:
     """One configuration's blocks, run one after another.  What several of them
-    read is written when the first one asks for it."""
+    read is written when the first one asks for it.  ``parts``: the tokens are in
+    so many buckets by sample, and so are the tables that are made of them."""
 
-    def __init__(self, variants: DataFrame, samples: DataFrame, genes: Genes | None):
-        self.variants, self.genes, self._samples = variants, genes, samples
+    def __init__(self, variants: DataFrame, samples: DataFrame, genes: Genes | None, parts: int = 0):
+        self.variants, self.genes, self.parts, self._samples = variants, genes, parts, samples
         self._made: dict[str, DataFrame] = {}
         self._latent: tuple[DataFrame, list[str]] | None = None
+        self._singular: dict[int, np.ndarray] = {}
+
+    def keep(self, frame: DataFrame, name: str) -> DataFrame:
+        """A table of rows by sample that other steps read."""
+        return write_dealt(frame, name, "sample_id", self.parts) if self.parts else write_once(frame, name)
 
     def made(self, name: str) -> DataFrame:
         if name not in self._made:
-            frame = self._samples if name == "samples" else run_text(self.variants.sparkSession, common_text(name), self.variants, self.made("samples"))
-            self._made[name] = write_once(frame, name)
+            if name == "samples":
+                frame = self._samples.repartition(self.parts, "sample_id") if self.parts else self._samples
+            else:
+                frame = run_text(self.variants.sparkSession, common_text(name), self.variants, self.made("samples"))
+            self._made[name] = self.keep(frame, name)
         return self._made[name]
 
     def latent(self) -> tuple[DataFrame, list[str]]:
-        """The weighted gene matrix as a table, and its genes."""
+        """The rows of the weighted gene matrix as a table, and its genes."""
         if not self._latent:
-            x, names = latent.matrix(self.variants)
-            self._latent = write_once(x, "latent"), names
+            x, names = latent.packed(self.made("mutated"))
+            self._latent = self.keep(x, "latent"), names
         return self._latent
 
+    def singular(self, k: int) -> np.ndarray:
+        """The first k singular vectors of the train samples."""
+        if k not in self._singular:
+            x, names = self.latent()
+            self._singular[k] = latent.svd_components(x.where(TRAIN), names, k)
+        return self._singular[k]
+
     def run(self, text: str) -> DataFrame:
+        text = text.replace(_DEAL, "") if self.parts else text
         common = {name: self.made(name) for name, meant in COMMON.items() if meant in text}
         return run_text(self.variants.sparkSession, text, self.variants, self.made("samples"), self.genes, common)
 
+    def body(self, block: str) -> DataFrame:
+        """All features of a portable block of which the best are taken."""
+        text = _body(block)
+        if not (self.parts and _VOCABULARY in text):
+            return self.keep(self.run(text), block)
+        head = text[text.index("WITH ") : text.index(_VOCABULARY)]
+        terms = write_once(self.run(f"{head}{_VOCABULARY} SELECT * FROM vocabulary"), "vocabulary")
+        side = F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
+        view = f"helixframe_terms_{uuid.uuid4().hex}"
+        side.createOrReplaceTempView(view)
+        try:
+            return self.keep(self.run(text.replace(_VOCABULARY, f"vocabulary AS (SELECT * FROM {view})")), block)
+        finally:
+            terms.sparkSession.catalog.dropTempView(view)
+
     def block(self, block: str) -> DataFrame:
         """(sample_id, feature, value) of one block that is portable: all of it as
         a table, or all its features as a table and the best ones as another."""
         if block not in TOP:
             return write_once(self.run(block_text(block)), block)
-        spark, f = self.variants.sparkSession, write_once(self.run(_body(block)), block)
+        spark, f = self.variants.sparkSession, self.body(block)
         samples = self.made("samples")
         kept = write_once(spark.sql(f"WITH f AS (SELECT * FROM {{found}}), {_kept(block)} SELECT feature FROM kept", found=f, samples=samples), "kept")
         return spark.sql(f"SELECT {_named(block)} FROM (WITH f AS (SELECT * FROM {{found}}), kept AS (SELECT * FROM {{best}}) {_PICKED}) b WHERE value <> 0", found=f, best=kept)
 
 
-def _latent_block(block: str, mutated: DataFrame, x: DataFrame, names: list[str], components: int, modules: int) -> DataFrame:
-    train = x.where(TRAIN)
+def _latent_block(block: str, steps: Steps, components: int, modules: int) -> DataFrame:
+    mutated, (x, names) = steps.made("mutated"), steps.latent()
+    train, k = x.where(TRAIN), min(components, len(names) - 1)
     if block == "gmod":
-        members = latent.gene_modules(train, names, k=min(modules, len(names)), components=components).select("gene", "module")
+        members = latent.gene_modules(train, names, k=min(modules, len(names)), basis=steps.singular(k)).select("gene", "module")
         found = mutated.join(members, "gene", "left")
         total = found.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
         share = found.where("module is not null").groupBy("sample_id", "module").agg(F.count(F.lit(1)).alias("c")).join(total, "sample_id")
         return share.select("sample_id", F.concat(F.lit("gmod__"), F.col("module").cast("string")).alias("feature"), (F.col("c") / F.col("n")).alias("value"))
-    k = min(components, len(names) - 1)
-    basis = latent.svd_components(train, names, k) if block == "lsvd" else latent.nmf_components(train, names, k)
+    basis = steps.singular(k) if block == "lsvd" else latent.nmf_components(train, names, k)
     placed = latent.project(x, names, basis, nonnegative=block == "lnmf")
     return placed.select("sample_id", F.posexplode("latent").alias("k", "value")).select("sample_id", F.concat(F.lit(f"{block}__"), F.col("k").cast("string")).alias("feature"), "value")
 
@@ -196,16 +237,17 @@ def _latent_block(block: str, mutated: DataFrame, x: DataFrame, names: list[str]
 def block_frame(block: str, steps: Steps, components: int, modules: int) -> DataFrame:
     """sample_id, feature, value of one block."""
     if block in LATENT:
-        found = _latent_block(block, steps.made("mutated"), *steps.latent(), components, modules)
+        found = _latent_block(block, steps, components, modules)
         return write_once(found.where("value <> 0").select("sample_id", "feature", F.round("value", 6).alias("value")), block)
     return steps.block(block)
 
 
-def long_matrix(name: Config, variants: DataFrame, samples: DataFrame, components: int = 64, modules: int = 24, genes: Genes | None = None, cache: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None) -> DataFrame:
+def long_matrix(name: Config, variants: DataFrame, samples: DataFrame, components: int = 64, modules: int = 24, genes: Genes | None = None, cache: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None, parts: int = 0) -> DataFrame:
     """sample_id, feature, value of every block of the configuration; ``genes``
-    are the real driver panels by default.  ``cache`` keeps a block's table by a
+    are the real driver panels by default, ``parts`` the buckets by sample in which
+    the variants lie.  ``cache`` keeps a block's table by a
     key that names all it depends on, so that configurations share their blocks."""
-    steps = Steps(variants, samples, genes)
+    steps = Steps(variants, samples, genes, parts)
     keep = cache or (lambda key, make: make())
     frames = [keep(block_key(b, components, modules), lambda b=b: block_frame(b, steps, components, modules)) for b in config_blocks(name)]
     return reduce(DataFrame.unionByName, frames)

@@ -285,7 +285,8 @@ sums AS (SELECT t.fold, t.sample_id, w.label, sum(w.w) AS s FROM target t JOIN g
 SELECT t.sample_id, b.label AS evidence_class, {d("evidence", f"coalesce(s, 0) + {base}")} FROM target t JOIN bias b ON b.fold = t.fold LEFT JOIN sums ON sums.fold = t.fold AND sums.sample_id = t.sample_id AND sums.label = b.label"""
 
 
-_DOMAIN = """dd AS (SELECT DISTINCT sample_id, gene, dkind, dref, dalt FROM {variants}),
+_DOMAIN_TOKENS = "dd AS (SELECT DISTINCT sample_id, gene, dkind, dref, dalt FROM {variants})"
+_DOMAIN = _DOMAIN_TOKENS + """,
 dc AS (SELECT sample_id, gene, count(*) AS t, max(CASE WHEN dkind IN ('nonsense', 'frameshift') THEN 1 ELSE 0 END) AS lof, max(CASE WHEN dkind = 'missense' THEN 1 ELSE 0 END) AS mis FROM dd GROUP BY sample_id, gene)"""
 _DKINDS = ("missense", "silent", "nonsense", "frameshift", "inframe_indel", "range_sub")
 #: Genes of the panel with a role; none has two rows of one role.

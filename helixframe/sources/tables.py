@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions import tokens as T
+from helixframe.sources.shared import write_dealt, write_once
 
 META = ("ID", "SUBCLASS", "fold")
 
@@ -42,8 +43,8 @@ def samples_of(cells: DataFrame) -> DataFrame:
     return cells.select("sample_id", "label").distinct()
 
 
-def star_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The variant view of the star schema, one annotated row per token."""
+def _star_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of the star schema, with the columns that order a cell's."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     places = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("r_name").alias("label"))
     lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -61,11 +62,34 @@ def star_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, form in forms.items():
         token = token.when(k == n, form)
     token = token.otherwise(F.when(F.col("l_partkey") % 11 == 0, "SPLICE").otherwise(F.concat(r, pos, a)))
-    made = x.select((F.col("l_suppkey") * 1000 + F.col("l_orderkey") % 40).alias("sample_id"), "label", "gene", token.alias("token"), "l_orderkey", "l_linenumber", "l_extendedprice")
+    return x.select((F.col("l_suppkey") * 1000 + F.col("l_orderkey") % 40).alias("sample_id"), "label", "gene", token.alias("token"), "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+def star_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variant view of the star schema, one annotated row per token."""
+    made = _star_rows(spark, sf_dir)
     seq = F.row_number().over(W.partitionBy("sample_id", "gene").orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "token"))
     return T.annotated(made.withColumn("seq", seq).select("sample_id", "label", "gene", "seq", "token"))
 
 
+#: Distinct tokens up to which their columns are broadcast.
+MOST_TOKENS = 100_000
+#: Tokens a bucket, where there are fewer buckets than shuffle partitions.
+BUCKET_TOKENS = 75_000
+
+
+def star_dealt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The variant view without ``seq``, dealt by sample into the number of buckets
+    that is returned.  All other columns depend on the token alone, so they are
+    made once for each distinct token and joined when read."""
+    tokens = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS)))
+    plain = write_dealt(_star_rows(spark, sf_dir).select("sample_id", "label", "gene", "token").repartition(parts, "sample_id"), "tokens", "sample_id", parts)
+    columns = write_once(T.annotated(plain.select(F.col("token")).distinct()), "token_columns").withColumnRenamed("token", "known")
+    side = F.broadcast(columns) if columns.count() <= MOST_TOKENS else columns
+    return plain.join(side, F.col("token").eqNullSafe(F.col("known")), "left").drop("known"), parts
+
+
 def star_samples(spark: SparkSession, sf_dir: str, variants: DataFrame) -> DataFrame:
     """All samples, with one without mutations for each supplier."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
